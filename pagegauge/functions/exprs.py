@@ -62,3 +62,14 @@ def prf(overlap: Column, n_ref: Column, n_pred: Column) -> Column:
 def quiet_null(condition: Column, value: Column) -> Column:
     """``value`` where the condition holds, else NULL (keeps UDF input small)."""
     return F.when(condition, value)
+
+
+def settle(df, **columns: Column):
+    """Add columns in a step of their own.
+
+    The one-element generator keeps the optimizer from inlining the
+    expressions into later Arrow functions, so each is computed once per row.
+    """
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(fields)))

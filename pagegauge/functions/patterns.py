@@ -6,14 +6,15 @@ treat only ``\\n`` as a line end; the character classes below replace ``\\s``,
 """
 
 # --- fixed values: character classes -------------------------------------
-WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-NOT_WS = r"[^\t-\r\x1c-\x20\x85\xa0  -     　]"
+WS_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_CHARS}]"
+NOT_WS = f"[^{WS_CHARS}]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_NOT_WS = (
-    r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\xa0  -     　]"
+    rf"[^\p{{L}}\p{{N}}_{WS_CHARS}]"
 )
 DIGIT = r"\p{Nd}"
-LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 # --- fixed values: tokenizer ----------------------------------------------
 TOKEN = WORD + "+|" + NOT_WORD_NOT_WS
@@ -24,14 +25,14 @@ ENTITY = r"&(#|[A-Za-z])"
 MAYBE_NOT_COMPOSED = (
     r"[^\x00-˿Ḁ-ỿ‐-‧ぁ-ゖァ-ヾ一-鿿가-힣]"
 )
-TO_SPACE = "  "
-TO_NOTHING = "​‌‍﻿­"
-BRACKETED_URL = r"<(https?://[^>\t-\r\x1c-\x20\x85\xa0  -     　]+)>"
+TO_SPACE = "\u00a0\u202f"
+TO_NOTHING = "\u200b\u200c\u200d\ufeff\u00ad"
+BRACKETED_URL = rf"<(https?://[^>{WS_CHARS}]+)>"
 BRACKETED_WEB = (
-    r"<((?:https?://|www\.)[^>\t-\r\x1c-\x20\x85\xa0  -     　]+)>"
+    rf"<((?:https?://|www\.)[^>{WS_CHARS}]+)>"
 )
 BRACKETED_EMAIL = r"<([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})>"
-URL = r"https?://[^\t-\r\x1c-\x20\x85\xa0  -     　)>\]]+"
+URL = rf"https?://[^{WS_CHARS})>\]]+"
 STAR_GROUP = rf"\({WS}*\*+{WS}*\)"
 PLACEHOLDER = "PROTECTEDTOKEN"
 
@@ -59,12 +60,12 @@ LIST_BEFORE_PIPE = rf"^{WS}*[-+*]{WS}+(?=\|)"
 
 STRONG = r"(?d)(\*\*|__)(.*?)\1"
 EM_STAR = (
-    rf"(?<!{NOT_WS})\*([^\t-\r\x1c-\x20\x85\xa0  -     　*]"
-    rf"[^*\n]{{0,120}}?[^\t-\r\x1c-\x20\x85\xa0  -     　*])\*(?!{NOT_WS})"
+    rf"(?<!{NOT_WS})\*([^{WS_CHARS}*]"
+    rf"[^*\n]{{0,120}}?[^{WS_CHARS}*])\*(?!{NOT_WS})"
 )
 EM_UNDERSCORE = (
-    rf"(?<!{NOT_WS})_([^\t-\r\x1c-\x20\x85\xa0  -     　_]"
-    rf"[^_\n]{{0,120}}?[^\t-\r\x1c-\x20\x85\xa0  -     　_])_(?!{NOT_WS})"
+    rf"(?<!{NOT_WS})_([^{WS_CHARS}_]"
+    rf"[^_\n]{{0,120}}?[^{WS_CHARS}_])_(?!{NOT_WS})"
 )
 INLINE_CODE = r"`([^`]*)`"
 LEFTOVER_MARKERS = r"[*_]{1,3}"

@@ -11,11 +11,11 @@ DOC = ["uc_type", "lang", "doc_id"]
 def missing_docs(models: DataFrame, gt_docs: DataFrame, evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents a model has not been scored on, one row each.
 
-    Every document is repeated once per known model, which is the size of the
-    question; the evaluated pairs are then removed by an anti join.
+    The model names are one scalar; each document unfolds into one row per
+    model, which is the size of the question, and evaluated pairs drop out.
     """
-    names = F.broadcast(models.select("model").distinct().agg(F.collect_set("model").alias("_models")))
-    every = gt_docs.select(key).distinct().join(names).select(F.explode("_models").alias("model"), key)
+    names = models.select("model").distinct().agg(F.collect_set("model"))
+    every = gt_docs.select(key).distinct().select(F.explode(names.scalar()).alias("model"), key)
     return every.join(evaluated.select("model", key), ["model", key], "left_anti")
 
 
@@ -25,7 +25,7 @@ def progress(stats: DataFrame, gt_docs: DataFrame, evaluated: DataFrame, key: st
     total = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("total_docs"))
     known = evaluated.select("model", key).distinct().join(docs, key, "left_semi")
     done = known.groupBy("model").agg(F.count("*").alias("_known"))
-    joined = stats.join(done, "model", "left").join(F.broadcast(total))
+    joined = stats.join(done, "model", "left").withColumn("total_docs", total.scalar())
     missing = F.col("total_docs") - F.coalesce("_known", F.lit(0))
     return joined.withColumns({
         "missing": missing, "complete": F.col("docs") >= F.col("total_docs")}).drop("_known")

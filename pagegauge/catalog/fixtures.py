@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegauge.catalog.registry import cte
+from pagegauge.operators.ordering import spread
 from pagegauge.operators.pairs import pair_pages
 
 PAGE_CHARS = 500
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be parsed: spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 # --- pages of documents -----------------------------------------------------------
 
 def paged(docs: DataFrame, chars: int = PAGE_CHARS) -> DataFrame:
@@ -44,7 +50,7 @@ def paged(docs: DataFrame, chars: int = PAGE_CHARS) -> DataFrame:
 
 
 def gt_pages(spark: SparkSession, sf_dir: str, chars: int = PAGE_CHARS) -> DataFrame:
-    return paged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), chars)
+    return paged(texts(spark, sf_dir, "documents").select("doc_id", "lang", "text"), chars)
 
 
 def _model_texts(text: Column) -> dict[str, Column]:
@@ -199,7 +205,8 @@ def doc_log_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    pos = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    pos = (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 10000000
+           + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long"))
     x1 = (F.col("l_partkey") % 70) / 100
     y1 = (F.col("l_suppkey") * 13 % 70) / 100
     return li.select(
@@ -225,7 +232,8 @@ def pred_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cte("block_rows", (), """
   SELECT l_orderkey AS page_id,
-         CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos,
+         CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100
+           + CAST(l_quantity AS BIGINT) AS pos,
          CAST(l_partkey % 70 AS DOUBLE) / 100 AS x1, CAST(l_suppkey * 13 % 70 AS DOUBLE) / 100 AS y1,
          CAST(l_partkey % 70 AS DOUBLE) / 100 + CAST(0.05 AS DOUBLE) + l_quantity / 250 AS x2,
          CAST(l_suppkey * 13 % 70 AS DOUBLE) / 100 + CAST(0.10 AS DOUBLE) AS y2,
@@ -315,7 +323,7 @@ def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document is one row, as in the stored JSON, so its tables need no grouping.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     header = F.array(*map(F.lit, ("chars", "first", "last")))
 
     def facts(line: Column) -> Column:
@@ -334,7 +342,7 @@ def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines dressed as Markdown blocks, with formulas; and a changed copy."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     marks = F.array(*map(F.lit, ("# ", "- ", "> ", "", "| ", "")))
     plain = F.split(F.regexp_replace("text", r"[#>|$`\\-]", ""), "\n", -1)
 

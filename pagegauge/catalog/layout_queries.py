@@ -41,9 +41,12 @@ def layout_extra(spark, sf):
 
 
 @query("layout_mean_iou", ("block_best",), """
-  SELECT page_id, round(avg(round(iou, 6)), 6) AS mean_iou, count(*) AS n_blocks FROM block_best GROUP BY page_id""")
+  SELECT page_id, round(sum(round(iou, 6)), 6) AS total_iou, count(*) AS n_blocks FROM block_best GROUP BY page_id""")
 def layout_mean_iou(spark, sf):
-    return layout.page_mean_iou(_matches(spark, sf), KEY)
+    """Mean IoU per page, shown as mean x blocks: the mean itself often ends on a rounding tie."""
+    means = layout.page_mean_iou(_matches(spark, sf), KEY, digits=None)
+    total = F.round(F.col("mean_iou") * F.col("n_blocks"), 6)
+    return means.select("page_id", total.alias("total_iou"), "n_blocks")
 
 
 @query("layout_issue_counts", ("block_status", "pred_blocks"), """

@@ -15,6 +15,11 @@ def cte(name: str, needs: tuple[str, ...], body: str) -> None:
     CTES[name] = (needs, body)
 
 
+def rounded(value: str, digits: int) -> str:
+    """SQL rounding of the shortest decimal form of a double, half up, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(30, 18)), {digits}) AS DOUBLE)"
+
+
 def _with(needs: tuple[str, ...], body: str) -> str:
     ordered: list[str] = []
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
-from pagegauge.catalog.registry import cte, query
+from pagegauge.catalog.registry import cte, query, rounded
 from pagegauge.catalog.text_queries import _cer_pages
 from pagegauge.functions import keys as K, metrics as M
 from pagegauge.operators import coverage, pairs, ranking, rollup
@@ -56,8 +56,8 @@ def corpus_rate(spark, sf):
 
 # --- on the score log ----------------------------------------------------------------------
 
-@query("overall_macro", ("score_log",), """
-  SELECT model, round(avg(cer), 6) AS avg_cer, round(avg(wer), 6) AS avg_wer, round(avg(t), 6) AS avg_table_teds_doc
+@query("overall_macro", ("score_log",), f"""
+  SELECT model, {rounded('avg(cer)', 6)} AS avg_cer, {rounded('avg(wer)', 6)} AS avg_wer, {rounded('avg(t)', 6)} AS avg_table_teds_doc
   FROM (SELECT model, uc_type, lang, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(table_teds_doc), 6) AS t
         FROM score_log GROUP BY ALL) GROUP BY model""")
 def overall_macro(spark, sf):
@@ -146,9 +146,9 @@ def dashboard(spark, sf):
     return rollup.dashboard(fx.doc_log_scores(spark, sf), DOC_METRICS)
 
 
-@query("compare_models", ("bucket_log",), """
-  SELECT model, round(avg(avg_cer), 4) AS avg_cer, round(avg(avg_char_f1), 4) AS avg_char_f1,
-         round(avg(avg_teds), 4) AS avg_teds, sum(docs) AS docs FROM bucket_log WHERE lang = 'en' GROUP BY model""")
+@query("compare_models", ("bucket_log",), f"""
+  SELECT model, {rounded('avg(avg_cer)', 4)} AS avg_cer, {rounded('avg(avg_char_f1)', 4)} AS avg_char_f1,
+         {rounded('avg(avg_teds)', 4)} AS avg_teds, sum(docs) AS docs FROM bucket_log WHERE lang = 'en' GROUP BY model""")
 def compare_models(spark, sf):
     buckets = rollup.buckets(fx.doc_log_scores(spark, sf), DOC_METRICS)
     return rollup.compare_models(buckets, ("cer", "char_f1", "teds"), lang="en")
@@ -181,18 +181,18 @@ def leaderboard(spark, sf):
     return ranked.drop("is_best")
 
 
-@query("recommendation", ("bucket_log",), """
-  SELECT uc_type, lang, model, round(v * 100, 1) AS value, row_number() OVER (
-           PARTITION BY uc_type, lang ORDER BY round(v * 100, 1) DESC, model) AS rank, docs
+@query("recommendation", ("bucket_log",), f"""
+  SELECT uc_type, lang, model, {rounded('v * 100', 1)} AS value, row_number() OVER (
+           PARTITION BY uc_type, lang ORDER BY {rounded('v * 100', 1)} DESC, model) AS rank, docs
   FROM (SELECT *, CASE WHEN uc_type = 'table' THEN avg_teds ELSE avg_char_f1 END AS v FROM bucket_log) WHERE v IS NOT NULL""")
 def recommendation(spark, sf):
     buckets = rollup.buckets(fx.doc_log_scores(spark, sf), DOC_METRICS)
     return ranking.recommend(buckets).select("uc_type", "lang", "model", "value", "rank", "docs")
 
 
-@query("recommendation_cer", ("bucket_log",), """
-  SELECT uc_type, lang, model, round(avg_cer * 100, 1) AS value, row_number() OVER (
-           PARTITION BY uc_type, lang ORDER BY round(avg_cer * 100, 1), model) AS rank FROM bucket_log""")
+@query("recommendation_cer", ("bucket_log",), f"""
+  SELECT uc_type, lang, model, {rounded('avg_cer * 100', 1)} AS value, row_number() OVER (
+           PARTITION BY uc_type, lang ORDER BY {rounded('avg_cer * 100', 1)}, model) AS rank FROM bucket_log""")
 def recommendation_cer(spark, sf):
     buckets = rollup.buckets(fx.doc_log_scores(spark, sf), DOC_METRICS)
     return ranking.recommend(buckets, "cer").select("uc_type", "lang", "model", "value", "rank")
@@ -244,7 +244,7 @@ def missing_docs(spark, sf):
 
 @query("progress", ("doc_log",), """
   SELECT model, count(*) AS docs, total_docs, total_docs - count(*) AS missing, count(*) >= total_docs AS complete
-  FROM doc_log, (SELECT count(*) AS total_docs FROM orders) GROUP BY ALL""")
+  FROM doc_log, (SELECT count(*) AS total_docs FROM orders) GROUP BY model, total_docs""")
 def progress(spark, sf):
     scored = fx.doc_log(spark, sf)
     docs = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))

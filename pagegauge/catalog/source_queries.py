@@ -24,7 +24,7 @@ cte("slugs", ("assets",), r"""
 
 
 def _assets(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+    pages = fx.texts(spark, sf, "pages").select("page_id", "url")
     ext = F.element_at(F.array(F.lit(".PDF"), F.lit(".png"), F.lit(".v2.docx")), (F.col("page_id") % 3 + 1).cast("int"))
     return pages.select(
         "page_id", F.regexp_extract("url", "^https?://[^/]+/([^/]+)/", 1).alias("lang"),
@@ -62,7 +62,7 @@ def slug_collisions(spark, sf):
 
 def _trees(spark, sf):
     """Web pages as block trees: one page each, blocks from its paragraphs."""
-    pages = fx.table(spark, sf, "pages").select("page_id", "html")
+    pages = fx.texts(spark, sf, "pages").select("page_id", "html")
     paras = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)(?:</p>|$)"), F.lit(1))
     kinds = F.array(*map(F.lit, ("Text", "Picture", "Table", "Caption", "PageFooter")))
     block = F.transform(paras, lambda p, k: F.struct(
@@ -118,7 +118,7 @@ def tree_readable(spark, sf):
            '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS full_text
   FROM (SELECT page_id, trim(url) || chr(10) || trim(html) || chr(10) || 'page ' || page_id AS body FROM pages)""")
 def response_page_text(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.texts(spark, sf, "pages")
     return pages.select("page_id", X.response_page_text(
         F.col("url"), F.col("html"), F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("full_text"))
 

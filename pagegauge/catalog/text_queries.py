@@ -155,7 +155,7 @@ def vocabulary_prf(spark, sf):
   UNION ALL
   SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) FROM documents WHERE regexp_matches(text, '&(#|[A-Za-z])')""")
 def norm_whitespace(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", X.normalize_space(F.col("text")).alias("norm"))
+    return fx.texts(spark, sf, "documents").select("doc_id", X.normalize_space(F.col("text")).alias("norm"))
 
 
 @query("norm_cell", (), r"""
@@ -163,20 +163,20 @@ def norm_whitespace(spark, sf):
            '<[^>]+>', ' ', 'g'), '\*\*|__|\*|_|`', '', 'g'), '\\([|])', '\1', 'g'), '×✓✗✘х', 'XXXXx'), '\s+', ' ', 'g')) AS norm
   FROM documents""")
 def norm_cell(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", X.normalize_cell(F.col("text")).alias("norm"))
+    return fx.texts(spark, sf, "documents").select("doc_id", X.normalize_cell(F.col("text")).alias("norm"))
 
 
 @query("norm_folded", (), r"""
   SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm
   FROM documents""")
 def norm_folded(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", X.fold_words(F.col("text")).alias("norm"))
+    return fx.texts(spark, sf, "documents").select("doc_id", X.fold_words(F.col("text")).alias("norm"))
 
 
 @query("norm_nfc", (), """
   SELECT page_id, nfc_normalize(url) AS norm_url, length(nfc_normalize(html)) AS n_chars FROM pages""")
 def norm_nfc(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.texts(spark, sf, "pages")
     return pages.select(
         "page_id", X.compose(F.replace("url", F.lit("&"), F.lit("\x01"))).alias("u"),
         F.replace("html", F.lit("&"), F.lit("\x01")).alias("h"),
@@ -189,7 +189,7 @@ def norm_nfc(spark, sf):
            '[\x{2010}-\x{2015}\x{2212}\x{fe58}\x{fe63}\x{ff0d}]', '-', 'g'), '[\x{ff0f}\x{ff3c}]', '/', 'g'),
            '[\x{2022}\x{00b7}\x{2219}\x{22c5}\x{2027}]', ' ', 'g'), '×х', 'xx') AS norm FROM documents""")
 def norm_symbols(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", X.unify_symbols(F.col("text")).alias("norm"))
+    return fx.texts(spark, sf, "documents").select("doc_id", X.unify_symbols(F.col("text")).alias("norm"))
 
 
 @query("norm_html", (), r"""
@@ -200,7 +200,7 @@ def norm_symbols(spark, sf):
       '(?i)</?\s*(b|strong|i|em|u|span|font|code|sup|sub)\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g') AS norm
   FROM pages""")
 def norm_html(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", X.drop_html(X.drop_images(F.col("html"))).alias("norm"))
+    return fx.texts(spark, sf, "pages").select("page_id", X.drop_html(X.drop_images(F.col("html"))).alias("norm"))
 
 
 @query("norm_tables_flat", ("markdown_pages",), r"""
@@ -229,7 +229,7 @@ def norm_latex(spark, sf):
     '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'),
     '[`*_>#~-]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents""")
 def norm_plain(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", X.markdown_to_plain(F.col("text")).alias("norm"))
+    return fx.texts(spark, sf, "documents").select("doc_id", X.markdown_to_plain(F.col("text")).alias("norm"))
 
 
 # --- evidence, structure, formulas ----------------------------------------------------
@@ -400,5 +400,5 @@ def markdown_bundle(spark, sf):
 
 @query("content_filter")
 def content_filter(spark, sf):
-    filtered = settle(fx.table(spark, sf, "pages"), kept=X.filter_content(F.col("html")))
+    filtered = settle(fx.texts(spark, sf, "pages"), kept=X.filter_content(F.col("html")))
     return filtered.select("page_id", X.normalize_text(F.col("kept")).alias("text"))

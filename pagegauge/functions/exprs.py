@@ -15,6 +15,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def plain_space(text: Column) -> Column:
+    """Blank for every horizontal space, vertical tab for every rare line separator."""
+    return F.translate(
+        text, P.OTHER_SPACES + P.OTHER_BREAKS,
+        " " * len(P.OTHER_SPACES) + "\x0b" * len(P.OTHER_BREAKS))
+
+
+def contains_any(text: Column, chars: str) -> Column:
+    """Byte search for single characters, far cheaper than a character class."""
+    found = F.contains(text, F.lit(chars[0]))
+    for char in chars[1:]:
+        found = found | F.contains(text, F.lit(char))
+    return found
+
+
+def where_present(text: Column, chars: str, body: Callable[[Column], Column], high: bool = False) -> Column:
+    """Apply ``body`` only to texts that contain one of ``chars`` (or, if ``high``, a rare code point)."""
+    def gate(t: Column) -> Column:
+        hit = contains_any(t, chars)
+        if high:
+            # Equal byte and character counts mean ASCII: nothing to look for.
+            hit = hit | ((F.octet_length(t) != F.length(t)) & t.rlike(P.HIGH))
+        return F.when(hit, body(t)).otherwise(t)
+    return let(text, gate)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+$", "")
 

@@ -25,7 +25,7 @@ def rectangle(rows: Column) -> Column:
 
 
 def _well_formed(html: Column) -> Column:
-    """Every row and cell closed and no table inside a table."""
+    """Every row and cell closed, no table inside a table, only common entities."""
     def count(pattern: str) -> Column:
         return F.regexp_count(html, F.lit(pattern))
     return (
@@ -33,6 +33,7 @@ def _well_formed(html: Column) -> Column:
         & (count(r"(?i)<t[dh]\b") == count(r"(?i)</t[dh]>"))
         & (count(r"(?i)<table\b") == count(r"(?i)</table>"))
         & ~html.rlike(r"(?is)<table\b[^>]*>(?:(?!</table>).)*<table\b")
+        & ~(F.contains(html, F.lit("&")) & html.rlike(P.RARE_ENTITY))
     )
 
 
@@ -53,7 +54,7 @@ def _normal_grids(tables: Column) -> Column:
 
 def html_grids(html: Column) -> Column:
     """Grids of all HTML tables; only broken markup visits the Arrow parser."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    html = X.unify_spaces(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", ""))
     good = let(html, _well_formed)
     # Decoded once by parsing; the normalizer decodes again as for any cell.
     native = F.transform(_native_tables(html), lambda t: F.transform(
@@ -106,7 +107,7 @@ def pipe_grids(markdown: Column) -> Column:
             F.array().cast(NO_GRIDS).alias("tables")).cast(state)
         return F.aggregate(facts, start, lambda a, x: step(a, x).cast(state), lambda a: a["tables"])
 
-    found = F.when(F.contains(markdown, F.lit("|")), let(lines(markdown), scan))
+    found = F.when(F.contains(markdown, F.lit("|")), let(lines(X.unify_spaces(markdown)), scan))
     return F.coalesce(F.transform(found, rectangle), F.array().cast(NO_GRIDS))
 
 

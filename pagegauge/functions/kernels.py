@@ -232,35 +232,74 @@ def grid_size(grid) -> int:
     return 1 + len(grid) + sum(len(row) for row in grid)
 
 
-def _tagged(grid) -> list:
-    return [(r == 0, tuple(row)) for r, row in enumerate(grid)]
-
-
-def _cell_costs(pairs: list[tuple[str, str]]) -> np.ndarray:
-    spread = distances([p[0] for p in pairs], [p[1] for p in pairs])
-    longest = np.array([max(len(a), len(b), 1) for a, b in pairs])
-    return spread / longest
+def _cell_costs(texts: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """1 - similarity of many pairs of texts, given by their numbers."""
+    lengths = np.array([len(t) for t in texts])
+    longest = np.maximum(np.maximum(lengths[left], lengths[right]), 1)
+    if lengths.max(initial=0) > 63:
+        return distances([texts[k] for k in left], [texts[k] for k in right]) / longest
+    alphabet, symbol = np.unique(_codes("".join(texts)), return_inverse=True)
+    steps = int(lengths.max(initial=0))
+    symbols = np.full((len(texts), max(steps, 1)), len(alphabet))
+    symbols[np.arange(max(steps, 1))[None, :] < lengths[:, None]] = symbol
+    masks = np.zeros((len(texts), len(alphabet) + 1), dtype=np.uint64)
+    row, place = np.nonzero(symbols < len(alphabet))
+    np.bitwise_or.at(masks, (row, symbols[row, place]), np.uint64(1) << place.astype(np.uint64))
+    one = np.uint64(1)
+    vp, vn = np.full(len(left), ~np.uint64(0)), np.zeros(len(left), dtype=np.uint64)
+    top = np.maximum(lengths[left] - 1, 0).astype(np.uint64)
+    score = lengths[left].astype(np.int64)
+    for j in range(steps):
+        eq = masks[left, symbols[right, j]]
+        across = eq | vn
+        diag = (((eq & vp) + vp) ^ vp) | eq
+        hp, hn = vn | ~(diag | vp), vp & diag
+        change = ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64)
+        score += np.where(j < lengths[right], change, 0)
+        up, down = (hp << one) | one, hn << one
+        vp, vn = down | ~(across | up), up & across
+    return np.where(lengths[left] == 0, lengths[right], score) / longest
+
+
+def _row_cost(a, b, same_tag: bool, limit: float) -> float:
+    """Cost of renaming row ``a`` cell by cell to ``b``; infinite once above ``limit``."""
+    cost = 0.0
+    for x, y in zip(a, b):
+        if not same_tag:
+            cost += 1.0
+        elif x != y:
+            cost += distance(x, y) / max(len(x), len(y))
+        if cost > limit:
+            return np.inf
+    return cost
 
 
 def _settled(ref, pred) -> float | None:
     """The distance when a bound already proves it, else None.
 
-    Equal shapes: any mapping other than cell-for-cell deletes and inserts at
-    least one node each, so a cell-for-cell cost of at most 2 is optimal.
-    Rows of one side in order inside the other: the size difference is a lower
-    bound and is reached.
+    Take grids of one width where the longer has k extra rows.  A mapping that
+    only deletes must keep whole rows in order, so the cheapest one is a row
+    alignment.  Any other mapping also inserts a node and deletes one more,
+    which costs 2 on top of the size difference; an alignment whose renames
+    cost at most 2 is therefore optimal.
     """
     if ref == pred:
         return 0.0
-    if len(ref) == len(pred) and len(ref[0]) == len(pred[0]):
-        changed = [(x, y) for a, b in zip(ref, pred) for x, y in zip(a, b) if x != y]
-        cost = sum(distance(x, y) / max(len(x), len(y)) for x, y in changed)
-        return cost if cost <= 2.0 else None
-    long, short = (_tagged(ref), _tagged(pred)) if len(ref) > len(pred) else (_tagged(pred), _tagged(ref))
-    rest = iter(long)
-    if all(row in rest for row in short):
-        return float(abs(grid_size(ref) - grid_size(pred)))
-    return None
+    if len(ref[0]) != len(pred[0]):
+        return None
+    long, short = (ref, pred) if len(ref) >= len(pred) else (pred, ref)
+    extra = len(long) - len(short)
+    best = [0.0] * (extra + 1)
+    for j, row in enumerate(short):
+        reach, line = np.inf, []
+        for t in range(extra + 1):
+            reach = min(reach, best[t])
+            limit = 2.0 - reach
+            line.append(np.inf if limit < 0 else reach + _row_cost(
+                long[j + t], row, (j + t == 0) == (j == 0), limit))
+        best = line
+    renames = min(best)
+    return extra * (len(ref[0]) + 1) + renames if renames <= 2.0 else None
 
 
 def grid_distances(pairs: list) -> np.ndarray:
@@ -298,7 +337,7 @@ def _shape_distances(pairs: list, n1: int, c1: int, n2: int, c2: int) -> np.ndar
     keys, inverse = np.unique(
         left[:, :, None] * len(texts) + right[:, None, :], return_inverse=True
     )
-    costs = _cell_costs([(texts[k // len(texts)], texts[k % len(texts)]) for k in keys.tolist()])
+    costs = _cell_costs(texts, keys // len(texts), keys % len(texts))
     cell = costs[inverse].reshape(len(pairs), n1, c1, n2, c2)
     cell[:, 0, :, 1:, :] = 1.0  # header cell against body cell: different tags
     cell[:, 1:, :, 0, :] = 1.0

@@ -80,7 +80,7 @@ def tables(html: str) -> list[list[list[str]]]:
     out = []
     for table in (n for n in parse(html).walk() if n.tag == "table"):
         rows = [
-            [" ".join(cell.texts()) for cell in row.walk() if cell.tag in CELL_TAGS]
+            [" ".join(" ".join(cell.texts()).split()) for cell in row.walk() if cell.tag in CELL_TAGS]
             for row in table.walk() if row.tag == "tr"
         ]
         rows = [row for row in rows if row]
@@ -105,20 +105,32 @@ def _label(node: Node) -> tuple:
     return node.tag, node.text() if node.tag in CELL_TAGS else "", spans
 
 
+def freeze(node: Node) -> tuple:
+    """(label, size, children) with everything the distance needs read once."""
+    children = tuple(freeze(c) for c in node.elements())
+    return _label(node), 1 + sum(c[1] for c in children), children
+
+
 def tree_distance(a: Node | None, b: Node | None) -> int:
     """Top-down distance: relabel the roots, align child sequences, whole subtrees come and go."""
     if a is None or b is None:
         return tree_size(a) + tree_size(b)
-    weights = [tree_size(c) for c in b.elements()]
+    return _frozen_distance(freeze(a), freeze(b))
+
+
+def _frozen_distance(a: tuple, b: tuple) -> int:
+    if a == b:
+        return 0
+    if not a[2] or not b[2]:
+        return (a[0] != b[0]) + a[1] + b[1] - 2
     line = [0]
-    for weight in weights:
+    for _, weight, _ in b[2]:
         line.append(line[-1] + weight)
-    for child in a.elements():
-        gone = tree_size(child)
+    for child in a[2]:
+        gone = child[1]
         fresh = [line[0] + gone]
-        for k, (other, weight) in enumerate(zip(b.elements(), weights)):
+        for k, other in enumerate(b[2]):
             fresh.append(min(
-                line[k + 1] + gone, fresh[k] + weight, line[k] + tree_distance(child, other)
-            ))
+                line[k + 1] + gone, fresh[k] + other[1], line[k] + _frozen_distance(child, other)))
         line = fresh
-    return (_label(a) != _label(b)) + line[-1]
+    return (a[0] != b[0]) + line[-1]

@@ -1,18 +1,19 @@
 """Character classes, patterns and word lists that decide results.
 
 All patterns are in Java regex dialect.  ``(?d)`` makes ``.`` and ``^``
-treat only ``\\n`` as a line end; the character classes below replace ``\\s``,
-``\\w`` and ``\\d`` because the JVM shorthands are ASCII-only.
+treat only ``\\n`` as a line end; word and digit classes are spelled out because
+the JVM shorthands are ASCII-only.
 """
 
 # --- fixed values: character classes -------------------------------------
-WS_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{WS_CHARS}]"
-NOT_WS = f"[^{WS_CHARS}]"
+# Texts pass through ``exprs.plain_space`` first: every horizontal space becomes
+# a blank and every rare line separator a vertical tab, so ``\s`` covers all.
+OTHER_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u001f"
+OTHER_BREAKS = "\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+WS = r"\s"
+NOT_WS = r"\S"
 WORD = r"[\p{L}\p{N}_]"
-NOT_WORD_NOT_WS = (
-    rf"[^\p{{L}}\p{{N}}_{WS_CHARS}]"
-)
+NOT_WORD_NOT_WS = r"[^\p{L}\p{N}_\s]"
 DIGIT = r"\p{Nd}"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
@@ -21,18 +22,20 @@ TOKEN = WORD + "+|" + NOT_WORD_NOT_WS
 
 # --- fixed values: text normalizer -----------------------------------------
 ENTITY = r"&(#|[A-Za-z])"
-# Outside these ranges a code point may not be in composed form already.
-MAYBE_NOT_COMPOSED = (
-    r"[^\x00-˿Ḁ-ỿ‐-‧ぁ-ゖァ-ヾ一-鿿가-힣]"
-)
-TO_SPACE = "\u00a0\u202f"
-TO_NOTHING = "\u200b\u200c\u200d\ufeff\u00ad"
-BRACKETED_URL = rf"<(https?://[^>{WS_CHARS}]+)>"
+# Texts without any of these are in composed form.
+MAYBE_NOT_COMPOSED = r"[^\x00-˿]"
+# Texts without any of these skip the space and symbol steps.
+HIGH = r"[^\x00-ỿ]"
+LOW_SPACES = "\u000c\u001c\u001d\u001e\u001f\u0085 ­ "
+LOW_SYMBOLS = "·¸×х"
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
+RARE_ENTITY = r"&(?!lt;|gt;|quot;|#39;|#x27;|apos;|nbsp;|amp;)(#|[A-Za-z])"
+BRACKETED_URL = rf"<(https?://[^>\s]+)>"
 BRACKETED_WEB = (
-    rf"<((?:https?://|www\.)[^>{WS_CHARS}]+)>"
+    rf"<((?:https?://|www\.)[^>\s]+)>"
 )
 BRACKETED_EMAIL = r"<([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})>"
-URL = rf"https?://[^{WS_CHARS})>\]]+"
+URL = rf"https?://[^\s)>\]]+"
 STAR_GROUP = rf"\({WS}*\*+{WS}*\)"
 PLACEHOLDER = "PROTECTEDTOKEN"
 
@@ -60,12 +63,12 @@ LIST_BEFORE_PIPE = rf"^{WS}*[-+*]{WS}+(?=\|)"
 
 STRONG = r"(?d)(\*\*|__)(.*?)\1"
 EM_STAR = (
-    rf"(?<!{NOT_WS})\*([^{WS_CHARS}*]"
-    rf"[^*\n]{{0,120}}?[^{WS_CHARS}*])\*(?!{NOT_WS})"
+    rf"(?<!{NOT_WS})\*([^\s*]"
+    rf"[^*\n]{{0,120}}?[^\s*])\*(?!{NOT_WS})"
 )
 EM_UNDERSCORE = (
-    rf"(?<!{NOT_WS})_([^{WS_CHARS}_]"
-    rf"[^_\n]{{0,120}}?[^{WS_CHARS}_])_(?!{NOT_WS})"
+    rf"(?<!{NOT_WS})_([^\s_]"
+    rf"[^_\n]{{0,120}}?[^\s_])_(?!{NOT_WS})"
 )
 INLINE_CODE = r"`([^`]*)`"
 LEFTOVER_MARKERS = r"[*_]{1,3}"

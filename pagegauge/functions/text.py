@@ -6,25 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge.functions import arrow, patterns as P
-from pagegauge.functions.exprs import collapse, let, lines, strip, sub, words
+from pagegauge.functions.exprs import collapse, let, lines, plain_space, strip, sub, where_present
 
 
 def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def _has_entity(text: Column) -> Column:
+    return F.contains(text, F.lit("&")) & text.rlike(P.ENTITY)
+
+
 # --- Unicode and entities ------------------------------------------------------
 
 def compose(text: Column) -> Column:
     """Entities decoded and NFC; Python sees only rows that may change."""
     text = _text(text)
-    needed = text.rlike(f"{P.ENTITY}|{P.MAYBE_NOT_COMPOSED}")
+    needed = _has_entity(text) | ((F.octet_length(text) != F.length(text)) & text.rlike(P.MAYBE_NOT_COMPOSED))
     return F.when(needed, arrow.clean_unicode(F.when(needed, text))).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
     text = _text(text)
-    needed = text.rlike(P.ENTITY)
+    needed = _has_entity(text)
     return F.when(needed, arrow.unescape_html(F.when(needed, text))).otherwise(text)
 
 
@@ -41,35 +45,43 @@ def unescape_basic(text: Column) -> Column:
 
 
 def strip_invisible(text: Column) -> Column:
-    """No-break spaces to spaces, zero-width characters out, line ends to ``\\n``."""
-    text = F.translate(text, P.TO_SPACE + P.TO_NOTHING, "  ")
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    """Spaces unified, zero-width characters out, line ends to ``\\n``."""
+    cleaned = where_present(
+        text, P.LOW_SPACES, lambda t: plain_space(F.translate(t, P.INVISIBLE, "")), high=True)
+    return where_present(cleaned, "\r", lambda t: F.regexp_replace(t, r"\r\n?", "\n"))
+
+
+def unify_spaces(text: Column) -> Column:
+    return where_present(text, P.LOW_SPACES, plain_space, high=True)
 
 
 # --- steps of the full normalizer -------------------------------------------------
 
 def unwrap_links(text: Column) -> Column:
-    return sub(text, (P.BRACKETED_URL, "$1"), (P.BRACKETED_EMAIL, "$1"))
+    return where_present(text, "<", lambda t: sub(t, (P.BRACKETED_URL, "$1"), (P.BRACKETED_EMAIL, "$1")))
 
 
 def drop_images(text: Column) -> Column:
-    return sub(text, (P.IMG_TAG, " "), (P.MD_IMAGE_AND_LINE, " "))
+    return where_present(text, "<!", lambda t: sub(t, (P.IMG_TAG, " "), (P.MD_IMAGE_AND_LINE, " ")))
 
 
 def drop_html(text: Column) -> Column:
-    return sub(
-        text, (P.HTML_BREAK, " "), (P.HTML_BLOCK_CLOSE, " "), (P.HTML_BLOCK_OPEN, " "),
+    return where_present(text, "<", lambda t: sub(
+        t, (P.HTML_BREAK, " "), (P.HTML_BLOCK_CLOSE, " "), (P.HTML_BLOCK_OPEN, " "),
         (P.HTML_INLINE, ""), (P.ANY_TAG, " "),
-    )
+    ))
 
 
 def drop_markdown_blocks(text: Column) -> Column:
-    text = sub(text, (P.MD_LINK, "$1"), (P.FENCE_OPEN, " "))
-    text = F.replace(text, F.lit(P.FENCE), F.lit(" "))
-    return sub(
-        text, (P.HEADING, ""), (P.QUOTE, ""), (P.BULLET, ""), (P.HEADING, ""),
+    def fences(t: Column) -> Column:
+        return F.replace(F.regexp_replace(t, P.FENCE_OPEN, " "), F.lit(P.FENCE), F.lit(" "))
+
+    text = where_present(text, "[", lambda t: F.regexp_replace(t, P.MD_LINK, "$1"))
+    text = where_present(text, "`", fences)
+    return where_present(text, "#>-+*_", lambda t: sub(
+        t, (P.HEADING, ""), (P.QUOTE, ""), (P.BULLET, ""), (P.HEADING, ""),
         (P.LONE_HASHES, " "), (P.LONE_MARKERS, " "),
-    )
+    ))
 
 
 def _flat_row(line: Column) -> Column:
@@ -95,15 +107,20 @@ def flatten_pipe_tables(text: Column) -> Column:
 
 
 def drop_emphasis(text: Column) -> Column:
-    return sub(
-        text, (P.STRONG, "$2"), (P.EM_STAR, "$1"), (P.EM_UNDERSCORE, "$1"), (P.INLINE_CODE, "$1"),
-        (P.LEFTOVER_MARKERS, " "), (P.LONE_HASHES, " "), (P.BULLET_GLYPHS, ""),
-    )
+    return where_present(text, "*_`#", lambda t: sub(
+        t, (P.STRONG, "$2"), (P.EM_STAR, "$1"), (P.EM_UNDERSCORE, "$1"), (P.INLINE_CODE, "$1"),
+        (P.LEFTOVER_MARKERS, " "), (P.LONE_HASHES, " "),
+    ))
 
 
 def unify_symbols(text: Column) -> Column:
-    text = sub(text, (P.DASHES, "-"), (P.SLASHES, "/"), (P.DOT_OPERATORS, " "))
-    return F.translate(text, P.TIMES_SIGN + P.CYRILLIC_HA, "xx")
+    return where_present(text, P.LOW_SYMBOLS, lambda t: F.translate(
+        sub(t, (P.DASHES, "-"), (P.SLASHES, "/"), (P.DOT_OPERATORS, " ")),
+        P.TIMES_SIGN + P.CYRILLIC_HA, "xx"), high=True)
+
+
+def drop_glyphs(text: Column) -> Column:
+    return where_present(text, P.LOW_SYMBOLS, lambda t: F.regexp_replace(t, P.BULLET_GLYPHS, ""), high=True)
 
 
 def space_punctuation(text: Column, ignore_soft_punctuation: bool = True) -> Column:
@@ -151,7 +168,9 @@ def normalize_text(
         t, urls = state["text"], state["urls"]
         originals = F.concat(urls, F.regexp_extract_all(t, F.lit(P.STAR_GROUP), F.lit(0)))
         plain = drop_markdown_blocks(_mark(t, P.STAR_GROUP, F.size(urls)))
-        plain = unify_symbols(drop_emphasis(flatten_pipe_tables(plain)))
+        # Without pipes only line ends would change, and whitespace collapses later.
+        plain = where_present(plain, "|\x0b", flatten_pipe_tables)
+        plain = unify_symbols(drop_glyphs(drop_emphasis(plain)))
         plain = space_punctuation(plain, ignore_soft_punctuation)
         return let(plain, lambda x: _restore(x, originals))
 
@@ -163,12 +182,15 @@ def normalize_text(
 # --- other normalizers ----------------------------------------------------------
 
 def normalize_space(text: Column) -> Column:
-    return collapse(unescape(text))
+    return collapse(unify_spaces(unescape(text)))
 
 
 def _cell_marks(text: Column) -> Column:
-    text = sub(text, (P.ANY_TAG, " "), (P.CELL_EMPHASIS, ""), (P.CELL_ESCAPED_PIPE, "$1"))
-    return F.translate(text, P.CELL_TO_UPPER_X + P.CYRILLIC_HA, "XXXXx")
+    text = where_present(text, "<", lambda t: F.regexp_replace(t, P.ANY_TAG, " "))
+    text = where_present(text, "*_`\\", lambda t: sub(t, (P.CELL_EMPHASIS, ""), (P.CELL_ESCAPED_PIPE, "$1")))
+    return where_present(
+        text, P.CELL_TO_UPPER_X + P.CYRILLIC_HA,
+        lambda t: F.translate(t, P.CELL_TO_UPPER_X + P.CYRILLIC_HA, "XXXXx"))
 
 
 def normalize_cell(text: Column) -> Column:
@@ -225,7 +247,7 @@ def chars(text: Column) -> Column:
 def sentences(markdown: Column) -> Column:
     """Reading-order blocks: sentences of the cell-Markdown text."""
     parts = F.split(normalize_cell_markdown(markdown), P.SENTENCE_GAP, -1)
-    return F.filter(F.transform(parts, collapse), lambda s: s != "")
+    return F.filter(parts, lambda s: s != "")
 
 
 # --- page content ----------------------------------------------------------------
@@ -290,8 +312,8 @@ def scoring_text(full_text: Column, tables: Column) -> Column:
 
 def block_text(markdown: Column, html: Column, lines_of_spans: Column) -> Column:
     """Text of a layout block: Markdown, else HTML, else its lines and spans."""
-    from_markdown = collapse(F.regexp_replace(_text(markdown), P.LAZY_MD_IMAGE, ""))
-    from_html = sub(_text(html), (P.IMG_TAG, ""), (P.IMAGE_DESCRIPTION, ""), (P.ANY_TAG, " "))
+    from_markdown = collapse(F.regexp_replace(unify_spaces(_text(markdown)), P.LAZY_MD_IMAGE, ""))
+    from_html = sub(unify_spaces(_text(html)), (P.IMG_TAG, ""), (P.IMAGE_DESCRIPTION, ""), (P.ANY_TAG, " "))
     for entity, char in (
         ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&quot;", '"'),
     ):

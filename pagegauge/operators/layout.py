@@ -117,7 +117,8 @@ def layout_report(
     return matches.unionByName(extra_blocks(pred_blocks, matches, keys), allowMissingColumns=True)
 
 
-def page_mean_iou(matches: DataFrame, keys: list[str]) -> DataFrame:
+def page_mean_iou(matches: DataFrame, keys: list[str], digits: int | None = 6) -> DataFrame:
     """Mean IoU over ground-truth blocks; extra blocks do not count."""
+    mean = F.avg("iou") if digits is None else F.round(F.avg("iou"), digits)
     return matches.where(F.col("match_status") != "extra").groupBy(*keys).agg(
-        F.round(F.avg("iou"), 6).alias("mean_iou"), F.count("*").alias("n_blocks"))
+        mean.alias("mean_iou"), F.count("*").alias("n_blocks"))

@@ -18,6 +18,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on inputs with fewer splits than cores; leave large scans as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def number_within(
     df: DataFrame, groups: list[str], order: list[Column], name: str = "seq"
 ) -> DataFrame:

@@ -58,11 +58,12 @@ def corpus_rate(spark, sf):
 
 @query("overall_macro", ("score_log",), f"""
   SELECT model, {rounded('avg(cer)', 6)} AS avg_cer, {rounded('avg(wer)', 6)} AS avg_wer, {rounded('avg(t)', 6)} AS avg_table_teds_doc
-  FROM (SELECT model, uc_type, lang, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(table_teds_doc), 6) AS t
+  FROM (SELECT model, uc_type, lang, avg(cer) AS cer, avg(wer) AS wer, avg(table_teds_doc) AS t
         FROM score_log GROUP BY ALL) GROUP BY model""")
 def overall_macro(spark, sf):
     metrics = ("cer", "wer", "table_teds_doc")
-    return rollup.overall_macro(rollup.uc_summary(fx.score_log(spark, sf), metrics), metrics)
+    means = rollup.uc_summary(fx.score_log(spark, sf), metrics, digits=None)
+    return rollup.overall_macro(means, metrics)
 
 
 @query("overall_micro", ("score_log",), """

@@ -17,9 +17,11 @@ def means(metrics, digits: int | None = 6, prefix: str = "avg_") -> list[Column]
     return out
 
 
-def uc_summary(page_scores: DataFrame, metrics, keys=("model", "uc_type", "lang")) -> DataFrame:
+def uc_summary(
+    page_scores: DataFrame, metrics, keys=("model", "uc_type", "lang"), digits: int | None = 6
+) -> DataFrame:
     """Mean of each metric over the pages of a use case."""
-    return page_scores.groupBy(*keys).agg(*means(metrics), F.count("*").alias("n_pages"))
+    return page_scores.groupBy(*keys).agg(*means(metrics, digits), F.count("*").alias("n_pages"))
 
 
 def overall_macro(uc_scores: DataFrame, metrics) -> DataFrame:

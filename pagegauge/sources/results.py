@@ -30,17 +30,18 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def save_scores(scores: DataFrame, path: str) -> None:
-    """Replace the scores of the documents in ``scores``; other documents stay.
+def save_scores(scores: DataFrame, path: str, keys: list[str] = DOC_KEYS) -> None:
+    """Replace the scores with the same key (document by default); others stay.
 
-    Only the partitions that receive rows are rewritten.
+    Only the partitions that receive rows are rewritten, and saving the same
+    scores twice changes nothing.
     """
     old = read_scores(scores.sparkSession, path)
     merged = scores
     if old is not None:
         touched = scores.select(*PARTITIONS).distinct()
         kept = old.join(touched, PARTITIONS, "left_semi").join(
-            scores.select(*DOC_KEYS).distinct(), DOC_KEYS, "left_anti")
+            scores.select(*keys).distinct(), keys, "left_anti")
         merged = durable(kept.unionByName(scores, allowMissingColumns=True))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *PARTITIONS).parquet(path)

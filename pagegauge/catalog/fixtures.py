@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegauge.catalog.registry import cte
+from pagegauge.functions.exprs import settle
+from pagegauge.operators.evidence import has_table, mentions_figure
 from pagegauge.operators.ordering import spread
 from pagegauge.operators.pairs import pair_pages
+from pagegauge.operators.scoring import normalize_side
 
 PAGE_CHARS = 500
 TOKEN_PAGE_CHARS = 250
@@ -85,6 +88,17 @@ def page_pairs(spark: SparkSession, sf_dir: str, chars: int = PAGE_CHARS) -> Dat
     return pairs.withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
 
 
+def normalized_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page pairs after the full normalizer, which runs once per page of either side."""
+    gt = normalize_side(gt_pages(spark, sf_dir), "gt_text", "ref")
+    pred = pred_pages(spark, sf_dir).withColumns({
+        "has_table": has_table(F.col("pred_text")), "figure_mentions": mentions_figure(F.col("pred_text"))})
+    pairs = pair_pages(gt, normalize_side(pred, "pred_text", "hyp"))
+    return pairs.withColumns({
+        "hyp": F.coalesce("hyp", F.lit("")), "has_table": F.coalesce("has_table", F.lit(False)),
+        "figure_mentions": F.coalesce("figure_mentions", F.lit(False))})
+
+
 def ref_hyp(pairs: DataFrame) -> DataFrame:
     """Score the texts as they are, without the normalizer."""
     return pairs.withColumnsRenamed({"gt_text": "ref", "pred_text": "hyp"})
@@ -289,12 +303,10 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("<"), tag, F.lit(">"), c, F.lit("</"), tag, F.lit(">"))), ""), F.lit("</tr>"))
         return F.concat(F.lit("<table>"), F.array_join(F.transform(grid, row_html), ""), F.lit("</table>"))
 
-    return (
-        pages.withColumn("words", words).where(F.size("words") > 0)
-        .withColumn("n_rows", n_rows).withColumn("gt_rows", F.concat(F.array(header), rows))
-        .withColumn("pred_rows", swapped)
-        .select("doc_id", "page_num", html(F.col("gt_rows")).alias("gt_html"),
-                html(F.col("pred_rows")).alias("pred_html")))
+    split = settle(pages, words=words).where(F.size("words") > 0)
+    gt = settle(settle(split, n_rows=n_rows), gt_rows=F.concat(F.array(header), rows))
+    return settle(gt, pred_rows=swapped).select(
+        "doc_id", "page_num", html(F.col("gt_rows")).alias("gt_html"), html(F.col("pred_rows")).alias("pred_html"))
 
 
 cte("table_words", ("gt_pages",), """

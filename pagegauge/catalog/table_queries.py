@@ -24,7 +24,7 @@ def _grids(spark, sf):
 
 
 def _cells(spark, sf, side):
-    pages = fx.table_pages(spark, sf).select(*KEY, G.html_cells(F.col(f"{side}_html"), "ordinal").alias("cells"))
+    pages = settle(fx.table_pages(spark, sf), cells=G.html_cells(F.col(f"{side}_html"), "ordinal"))
     return C.explode_cells(pages, KEY)
 
 

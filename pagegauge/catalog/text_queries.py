@@ -341,14 +341,14 @@ def skip_done(spark, sf):
 @query("text_bundle")
 def text_bundle(spark, sf):
     """The five text metrics after the full normalizer."""
-    scored = scoring.text_metrics(scoring.normalize_pairs(fx.page_pairs(spark, sf)))
+    scored = scoring.text_metrics(fx.normalized_pairs(spark, sf))
     return scored.select(*PAIR, *[F.round(c, 6).alias(c) for c in (
         "cer", "wer", "normalized_edit_similarity", "char_f1", "word_f1")])
 
 
 @query("scan_pages")
 def scan_pages(spark, sf):
-    scored = scoring.score_scan(scoring.normalize_pairs(fx.page_pairs(spark, sf)), detail=True)
+    scored = scoring.score_scan(fx.normalized_pairs(spark, sf), detail=True)
     return scored.select(
         *PAIR, "cer", "cer_detail.*", *[F.round(c, 6).alias(c) for c in (
             "wer_ws", "nwer", "char_precision", "char_recall")])
@@ -373,7 +373,7 @@ def confusions(spark, sf):
 
 @query("pcs_pages")
 def pcs_pages(spark, sf):
-    scored = scoring.score_punctuation(scoring.normalize_pairs(fx.page_pairs(spark, sf)))
+    scored = scoring.score_punctuation(fx.normalized_pairs(spark, sf))
     return scored.select(*PAIR, "punct_miou", "cap_miou", "pcs")
 
 
@@ -386,7 +386,7 @@ def reading_order(spark, sf):
 
 @query("evidence_pages")
 def evidence_pages(spark, sf):
-    scored = scoring.text_metrics(scoring.normalize_pairs(fx.page_pairs(spark, sf)))
+    scored = scoring.text_metrics(fx.normalized_pairs(spark, sf))
     typed = scored.withColumns({"n_gt_tables": F.lit(0), "n_pred_tables": F.lit(0)})
     return E.evidence(E.diff_pages(typed)).select(
         *PAIR, "ins_word_count", "del_word_count", "size_ratio", "has_table", "figure_mentions",

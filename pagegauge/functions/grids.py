@@ -158,17 +158,18 @@ def cell_exact_f1(ref: Column, pred: Column) -> Column:
 def cell_similarity(ref: Column, pred: Column) -> Column:
     """Mean text similarity over the rectangle that covers both grids."""
     rows = F.greatest(F.size(ref), F.size(pred))
-    cols = F.greatest(width(ref), width(pred))
+    widest = F.greatest(width(ref), width(pred))
     empty = F.array().cast("array<string>")
 
-    def line(a: Column, b: Column) -> Column:
+    def line(a: Column, b: Column, cols: Column) -> Column:
         scored = F.zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda x, y: edit_similarity(
             F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
         # Columns beyond both rows are empty on both sides and count as equal.
         return F.aggregate(scored, (cols - F.size(scored)).cast("double"), lambda acc, v: acc + v)
 
-    total = F.aggregate(F.zip_with(ref, pred, line), F.lit(0.0), lambda acc, v: acc + v)
-    return F.when((rows == 0) & (cols == 0), 1.0).otherwise(ratio(total, rows * cols))
+    total = let(widest, lambda cols: F.aggregate(
+        F.zip_with(ref, pred, lambda a, b: line(a, b, cols)), F.lit(0.0), lambda acc, v: acc + v))
+    return F.when((rows == 0) & (widest == 0), 1.0).otherwise(ratio(total, rows * widest))
 
 
 def count_similarity(a: Column, b: Column) -> Column:

@@ -68,7 +68,12 @@ def item_overlap(ref: Column, pred: Column) -> Column:
 # --- punctuation and capitalization ------------------------------------------------
 
 def aligned_words(ref: Column, pred: Column) -> Column:
-    return arrow.word_alignment(words(ref), words(pred))
+    """Word pairs in order; equal texts align to themselves without Python."""
+    differs = ref != pred
+    same = F.transform(words(ref), lambda w: F.struct(
+        F.lit("match").alias("kind"), w.alias("gt"), w.alias("pred")))
+    found = arrow.word_alignment(F.when(differs, words(ref)), F.when(differs, words(pred)))
+    return F.when(differs, found).otherwise(same)
 
 
 def mark_counts(aligned: Column) -> Column:
@@ -76,15 +81,21 @@ def mark_counts(aligned: Column) -> Column:
     def has(side: Column, mark: str) -> Column:
         return F.coalesce(F.contains(side, F.lit(mark)), F.lit(False))
 
-    def count(keep) -> Column:
-        return F.size(F.filter(aligned, keep))
+    def counts(marked: Column) -> Column:
+        def count(keep) -> Column:
+            return F.size(F.filter(marked, keep))
+
+        return F.array(*[F.struct(
+            F.lit(mark).alias("mark"),
+            count(lambda w, m=mark: has(w["gt"], m) & has(w["pred"], m)).alias("tp"),
+            count(lambda w, m=mark: ~has(w["gt"], m) & has(w["pred"], m)).alias("fp"),
+            count(lambda w, m=mark: has(w["gt"], m) & ~has(w["pred"], m)).alias("fn"),
+        ) for mark in P.PUNCTUATION_MARKS])
 
-    return F.array(*[F.struct(
-        F.lit(mark).alias("mark"),
-        count(lambda w, m=mark: has(w["gt"], m) & has(w["pred"], m)).alias("tp"),
-        count(lambda w, m=mark: ~has(w["gt"], m) & has(w["pred"], m)).alias("fp"),
-        count(lambda w, m=mark: has(w["gt"], m) & ~has(w["pred"], m)).alias("fn"),
-    ) for mark in P.PUNCTUATION_MARKS])
+    any_mark = "[" + "".join(P.PUNCTUATION_MARKS) + "]"
+    return let(F.filter(aligned, lambda w: (
+        F.coalesce(w["gt"].rlike(any_mark), F.lit(False))
+        | F.coalesce(w["pred"].rlike(any_mark), F.lit(False)))), counts)
 
 
 def mark_ious(counts: Column) -> Column:
@@ -182,11 +193,12 @@ def best_formula_similarity(ref: Column, pred: Column) -> Column:
     Stays inside the row: one page's formulas never leave it, and an exact
     partner ends the search.
     """
-    def best(formula: Column) -> Column:
-        others = F.transform(F.array_distinct(pred), lambda p: edit_similarity(formula, p))
-        return F.when(F.array_contains(pred, formula), 1.0).otherwise(F.array_max(others))
+    def best(formula: Column, choices: Column) -> Column:
+        others = F.transform(choices, lambda p: edit_similarity(formula, p))
+        return F.when(F.array_contains(choices, formula), 1.0).otherwise(F.array_max(others))
 
-    total = F.aggregate(F.transform(ref, best), F.lit(0.0), lambda acc, v: acc + v)
+    total = let(F.array_distinct(pred), lambda choices: F.aggregate(
+        F.transform(ref, lambda f: best(f, choices)), F.lit(0.0), lambda acc, v: acc + v))
     return (
         F.when((F.size(ref) == 0) & (F.size(pred) == 0), 1.0)
         .when((F.size(ref) == 0) | (F.size(pred) == 0), 0.0)

@@ -37,9 +37,15 @@ def pair_pages(
     A page the model skipped is paired with NULLs (``matched`` false); predicted
     pages without ground truth are dropped.  Page content crosses the network
     once per side: present pages meet in one join, and the skipped ones are
-    found with keys only before their text is fetched.
+    found with keys only before their text is fetched.  The ground truth is
+    partitioned by page once and that exchange serves both joins, so whatever
+    was computed on it (normalizing, parsing) runs once per page, not per model.
     """
     model_page = ["model", *PAGE]
+    # A fixed count keeps small inputs on all cores: scoring costs far more than reading.
+    spark = gt_pages.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    gt_pages = gt_pages.repartition(slices, *PAGE)
     if pred_docs is None:
         pred_docs = pred_pages.select("model", *DOC).distinct()
     expected = gt_pages.select(*PAGE).join(pred_docs.select("model", *DOC), DOC)

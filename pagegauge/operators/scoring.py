@@ -16,6 +16,14 @@ def normalize_pairs(
     return settle(pairs, ref=X.normalize_text(F.col(gt)), hyp=X.normalize_text(F.col(pred)))
 
 
+def normalize_side(pages: DataFrame, text: str, name: str) -> DataFrame:
+    """Replace a page text by its normalized form; cheaper before pairing than after.
+
+    A plain projection, so that joins on keys alone prune it.
+    """
+    return pages.withColumn(name, X.normalize_text(F.col(text))).drop(text)
+
+
 def text_metrics(pairs: DataFrame) -> DataFrame:
     """Character and token metrics of ``ref`` and ``hyp``; one Arrow pass, no shuffle."""
     ref, hyp = F.col("ref"), F.col("hyp")
@@ -126,9 +134,9 @@ def score_punctuation(pairs: DataFrame) -> DataFrame:
     ref, hyp = F.col("ref"), F.col("hyp")
     aligned = pairs if "aligned" in pairs.columns else settle(pairs, aligned=M.aligned_words(ref, hyp))
     counted = settle(
-        aligned, per_punct=M.mark_ious(M.mark_counts(F.col("aligned"))),
-        cap_detail=M.capital_counts(F.col("aligned")))
-    both_empty = (F.size(words(ref)) == 0) & (F.size(words(hyp)) == 0)
+        settle(aligned, _marks=M.mark_counts(F.col("aligned"))),
+        per_punct=M.mark_ious(F.col("_marks")), cap_detail=M.capital_counts(F.col("aligned"))).drop("_marks")
+    both_empty = (F.trim(ref) == "") & (F.trim(hyp) == "")
     scored = counted.withColumns({
         "punct_miou": M.mean_mark_iou(F.col("per_punct")),
         "cap_miou": M.capital_iou(F.col("cap_detail"), both_empty),
@@ -156,7 +164,7 @@ def score_pages(pairs: DataFrame) -> DataFrame:
     where either side has a table; elsewhere they stay NULL so that means skip
     them.  Expects ``gt_text``, ``pred_text``, ``gt_tables``, ``pred_tables``.
     """
-    texts = normalize_pairs(pairs)
+    texts = pairs if {"ref", "hyp"} <= set(pairs.columns) else normalize_pairs(pairs)
     grids = settle(
         texts, gt_grids=G.html_grids(page_html(F.col("gt_tables"))),
         pred_grids=G.html_grids(page_html(F.col("pred_tables"))))

@@ -46,7 +46,8 @@ def with_evidence(scored: DataFrame) -> DataFrame:
     prose = scoring.normalize_pairs(scored, "gt_prose", "pred_text").withColumns({
         "n_gt_tables": F.coalesce(F.size("gt_tables"), F.lit(0)),
         "n_pred_tables": F.coalesce(F.size("pred_tables"), F.lit(0)),
-        "pred_text": F.coalesce("pred_raw", F.lit(""))})
+        "has_table": evidence.has_table(F.coalesce("pred_raw", F.lit(""))),
+        "figure_mentions": evidence.mentions_figure(F.coalesce("pred_raw", F.lit("")))})
     return evidence.evidence(evidence.diff_pages(prose)).drop("chunks", "ref", "hyp")
 
 

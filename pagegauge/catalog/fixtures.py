@@ -343,8 +343,11 @@ def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.regexp_extract(line, "[^ ]*$", 0))
 
     indexed = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct(line.alias("line"), k.alias("k")))
-    part = [F.concat(F.array(header), F.transform(
-        F.filter(indexed, lambda x, t=t: x["k"] % 3 == t), lambda x: facts(x["line"]))) for t in range(3)]
+    def third(t: int) -> Column:
+        chosen = F.filter(indexed, lambda x: x["k"] % 3 == t)
+        return F.concat(F.array(header), F.transform(chosen, lambda x: facts(x["line"])))
+
+    part = [third(t) for t in range(3)]
     swapped = [F.transform(p, lambda row: F.transform(row, lambda c: F.replace(c, F.lit("th"), F.lit("tn")))) for p in part]
     keep = F.when(F.col("doc_id") % 5 == 0, F.array(swapped[2], swapped[1])).otherwise(F.array(*swapped[::-1]))
     return docs.select("doc_id", F.array(*part).alias("gt_grids"), keep.alias("pred_grids"))

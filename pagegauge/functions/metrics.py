@@ -81,16 +81,18 @@ def mark_counts(aligned: Column) -> Column:
     def has(side: Column, mark: str) -> Column:
         return F.coalesce(F.contains(side, F.lit(mark)), F.lit(False))
 
-    def counts(marked: Column) -> Column:
+    def one(marked: Column, mark: str) -> Column:
         def count(keep) -> Column:
             return F.size(F.filter(marked, keep))
 
-        return F.array(*[F.struct(
+        return F.struct(
             F.lit(mark).alias("mark"),
-            count(lambda w, m=mark: has(w["gt"], m) & has(w["pred"], m)).alias("tp"),
-            count(lambda w, m=mark: ~has(w["gt"], m) & has(w["pred"], m)).alias("fp"),
-            count(lambda w, m=mark: has(w["gt"], m) & ~has(w["pred"], m)).alias("fn"),
-        ) for mark in P.PUNCTUATION_MARKS])
+            count(lambda w: has(w["gt"], mark) & has(w["pred"], mark)).alias("tp"),
+            count(lambda w: ~has(w["gt"], mark) & has(w["pred"], mark)).alias("fp"),
+            count(lambda w: has(w["gt"], mark) & ~has(w["pred"], mark)).alias("fn"))
+
+    def counts(marked: Column) -> Column:
+        return F.array(*[one(marked, mark) for mark in P.PUNCTUATION_MARKS])
 
     any_mark = "[" + "".join(P.PUNCTUATION_MARKS) + "]"
     return let(F.filter(aligned, lambda w: (

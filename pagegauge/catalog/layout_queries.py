@@ -18,9 +18,10 @@ def _matches(spark, sf):
 
 
 @query("layout_best", ("block_best",), """
-  SELECT page_id, gt_pos, pred_pos, round(iou, 6) AS iou FROM block_best""")
+  SELECT page_id, gt_pos, coalesce(pred_pos, -1) AS pred_pos, round(iou, 6) AS iou FROM block_best""")
 def layout_best(spark, sf):
-    return _matches(spark, sf).select("page_id", "gt_pos", "pred_pos", "iou")
+    return _matches(spark, sf).select(
+        "page_id", "gt_pos", F.coalesce("pred_pos", F.lit(-1)).alias("pred_pos"), "iou")
 
 
 @query("layout_status", ("block_status",), """

@@ -402,3 +402,48 @@ def markdown_bundle(spark, sf):
 def content_filter(spark, sf):
     filtered = settle(fx.texts(spark, sf, "pages"), kept=X.filter_content(F.col("html")))
     return filtered.select("page_id", X.normalize_text(F.col("kept")).alias("text"))
+
+
+@query("page_flags", (), r"""
+  SELECT page_id, regexp_matches(html, '(?i)<table\b') AS has_table, regexp_matches(html, '(?i)\bfigure\b') AS figure_mentions,
+         length(substring(html, 1, 400)) AS preview_chars FROM pages""")
+def page_flags(spark, sf):
+    html = F.col("html")
+    return fx.texts(spark, sf, "pages").select(
+        "page_id", E.has_table(html).alias("has_table"), E.mentions_figure(html).alias("figure_mentions"),
+        F.length(F.substring(html, 1, E.PREVIEW)).alias("preview_chars"))
+
+
+@query("signals", (), """
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',',
+    CASE WHEN r > 1.3 AND i > d * 1.5 THEN 'over_generation' END, CASE WHEN r < 0.65 AND d > i * 1.5 THEN 'omission' END,
+    CASE WHEN g > 0 AND NOT t AND p = 0 THEN 'flattened_tables' END, CASE WHEN f AND i > 10 THEN 'figure_text' END,
+    CASE WHEN s > 0.80 AND c > 0.25 AND r > 0.85 AND r < 1.2 THEN 'reading_order' END) AS signals
+  FROM (SELECT *, l_quantity / 25 AS r, l_partkey % 30 AS i, l_suppkey % 30 AS d, l_linenumber % 3 AS g, l_partkey % 2 AS p,
+               l_suppkey % 2 = 0 AS t, l_partkey % 3 = 0 AS f, l_discount * 5 AS c, 1 - l_tax AS s FROM lineitem)""")
+def signals(spark, sf):
+    c = F.col
+    found = E.signals(
+        c("l_quantity") / 25, c("l_partkey") % 30, c("l_suppkey") % 30, c("l_linenumber") % 3, c("l_partkey") % 2,
+        c("l_suppkey") % 2 == 0, c("l_partkey") % 3 == 0, c("l_discount") * 5, 1 - c("l_tax"))
+    return fx.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(found, ",").alias("signals"))
+
+
+@query("scoring_text", ("gt_cells", "table_words"), """
+  SELECT doc_id, page_num, 'prose ' || doc_id || chr(10) || 'w1 w2 w3 w4 ' || array_to_string(words, ' ') AS scoring_text
+  FROM table_words WHERE len(words) > 0""")
+def scoring_text(spark, sf):
+    from pagegauge.functions import grids as G
+    html = F.col("gt_html")
+    one = F.array(F.struct(F.lit(1).alias("table_id"), html.alias("html"), F.when(
+        F.col("page_num") % 2 == 0, G.html_cells(html)).otherwise(F.array().cast(G.CELLS)).alias("cells")))
+    pages = settle(fx.table_pages(spark, sf), tables=one)
+    prose = F.concat(F.lit("prose "), F.col("doc_id").cast("string"))
+    return pages.select("doc_id", "page_num", X.scoring_text(prose, F.col("tables")).alias("scoring_text"))
+
+
+@query("pcs_summary")
+def pcs_summary(spark, sf):
+    from pagegauge.operators.rollup import overall_micro
+    return overall_micro(pcs_pages(spark, sf), ("pcs", "punct_miou", "cap_miou"))

@@ -228,10 +228,10 @@ def test_asset_listing(spark, tmp_path):
 
 def test_split_predictions_and_merge(spark, tmp_path):
     page = {"pages": [{"page_num": 1, "full_text": "t", "tables": []}]}
-    write(tmp_path, "scan/en/marker_output/d_text_prediction.json", page)
-    write(tmp_path, "scan/en/marker_output/d_prediction.json", page)
-    write(tmp_path, "scan/en/marker_output/e_prediction.json", page)
-    write(tmp_path, "scan/en/marker_output/d_table_prediction.json",
+    write(tmp_path, "scan/en/alpha_output/d_text_prediction.json", page)
+    write(tmp_path, "scan/en/alpha_output/d_prediction.json", page)
+    write(tmp_path, "scan/en/alpha_output/e_prediction.json", page)
+    write(tmp_path, "scan/en/alpha_output/d_table_prediction.json",
           {"pages": [{"page_num": 1, "tables": [{"table_id": 1, "html": TABLE}]}]})
     split = documents.read_split_predictions(spark, str(tmp_path))
     text = documents.prefer_text(split)

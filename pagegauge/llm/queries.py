@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import minhash, packing, quality, tokenfiles
+from pagegauge.llm import chat, decontaminate, langid, minhash, packing, quality, secrets, tokenfiles
 from pagegauge.llm.store import scratch, table
 from pagegauge.llm.tokens import BYTE_LEVEL, WORD_LEVEL
 
@@ -25,6 +25,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -36,6 +42,29 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(WORD_LEVEL), with_ids=False).drop("ids")
 
 
+@query
+def op4_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    return chat.read_back(chat.formatted(chat.ranked(chat.linear(turns.union(more)))))
+
+
+@query
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.report(secrets.scan(docs, repository="doc_id", owner="source"))
+
+
+@query
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = quality.held_out("doc_id", 4)
+    found = [(r.lang, bytes(r.sample), bytes(r.held_back)) for r in langid.samples(docs.where(fold != 2)).collect()]
+    return langid.predict(docs.select("doc_id", "text"), found).select(
+        "doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

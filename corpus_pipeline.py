@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import minhash, packing, quality
+from pagegauge.llm import decontaminate, minhash, packing, quality, secrets
 from pagegauge.llm.store import scratch, table
 from pagegauge.llm.tokens import WORD_LEVEL
 
@@ -23,6 +23,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return minhash.deduplicated(docs)
 
 
+def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a test item, edited or not, go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: every secret value but widely copied examples becomes a mark; all documents stay."""
+    scanned = secrets.scan(docs, repository="doc_id", owner="source")
+    return secrets.masked(docs, scanned).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens; the ids of each piece are part of its row."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_LEVEL))
@@ -31,6 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_good),
     ("near-dedup", keep_one_of_each_group),
+    ("decontamination", remove_test_items),
+    ("secret scan", mask_secrets),
     ("packing", pack),
 ]
 

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import chat, decontaminate, langid, minhash, packing, quality, secrets, tokenfiles
+from pagegauge.llm import chat, decontaminate, langid, minhash, multiindex, packing, pii, quality, secrets, tokenfiles
 from pagegauge.llm.store import scratch, table
 from pagegauge.llm.tokens import BYTE_LEVEL, WORD_LEVEL
 
 QUERIES = {}
 SQL: dict[str, str] = {}
+#: A user passes a key of their own; results of the query must be the same everywhere.
+SURROGATE_KEY = b"surrogates of the registered query"
 _SQL_FOLDER = Path(__file__).resolve().parent / "sql"
 
 
@@ -65,6 +67,11 @@ def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,3 +90,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write_token_files(
         docs, folder, public_tokenizers.path(BYTE_LEVEL), end_id=2, vocabulary_size=50257)
     return tokenfiles.read_token_files(manifest, folder).drop("ids")
+
+
+@query
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymized(docs, key=SURROGATE_KEY)

@@ -14,7 +14,7 @@ from pagegauge.llm.tokens import WORD_LEVEL
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents with a score below 0.3 go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.train(docs, labels)
     return quality.score(docs, model, name="_score").where("_score >= 0.3").drop("_score")
 
 

@@ -4,23 +4,26 @@
    128-bit digest of its words, a signature of minima (one byte each) and the
    keys of its bands.  Documents with equal words form one class, represented
    by its smallest id; everything below sees representatives only.
-2. First round: in each bucket (band key) every member is paired with the
-   smallest member only, so a bucket of any size gives as many candidates as
-   it has members.
+2. First round: the smallest member of a bucket (band key) is its center, and
+   every document is paired with one center only, the one with which it shares
+   most buckets, so there are never more candidates than documents.
 3. A candidate's signatures are compared batch by batch.  With a uniform prior
    the similarity after ``m`` minima with ``k`` matches is Beta(k+1, m-k+1); a
    pair is dropped as soon as the posterior probability of reaching the
-   threshold is below ``miss``.
-4. Survivors are checked exactly on their full shingle sets, from the texts.
+   threshold is below ``MISS``.
+4. Documents connected by survivors are a family.  Its members are dealt out as
+   blocks that meet in pairs; there, pairs that no batch rules out are checked
+   exactly on their full shingle sets, unless their components have become one
+   meanwhile.  A text is sent once per block pair, and at most as many links as
+   members become rows, however many pairs of a block are similar.
 5. Links give components by minimum labels with pointer jumping.
-6. Second round: of the members other than the smallest, pairs of *different*
-   components are compared inside each bucket, in blocks of bounded size that
-   meet in pairs, so that a large bucket is spread over many tasks and only
-   survivors become rows.  Survivors are checked exactly and components are
-   formed again from all links.
+6. Second round: members of *different* components are compared inside each
+   bucket, again in blocks that meet in pairs, and again only a forest over the
+   survivors becomes rows.  The families it gives are checked as in step 4, and
+   components are formed anew from all links.
 
 A pair at the threshold shares no band with probability below 1e-5 (128
-minima, bands of 4); that and ``miss`` are the only ways to lose a link.
+minima, bands of 4); that and ``MISS`` are the only ways to lose a link.
 
 Defined results: a null or empty text has an empty set and is linked with
 nothing; a null document id is its own row with a null component; rows that
@@ -51,6 +54,10 @@ MISS = 1e-7
 BATCH = 16
 #: Members of a block in the second round.
 BLOCK = 256
+#: Members of a block in exact checks, and pairs screened at a time.
+FAMILY_BLOCK, CHUNK = 384, 1 << 15
+#: Bound of the broadcast bit map of ids: 2**24 bits are 262,144 rows of 64 bits.
+MAP_BITS = 24
 
 
 @cache
@@ -152,30 +159,74 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).take(pa.array(kept))
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose full shingle sets reach the threshold; the left set is kept while it repeats."""
-    last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-    for batch in batches:
-        for part in slices(batch, "text_b", 1 << 20):
-            ids, texts = part.column("a").to_pylist(), part.column("text_a")
-            right = shingle_sets([words_of(t) for t in part.column("text_b").to_pylist()], SHINGLE)
-            kept = []
-            for k, (a, b) in enumerate(zip(ids, right, strict=True)):
-                if a != last[0]:
-                    last = (a, shingle_sets([words_of(texts[k].as_py())], SHINGLE)[0])
-                common = len(np.intersect1d(last[1], b, assume_unique=True))
-                kept.append(100 * common >= PERCENT * (len(last[1]) + len(b) - common))
-            yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b), by the exact similarity of the texts (node, text)."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = texts.join(ids, "node", "left_semi")
-    left = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_exact, "a long, b long")
+def _forest(nodes: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number reachable from each of ``nodes`` numbers over edges (x, y)."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _linked(members: pa.Table) -> pa.Table:
+    """Links that join components of two blocks of a family (or of one), exactly checked."""
+    members = members.sort_by("node")
+    node, component = members.column("node").to_numpy(), members.column("component").to_numpy()
+    n, block = members.column("n").to_numpy(), members.column("block").to_numpy()
+    signature = _signatures(members.column("signature"))
+    x, y = np.triu_indices(len(node), 1)
+    apart = (component[x] != component[y]) & _size_fits(n[x], n[y])
+    if block.min() != block.max():
+        apart &= block[x] != block[y]
+    x, y = x[apart], y[apart]
+    kept = np.concatenate([np.zeros(0, np.int64), *[
+        k + plausible(signature[x[k:k + CHUNK]], signature[y[k:k + CHUNK]]) for k in range(0, len(x), CHUNK)]])
+    x, y = x[kept], y[kept]
+    used = np.unique(np.concatenate([x, y]))
+    words = [words_of(t) for t in members.column("text").take(pa.array(used)).to_pylist()]
+    sets = dict(zip(used.tolist(), shingle_sets(words, SHINGLE), strict=True))
+    parent = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(component[i]), top(component[j])
+        if p != q:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= PERCENT * (len(sets[i]) + len(sets[j]) - common):
+                parent[max(p, q)] = min(p, q)
+                links.append((int(node[i]), int(node[j])))
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def holding(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose node is in ``ids``; most others are left out before the exchange.
+
+    A bit map of the hashed ids, of at most 2**MAP_BITS bits, is broadcast as rows of 64 bits; the join after it is
+    exact.  With more ids than bits it lets all texts pass.
+    """
+    ids = settled(ids, "minhash-ids")
+    bits = min(1 << MAP_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+
+    def place(node: str):
+        return F.pmod(F.xxhash64(node), F.lit(bits))
+
+    words = ids.select((place("node") / 64).cast("long").alias("_word"), (place("node") % 64).cast("int").alias("_bit")
+                       ).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_map"))
+    near = texts.withColumn("_word", (place("node") / 64).cast("long")).join(F.broadcast(words), "_word").where(
+        F.getbit("_map", (place("node") % 64).cast("int")) == 1).select(texts.columns)
+    return near.join(ids, "node", "left_semi")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -197,8 +248,30 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def confirmed(survivors: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within the families that survivors (a, b) connect.
+
+    ``members``: (node, component, n, signature); ``texts``: (node, text).
+    """
+    families = components(survivors, "minhash-families")
+    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    placed = settled(families.join(sizes, "component").select(
+        "node", F.col("component").alias("family"), "blocks",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "minhash-placed")
+    full = placed.join(members, "node").join(holding(texts, placed.select("node")), "node")
+    # Block k meets every block, itself included.
+    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "node", "component", "n", "block", "signature", "text")
+
+    def check(key, table):
+        return _linked(table)
+
+    return pairs.groupBy("family", "i", "j").applyInArrow(check, "a long, b long")
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Survivors among the members of two blocks that lie in different components."""
+    """What survivors among the members of two blocks connect; only different components are compared."""
     def arrays(members: dict):
         return (np.array(members["node"], np.int64), np.array(members["component"], np.int64),
                 np.array(members["n"], np.int64), np.frombuffer(b"".join(members["sig"]), np.uint8).reshape(-1, MINIMA))
@@ -210,13 +283,14 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             close = (comp_a[:, None] != comp_b) & _size_fits(n_a[:, None], n_b)
             close &= (node_a[:, None] < node_b) if row["i"] == row["j"] else (node_a[:, None] != node_b)
             x, y = np.nonzero(close)
-            found = [np.zeros((0, 2), np.int64)]
-            for k in range(0, len(x), 1 << 15):
-                p, q = x[k:k + (1 << 15)], y[k:k + (1 << 15)]
-                kept = plausible(sig_a[p], sig_b[q])
-                found.append(np.stack([node_a[p[kept]], node_b[q[kept]]], 1))
-            out = np.sort(np.concatenate(found), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            kept = np.concatenate([np.zeros(0, np.int64), *[
+                k + plausible(sig_a[x[k:k + CHUNK]], sig_b[y[k:k + CHUNK]]) for k in range(0, len(x), CHUNK)]])
+            # Instead of all survivors, each member with the smallest one it is connected to.
+            every = np.unique(np.concatenate([node_a[x[kept]], node_b[y[kept]]]))
+            smallest = every[_forest(len(every), np.searchsorted(every, node_a[x[kept]]),
+                                     np.searchsorted(every, node_b[y[kept]]))]
+            edge = smallest != every
+            yield pa.RecordBatch.from_arrays([pa.array(smallest[edge]), pa.array(every[edge])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,22 +304,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = nodes.select("node", "n", F.explode("bands").alias("band"))
     centers = bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = settled(bands.join(centers, "band").where("node != center"), "minhash-members")
+    members = settled(bands.join(centers, "band"), "minhash-members")
 
     signatures = nodes.select("node", "signature", "n")
     left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"), F.col("n").alias("n_a"))
     right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("n").alias("n_b"))
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(
-            _screen, "a long, b long")
-
-    stars = members.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = settled(confirmed(settled(screened(stars), "minhash-first"), texts), "minhash-links")
+    shared = members.where("node != center").groupBy("node", "center").agg(F.count("*").alias("_c"))
+    stars = shared.groupBy("node").agg(F.max(F.struct("_c", (-F.col("center")).alias("_minus"))).alias("_best")).select(
+        (-F.col("_best._minus")).alias("a"), F.col("node").alias("b"))
+    screened = stars.join(right, "b").join(left, "a").where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(
+        _screen, "a long, b long")
+    alone = nodes.select("node", F.col("node").alias("component"), "n", "signature")
+    first = settled(confirmed(settled(screened, "minhash-first"), alone, texts), "minhash-links")
     labels = components(first, "minhash-first")
 
-    # Members other than the smallest, in buckets where they lie in different components.
+    # Buckets whose members lie in different components.
     labelled = members.join(labels, "node", "left").select(
         "band", "node", "n", F.coalesce("component", "node").alias("component"))
     open_bands = labelled.groupBy("band").agg(
@@ -262,7 +337,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rights = blocks.select("band", F.col("block").alias("j"), F.col("m").alias("right"))
     crossed = lefts.join(rights, ["band", "j"]).select("i", "j", "left", "right").mapInArrow(
         _cross, "a long, b long").distinct()
-    second = settled(confirmed(settled(crossed, "minhash-second"), texts), "minhash-links")
+    joined = alone.drop("component").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    second = settled(confirmed(settled(crossed, "minhash-second"), joined, texts), "minhash-links")
     if not second.isEmpty():
         labels = components(first.union(second), "minhash-all")
 

@@ -6,7 +6,7 @@ largest response of each filter in the chunk is kept, and one logistic output
 is formed of the mean over the chunks and the maximum over the chunks.  All
 chunks of all texts count, however long the text.
 
-Training: a bounded sample of labelled rows (``max_rows`` rows with the
+Training: a bounded sample of labelled rows (``max_rows`` labels with the
 smallest hashes, and at most ``max_chunks`` chunks of each, spread over the
 whole text) is fitted in one task by about ``steps`` mini-batches of gradient
 descent (8 to 40 passes) with a fixed seed.  The weights are a few kilobytes.
@@ -139,10 +139,14 @@ class Network:
 
 
 def train(
-    labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_rows: int = 5000,
-    max_chunks: int = 16, steps: int = 2000, rate: float = 0.004,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
+    max_rows: int = 5000, max_chunks: int = 16, steps: int = 2000, rate: float = 0.004,
 ) -> bytes | None:
-    """Fit on the ``max_rows`` labelled rows with the smallest hashes of their key; None without two classes."""
+    """Fit on the ``max_rows`` labels with the smallest hashes of their key; None without two classes.
+
+    The labels are chosen before they meet the documents, so what is broadcast is bounded and no text is shuffled
+    but those of the sample.
+    """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["order"], r["text"]))
@@ -155,10 +159,11 @@ def train(
             model = pickle.dumps(model.p)
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    rows = labelled.select(
-        F.xxhash64(F.col(key)).alias("order"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    sample = rows.orderBy("order", "text").limit(max_rows)
+    chosen = labels.select(
+        F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("order")).where(
+        F.col("_key").isNotNull() & F.col("label").isin(0, 1)).orderBy("order", "_key", "label").limit(max_rows)
+    sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
+        F.broadcast(chosen), "_key").select("order", "text", "label")
     found = sample.repartition(1).mapInArrow(fit, "model binary").head(1)
     return found[0]["model"] if found else None
 

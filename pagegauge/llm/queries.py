@@ -77,7 +77,7 @@ def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = quality.held_out("doc_id", 5)
     labels = table(spark, sf_dir, "labels").where(fold != 0).select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(docs.join(labels, "doc_id"))
+    model = quality.train(docs, labels)
     return quality.score(docs, model).select(
         "doc_id", (fold == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

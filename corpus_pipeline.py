@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegauge.llm import decontaminate, minhash, packing, quality, secrets
-from pagegauge.llm.store import scratch, table
+from pagegauge.llm.store import fresh, scratch, table
 from pagegauge.llm.tokens import WORD_LEVEL
 
 
@@ -15,7 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents with a score below 0.3 go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
-    return quality.score(docs, model, name="_score").where("_score >= 0.3").drop("_score")
+    name = fresh(docs, "_score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.3).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     own = feats.select("doc_id", "n_shingles", "words").join(classes, "words", "left")
     return own.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")).withColumn(
+        "doc_id", "n_shingles", F.when(
+            F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 

@@ -33,11 +33,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.llm.batches import slices
-from pagegauge.llm.store import settled
+from pagegauge.llm.store import fresh, settled
 
 KINDS = ("email", "ip", "card", "phone", "name")
 BROADCAST_ROWS = 100_000
@@ -266,16 +266,17 @@ def pseudonymized(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     known = None
     if odd.count() <= BROADCAST_ROWS:
         known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.form): r.attempt for r in odd.collect()})
-        rows, extra = docs, []
+        rows, extra = docs, None
     else:
-        rows, extra = _with_attempts(docs, odd, text), ["_attempts"]
+        extra = fresh(docs, "_attempts")
+        rows = _with_attempts(docs, odd, text, extra)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Surrogates(key)
         at = kept.index(text)
         for batch in batches:
             for part in slices(batch, text):
-                own = part.column("_attempts").to_pylist() if extra else None
+                own = part.column(extra).to_pylist() if extra else None
                 texts, numbers = [], []
                 for k, t in enumerate(part.column(text).to_pylist()):
                     attempts = known.value if known else {(a["kind"], a["form"]): a["attempt"] for a in own[k] or ()}
@@ -300,7 +301,7 @@ def _rewritten(text: str | None, maker: Surrogates, attempts: dict) -> tuple[str
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-def _with_attempts(docs: DataFrame, odd: DataFrame, text: str) -> DataFrame:
+def _with_attempts(docs: DataFrame, odd: DataFrame, text: str, name: str) -> DataFrame:
     """The documents with the attempts of the entities they hold, joined by a hash of the text.
 
     Equal texts hold equal entities, so each distinct text is listed once.
@@ -315,10 +316,10 @@ def _with_attempts(docs: DataFrame, odd: DataFrame, text: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["_h", "kind", "form"])
 
-    digest = F.sha2(F.col(text).cast("string"), 256).alias("_h")
-    texts = docs.select(digest, F.col(text).cast("string").alias("text")).where("text is not null")
+    by = fresh(docs, "_h")
+    digest = F.sha2(F.col(text).cast("string"), 256)
+    texts = docs.select(digest.alias("_h"), F.col(text).cast("string").alias("text")).where("text is not null")
     held = texts.mapInArrow(listed, "_h string, kind string, form string").distinct()
-    # One kind and form may be in a third of all texts: count on skew-join handling, both sides come from exchanges.
-    attempts = held.join(odd, ["kind", "form"]).groupBy("_h").agg(
-        F.collect_list(F.struct("kind", "form", "attempt")).alias("_attempts"))
-    return docs.withColumn("_h", digest).join(attempts, "_h", "left").drop("_h")
+    attempts = held.join(odd, ["kind", "form"]).groupBy(F.col("_h").alias(by)).agg(
+        F.collect_list(F.struct("kind", "form", "attempt")).alias(name))
+    return docs.withColumn(by, digest).join(attempts, by, "left").drop(by)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge.llm.store import settled
+from pagegauge.llm.store import fresh, settled
 
 #: Kind, pattern, group of the value, fewest characters of the value.  Only ``assign`` can match a value that is too
 #: short and then hide a later one, so its length is tested after matching; runs of the others end where they end.
@@ -140,11 +140,15 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
-    """The documents with every secret value replaced by ``mask``, except widely copied examples."""
+    """The documents with every secret value replaced by ``mask``, except widely copied examples.
+
+    Rows that repeat an id must hold the same text, as one row of ``scanned`` is taken for each id.
+    """
     taken = F.filter("spans", lambda s: ~F.array_contains("shared", F.sha2(s["value"], 256)))
-    hits = scanned.where(F.size("spans") > F.size("shared")).select(
-        F.col("doc_id").alias("_doc"), F.array_sort(F.transform(taken, lambda s: F.struct(
-            s["from"].alias("from"), s["end"].alias("end")))).alias("_hits")).where(F.size("_hits") > 0).dropDuplicates(["_doc"])
+    doc, hit, done = (fresh(docs, c) for c in ("_doc", "_hits", "_cut"))
+    hits = scanned.where(F.size("spans") > 0).select(
+        F.col("doc_id").alias(doc), F.array_sort(F.transform(taken, lambda s: F.struct(
+            s["from"].alias("from"), s["end"].alias("end")))).alias(hit)).where(F.size(hit) > 0).dropDuplicates([doc])
 
     def cut(acc: Column, s: Column) -> Column:
         # Values of two kinds may overlap: what is masked already stays masked.
@@ -155,8 +159,8 @@ def masked(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
             F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask))).alias("out"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = F.substring(F.col("text"), (F.col("_cut.at") + 1).cast("int"), F.lit(2 ** 31 - 1))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn(
-        "_cut", F.when(F.col("_hits").isNotNull(), F.aggregate("_hits", zero, cut)))
+    rest = F.substring(F.col("text"), (F.col(f"{done}.at") + 1).cast("int"), F.lit(2 ** 31 - 1))
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)), "left").withColumn(
+        done, F.when(F.col(hit).isNotNull(), F.aggregate(hit, zero, cut)))
     return joined.withColumn("text", F.when(
-        F.col("_hits").isNotNull(), F.concat("_cut.out", rest)).otherwise(F.col("text"))).select(docs.columns)
+        F.col(hit).isNotNull(), F.concat(f"{done}.out", rest)).otherwise(F.col("text"))).select(docs.columns)

@@ -38,11 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, bytes_each: int = 0) -> DataFrame:
-    """Deal a table read as one split to all cores; a table with enough splits is left alone.
-
-    Only for inputs below the size of one scan split: larger ones are split by the scan.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < 2 and df.rdd.getNumPartitions() < cores else df
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name

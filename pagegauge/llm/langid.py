@@ -145,10 +145,12 @@ class Model:
             c = columns[k, :n, None]
             to = self.table[state[:n] + c]
             ended = to == 0
-            count[:n] += ended
-            # The byte at which a phrase ended begins the next one; one that no sample has is a phrase itself.
+            # The byte at which a phrase ended begins the next one; one that the sample lacks is a phrase itself.
             again = self.table[start + c]
-            to = np.where(ended, np.where(again == 0, start, again), to)
+            lacking = again == 0
+            count[:n] += ended
+            count[:n] += lacking & (state[:n] != start)
+            to = np.where(ended, np.where(lacking, start, again), to)
             state[:n] = to
         return count
 

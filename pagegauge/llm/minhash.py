@@ -16,7 +16,8 @@
    exactly on their full shingle sets, unless their components have become one
    meanwhile.  A text is sent once per block pair, and at most as many links as
    members become rows, however many pairs of a block are similar.
-5. Links give components by minimum labels with pointer jumping.
+5. Links give components by hooking to the smallest neighbour, pointer jumping
+   and contraction.
 6. Second round: members of *different* components are compared inside each
    bucket, again in blocks that meet in pairs, and again only a forest over the
    survivors becomes rows.  The families it gives are checked as in step 4, and
@@ -230,22 +231,36 @@ def holding(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected links (a, b)."""
-    both = settled(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-links")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(
-        F.min("b").alias("_m")).select("node", F.least("node", "_m").alias("component")), f"{name}-labels")
+    """(node, component): the smallest node reachable over undirected links (a, b).
+
+    Every node hooks to its smallest neighbour, chains of hooks are doubled until they end, and the links between
+    what is left are contracted; each round works on the remaining links only.
+    """
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    edges = settled(links.select(*ordered("a", "b")).where("a != b").distinct(), f"{name}-links")
+    found = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("component").alias("_near"))
-        hooked = labels.join(near, "node").select(
-            "node", F.col("component").alias("_old"), F.least("component", "_near").alias("_next"))
-        # Jump to the label of the label; a label is itself a node.
-        jump = labels.select(F.col("node").alias("_next"), F.col("component").alias("_jump"))
-        moved = settled(hooked.join(jump, "_next", "left").select(
-            "node", F.least("_next", "_jump").alias("component"), "_old"), f"{name}-labels")
-        labels = moved.select("node", "component")
-        if moved.where(F.col("component") != F.col("_old")).isEmpty():
-            return labels
+        both = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), "a"))
+        hooks = settled(both.groupBy("node").agg(F.least("node", F.min("b")).alias("label")), f"{name}-hooks")
+        moving = True
+        while moving:
+            jump = hooks.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            further = settled(hooks.join(jump, "label").select("node", "label", "_to"), f"{name}-hooks")
+            moving = not further.where("label != _to").isEmpty()
+            hooks = further.select("node", F.col("_to").alias("label"))
+        if found is None:
+            found = hooks
+        else:
+            step = hooks.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            found = settled(found.join(step, "label", "left").select(
+                "node", F.coalesce("_to", "label").alias("label")), f"{name}-labels")
+        ends = [hooks.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")) for end in ("a", "b")]
+        edges = settled(edges.join(ends[0], "a").join(ends[1], "b").where("_a != _b").select(
+            *ordered("_a", "_b")).distinct(), f"{name}-links")
+        if edges.isEmpty():
+            return found.select("node", F.col("label").alias("component"))
 
 
 def confirmed(survivors: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def test_repeated_rows_and_empty_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_components_equal_a_plain_search(spark):
+    rng = random.Random(6)
+    links = [(k, k + 1) for k in range(1000, 1040)] + [(500, k) for k in range(501, 530)] + [(k, 999) for k in range(900, 930)]
+    links += [(rng.randint(1, 60), rng.randint(1, 60)) for _ in range(40)]
+    label = {k: k for link in links for k in link}
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if v == high else v for k, v in label.items()}
+    table = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.component for r in minhash.components(table, "test").collect()}
+    assert all(got.get(k, k) == v for k, v in label.items())
+    assert minhash.components(table.limit(0), "test").count() == 0
+
+
 def members(sets, components, blocks):
     sig = [((minhash.minima(s) * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8).tobytes() for s in sets]
     return sig, components, blocks

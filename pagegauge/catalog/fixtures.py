@@ -285,7 +285,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Row 0 is the header.  The copy swaps letters in the first column and drops
     some rows.
     """
-    pages = gt_pages(spark, sf_dir).where(F.col("doc_id") % 3 == 1)
+    pages = gt_pages(spark, sf_dir)
     words = F.filter(F.split(F.regexp_replace("gt_text", r"[^A-Za-z0-9À-ÿ]+", " "), " ", -1), lambda w: w != "")
     n_rows = F.ceil(F.size("words") / 4).cast("int")
     rows = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.slice(
@@ -312,7 +312,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte("table_words", ("gt_pages",), """
   SELECT doc_id, page_num, list_filter(
            string_split(regexp_replace(gt_text, '[^A-Za-z0-9À-ÿ]+', ' ', 'g'), ' '), lambda w: w <> '') AS words
-  FROM gt_pages WHERE doc_id % 3 = 1""")
+  FROM gt_pages""")
 cte("gt_cells", ("table_words",), """
   SELECT doc_id, page_num, (k - 1) // 4 + 1 AS row, (k - 1) % 4 AS col, words[k] AS text
   FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM table_words WHERE len(words) > 0)

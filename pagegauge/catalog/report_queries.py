@@ -151,8 +151,14 @@ def dashboard(spark, sf):
   SELECT model, {rounded('avg(avg_cer)', 4)} AS avg_cer, {rounded('avg(avg_char_f1)', 4)} AS avg_char_f1,
          {rounded('avg(avg_teds)', 4)} AS avg_teds, sum(docs) AS docs FROM bucket_log WHERE lang = 'en' GROUP BY model""")
 def compare_models(spark, sf):
-    buckets = rollup.buckets(fx.doc_log_scores(spark, sf), DOC_METRICS)
-    return rollup.compare_models(buckets, ("cer", "char_f1", "teds"), lang="en")
+    return rollup.compare_models(fx.doc_log_scores(spark, sf), ("cer", "char_f1", "teds"), lang="en")
+
+
+@query("compare_models_all", ("doc_log",), """
+  SELECT model, round(avg(avg_cer), 4) AS avg_cer, round(avg(avg_char_f1), 4) AS avg_char_f1,
+         round(avg(avg_table_teds_doc), 4) AS avg_teds, count(*) AS docs FROM doc_log GROUP BY model""")
+def compare_models_all(spark, sf):
+    return rollup.compare_models(fx.doc_log_scores(spark, sf), ("cer", "char_f1", "teds"), "all", "all")
 
 
 @query("table_score_fallback", ("score_log",), """
@@ -365,5 +371,5 @@ def use_case_names(spark, sf):
 @query("model_filter", ("score_log",), """
   SELECT model, count(*) AS n FROM score_log WHERE lower(model) LIKE '%m2%' GROUP BY model""")
 def model_filter(spark, sf):
-    log = fx.score_log(spark, sf).where(F.contains(F.lower("model"), F.lit("m2")))
+    log = rollup.only_models(fx.score_log(spark, sf), pattern="m2")
     return log.groupBy("model").agg(F.count("*").alias("n"))

@@ -30,14 +30,12 @@ LOW_SPACES = "\u000c\u001c\u001d\u001e\u001f\u0085 ­ "
 LOW_SYMBOLS = "·¸×х"
 INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
 RARE_ENTITY = r"&(?!lt;|gt;|quot;|#39;|#x27;|apos;|nbsp;|amp;)(#|[A-Za-z])"
-BRACKETED_URL = rf"<(https?://[^>\s]+)>"
-BRACKETED_WEB = (
-    rf"<((?:https?://|www\.)[^>\s]+)>"
-)
+BRACKETED_URL = r"<(https?://[^>\s]+)>"
+BRACKETED_WEB = r"<((?:https?://|www\.)[^>\s]+)>"
 BRACKETED_EMAIL = r"<([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})>"
 URL = rf"https?://[^\s)>\]]+"
 STAR_GROUP = rf"\({WS}*\*+{WS}*\)"
-PLACEHOLDER = "PROTECTEDTOKEN"
+PLACEHOLDER = "KeptAsIsNo"
 
 IMG_TAG = r"(?i)<img\b[^>]*>"
 MD_IMAGE_AND_LINE = r"!\[[^\]]*\]\([^)]+\)[^\n]*"
@@ -93,7 +91,8 @@ COMMA = rf"(?<!{DIGIT}),{WS}*(?!{DIGIT})"
 SPACE_BEFORE_PUNCTUATION = rf"{WS}+([,.;:%])"
 SPACE_AFTER_OPEN = rf"\({WS}+"
 SPACE_BEFORE_CLOSE = rf"{WS}+\)"
-DOT_RUN = rf"(?:\.{WS}*){{3,}}"
+# Possessive groups are matched in a loop; a greedy group would recurse once per item.
+DOT_RUN = r"(?:\.\s*+){3,}+"
 
 # --- fixed values: table-cell normalizers ------------------------------------
 CELL_EMPHASIS = r"\*\*|__|\*|_|`"
@@ -125,11 +124,11 @@ FIGURE = r"(?is)<figure\b[^>]*>.*?</figure>"
 FIGCAPTION = r"(?is)<figcaption\b[^>]*>.*?</figcaption>"
 DIV_IMAGE = rf"(?is)<div\b[^>]*>{WS}*<img\b[^>]*/?{WS}*>{WS}*</div>"
 MD_IMAGE_AND_CAPTION = (
-    rf"!\[[^\]]*\]\([^)]*\)(?:{WS}*\n[ \t]*\n[^\n<#!*][^\n]*(?:\n[^\n<#!*][^\n]*)*)?"
+    r"!\[[^\]]*\]\([^)]*\)(?:\s*\n[ \t]*\n[^\n<#!*][^\n]*+(?:\n[^\n<#!*][^\n]*+)*+)?"
 )
 FENCED_BLOCK = rf"(?s)```[\p{{L}}\p{{N}}_-]*\n.*?```"
 HTML_TABLE = r"(?is)<table\b[^>]*>.*?</table>"
-PIPE_TABLE = r"(?md)(?:^[ \t]*\|[^\n]*\n)+"
+PIPE_TABLE = r"(?md)(?:^[ \t]*+\|[^\n]*+\n)++"
 PAGE_FILE = r"^(.+?)_(\d+)\.md$"
 STORED_PAGE_FILE = r"_p(\d+)\.md$"
 CELL_CONTENT = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder."""
+    """Cut lineage in the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    A machine-local folder is used only by a local master that names none.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        # Only a local session (tests) has no shared folder configured.
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -60,10 +64,24 @@ def name_documents(assets: DataFrame) -> DataFrame:
 
 
 def suffix_collisions(slugs: DataFrame, folder: str = "folder", slug: str = "slug", order: str = "src") -> DataFrame:
-    """``_2``, ``_3``, ... before the extension of repeated names in a folder."""
+    """``_2``, ``_3``, ... before the extension of repeated names in a folder, skipping names that are taken.
+
+    The first row of a name keeps it.  The others take the smallest suffixes whose name is nobody's: numbers count
+    only free suffixes, found by listing the occupied ones of each stem.
+    """
     numbered = number_within(slugs, [folder, slug], [F.col(order)], "copy")
-    stem = F.regexp_extract(slug, r"(?s)^(.+?)(\.[^.]+)?$", 1)
-    ext = F.regexp_extract(slug, r"(?s)^(.+?)(\.[^.]+)?$", 2)
-    renamed = F.concat(stem, F.lit("_"), F.col("copy").cast("string"), ext)
-    return numbered.withColumn(
-        "target", F.when(F.col("copy") == 1, F.col(slug)).otherwise(renamed)).drop("copy")
+    parts = r"(?s)^(.+?)(\.[^.]+)?$"
+    stem, ext = F.regexp_extract(slug, parts, 1), F.regexp_extract(slug, parts, 2)
+    # Names of the form <stem>_<n><ext>: the suffixes of another name that are occupied.
+    suffixed = slugs.select(folder, F.col(slug).alias("_full")).distinct().select(
+        folder, F.regexp_extract("_full", r"(?s)^(.+?)_([1-9][0-9]{0,17})(\.[^.]+)?$", 1).alias("_stem"),
+        F.regexp_extract("_full", r"(?s)^(.+?)_([1-9][0-9]{0,17})(\.[^.]+)?$", 3).alias("_ext"),
+        F.regexp_extract("_full", r"(?s)^(.+?)_([1-9][0-9]{0,17})(\.[^.]+)?$", 2).try_cast("long").alias("_n"))
+    occupied = suffixed.where("_n >= 2").groupBy(folder, F.concat("_stem", "_ext").alias(slug)).agg(
+        F.sort_array(F.collect_set("_n")).alias("_taken"))
+    # The copy-th free suffix from 2 on: each occupied one at or below it moves it up by one.
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("copy").cast("long"),
+                       lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+    renamed = F.concat(stem, F.lit("_"), free.cast("string"), ext)
+    return numbered.join(occupied, [folder, slug], "left").withColumn(
+        "target", F.when(F.col("copy") == 1, F.col(slug)).otherwise(renamed)).drop("copy", "_taken")

@@ -84,16 +84,26 @@ def dashboard(doc_scores: DataFrame, metrics) -> DataFrame:
         *means(metrics, 4), F.count("*").alias("docs"))
 
 
-def compare_models(bucket_scores: DataFrame, metrics, uc_type=None, lang=None, models=None) -> DataFrame:
-    """Unweighted mean of bucket means for the chosen slice; documents add up."""
-    rows = bucket_scores
-    if uc_type and uc_type != "all":
-        rows = rows.where(F.col("uc_type") == uc_type)
-    if lang and lang != "all":
-        rows = rows.where(F.col("lang") == lang)
+def only_models(scores: DataFrame, models=None, pattern: str | None = None) -> DataFrame:
+    """Rows of the named models, or of those whose name holds ``pattern`` in any case; all rows without either."""
     if models:
-        rows = rows.where(F.col("model").isin(*models))
-    return rows.groupBy("model").agg(
+        scores = scores.where(F.col("model").isin(*models))
+    return scores.where(F.contains(F.lower("model"), F.lit(pattern.lower()))) if pattern else scores
+
+
+def compare_models(doc_scores: DataFrame, metrics, uc_type=None, lang=None, models=None) -> DataFrame:
+    """Scores of models side by side.
+
+    Without a use case or language these are the model's own means over its documents; for a slice, the unweighted
+    mean of the slice's bucket means, and documents add up.
+    """
+    rows = only_models(doc_scores, models)
+    chosen = {c: v for c, v in (("uc_type", uc_type), ("lang", lang)) if v and v != "all"}
+    if not chosen:
+        return model_stats(rows, metrics).select("model", *[f"avg_{m}" for m in metrics], "docs")
+    for column, value in chosen.items():
+        rows = rows.where(F.col(column) == value)
+    return buckets(rows, metrics).groupBy("model").agg(
         *[F.round(F.avg(f"avg_{m}"), 4).alias(f"avg_{m}") for m in metrics],
         F.sum("docs").alias("docs"))
 

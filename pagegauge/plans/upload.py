@@ -15,7 +15,7 @@ KEYS = ["model", *DOC, "page_num"]
 
 
 def uploaded_pages(files: DataFrame, model: str) -> DataFrame:
-    """Numbered pages with filtered text and inline tables; ids that name no use case drop out."""
+    """Numbered pages with filtered text and inline tables; see ``quarantined`` for ids that name no use case."""
     pages = markdown.number_uploaded_pages(files).withColumn("_k", K.doc_key(F.col("doc_id")))
     keyed = pages.where(F.col("_k").isNotNull()).select(
         F.lit(model).alias("model"), "_k.uc_type", "_k.lang", "doc_id", "page_num", "raw")
@@ -26,6 +26,13 @@ def uploaded_pages(files: DataFrame, model: str) -> DataFrame:
         tables.alias("pred_tables"))
 
 
+def quarantined(files: DataFrame) -> DataFrame:
+    """Uploaded pages that cannot be scored, with the reason."""
+    pages = markdown.number_uploaded_pages(files)
+    return pages.where(K.doc_key(F.col("doc_id")).isNull()).select(
+        "doc_id", "page_num", F.lit("document id names no use case").alias("error"))
+
+
 def gt_scoring_pages(gt_docs: DataFrame) -> DataFrame:
     """Ground-truth pages whose text also holds their table cells."""
     pages = documents.pages_of(gt_docs)

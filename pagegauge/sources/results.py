@@ -11,6 +11,8 @@ from pagegauge.operators.ordering import durable
 
 PARTITIONS = ["model", "uc_type", "lang"]
 DOC_KEYS = [*PARTITIONS, "doc_id"]
+# What Spark reports for a missing path and for a folder without files.
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 EVAL_LAYOUT = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)_eval\.json$"
 EVAL = (
     "doc_id string, model string, source string, scored_at string, reeval_at string, "
@@ -24,10 +26,13 @@ EVAL = (
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored scores; None only where nothing has been stored yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_STORED:
+            return None
+        raise
 
 
 def save_scores(scores: DataFrame, path: str, keys: list[str] = DOC_KEYS) -> None:
@@ -103,12 +108,12 @@ def write_page_csv(page_scores: list[DataFrame], path: str) -> None:
 
 def write_summary_csv(summary: DataFrame, path: str) -> None:
     """A use-case summary has a handful of rows per model, hence one file."""
-    flatten(summary).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    flatten(summary).repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_raw_pages(pages: DataFrame, path: str) -> None:
-    """Untruncated predicted pages, so that everything can be scored again."""
-    pages.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    """Untruncated predicted pages, so that everything can be scored again; a page saved anew replaces the old one."""
+    save_scores(pages, path, [*DOC_KEYS, "page_num"])
 
 
 def model_registry(spark: SparkSession, path: str) -> DataFrame:

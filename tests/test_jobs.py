@@ -246,3 +246,48 @@ def test_missing_docs(spark):
     done = spark.createDataFrame([("m", "a"), ("n", "a"), ("n", "b")], "model string, doc_id string")
     docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     assert [(r.model, r.doc_id) for r in coverage.missing_docs(done, docs, done).collect()] == [("m", "b")]
+
+
+def test_long_runs_do_not_recurse(spark):
+    from pagegauge.functions import text as X
+    n = 100_000
+    rows = [("dots . . " + ". " * n + "end",), ("before\n" + "| a | b |\n" * n + "after",),
+            ("![x](y.png)\n\nCaption" + "\nmore" * n + "\n\nbody",)]
+    df = spark.createDataFrame(rows, "t string").select(
+        X.normalize_text(F.col("t")).alias("plain"), X.filter_content(F.col("t")).alias("kept"))
+    dots, table, caption = df.collect()
+    assert dots.plain.split() == ["dots", "end"]
+    assert table.kept.split("\n").count("a b") == n and table.kept.endswith("after")
+    assert caption.kept.strip() == "body"
+
+
+def test_raw_pages_replace_older_ones(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    def pages(text):
+        return spark.createDataFrame([("m", "scan", "en", "d", 1, text), ("m", "scan", "en", "d", 2, "same")],
+                                     "model string, uc_type string, lang string, doc_id string, page_num int, raw string")
+    results.save_raw_pages(pages("old"), path)
+    results.save_raw_pages(pages("new").where("page_num = 1"), path)
+    assert sorted((r.page_num, r.raw) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "same")]
+    assert results.read_scores(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        results.read_scores(spark, str(tmp_path / "broken")).count()
+
+
+def test_taken_suffixes_are_skipped(spark):
+    from pagegauge.operators.ordering import suffix_collisions
+    names = ["a.pdf", "a.pdf", "a_2.pdf", "a.pdf", "b", "b", "b_3", "b"]
+    slugs = spark.createDataFrame([("f", n, f"s{k}") for k, n in enumerate(names)], "folder string, slug string, src string")
+    got = {r.src: r.target for r in suffix_collisions(slugs).collect()}
+    assert [got[f"s{k}"] for k in range(8)] == ["a.pdf", "a_3.pdf", "a_2.pdf", "a_4.pdf", "b", "b_2", "b_3", "b_4"]
+
+
+def test_unfiltered_comparison_uses_model_means(spark):
+    from pagegauge.operators.rollup import compare_models
+    docs = spark.createDataFrame(
+        [("m", "scan", "en", 0.9)] * 3 + [("m", "table", "en", 0.1)], "model string, uc_type string, lang string, cer double")
+    assert compare_models(docs, ("cer",)).first().avg_cer == pytest.approx(0.7)
+    assert compare_models(docs, ("cer",), lang="en").first().avg_cer == pytest.approx(0.5)
+    assert compare_models(docs, ("cer",), uc_type="table").first().avg_cer == pytest.approx(0.1)

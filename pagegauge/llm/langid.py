@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegauge.llm.batches import slices
+from pagegauge.llm.store import settled
 
 #: Bytes of text that make a language's automaton, and bytes that normalise its costs.
 SAMPLE_BYTES, HELD_BACK_BYTES = 1 << 16, 1 << 14
 BLOCK = 512
 #: Blocks that advance together.
 LANES = 2048
+#: Sampled ids that may be broadcast; more (hundreds of languages) are joined by an exchange.
+BROADCAST_ROWS = 100_000
 #: Spreads the score: how many times costs differ in the exponent, per phrase of the best parse.
 SHARPNESS = 30.0
 
@@ -171,15 +174,19 @@ class Model:
 def samples(labelled: DataFrame, size: int = SAMPLE_BYTES, held_back: int = HELD_BACK_BYTES) -> DataFrame:
     """(lang, sample, held_back): the first texts of each language in an order of hashes, up to the bounds.
 
-    Each language takes at most as many rows as the bound has bytes of the shortest text counted (64), so the
-    rows of one language in a task are bounded; which rows those are is decided before the exchange.
+    Which rows those are is decided on ids alone: of each language at most one row per 64 bytes of the bounds, so
+    one task can join their texts.
     """
     rows = labelled.where("lang is not null and text is not null").select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"),
-        F.substring("text", 1, size + held_back).alias("text")).where(F.length("text") >= 1)
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"), "text").where(
+        F.length("text") >= 1)
     most = (size + held_back) // 64
-    first = Window.partitionBy("lang").orderBy("order", "text")
-    chosen = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
+    first = Window.partitionBy("lang").orderBy("order")
+    ids = settled(rows.select("lang", "order").withColumn("_k", F.row_number().over(first)).where(
+        F.col("_k") <= most).select("lang", "order").distinct(), "lang-sample")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    chosen = rows.join(few, ["lang", "order"]).select(
+        "lang", "order", F.substring("text", 1, size + held_back).alias("text"))
 
     def join(key, table):
         out, total = [], 0

@@ -61,9 +61,9 @@ def slug_collisions(spark, sf):
 # --- OCR responses ---------------------------------------------------------------------------
 
 def _trees(spark, sf):
-    """Web pages as block trees: one page each, blocks from its paragraphs."""
+    """Web pages as block trees: one page each, the whole body cut where paragraphs end."""
     pages = fx.texts(spark, sf, "pages").select("page_id", "html")
-    paras = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)(?:</p>|$)"), F.lit(1))
+    paras = F.split("html", "</p>", -1)
     kinds = F.array(*map(F.lit, ("Text", "Picture", "Table", "Caption", "PageFooter")))
     block = F.transform(paras, lambda p, k: F.struct(
         F.element_at(kinds, (k % 5 + 1).cast("int")).alias("block_type"),
@@ -76,33 +76,42 @@ def _trees(spark, sf):
     return pages.select(F.col("page_id").cast("string").alias("doc_id"), F.array(page).alias("children"))
 
 
-@query("tree_block_kinds", (), r"""
-  SELECT block_type, count(*) AS n, round(max(y2), 6) AS max_y2 FROM (
-    SELECT ['Text', 'Picture', 'Table', 'Caption', 'PageFooter'][(k - 1) % 5 + 1] AS block_type, ((k - 1) * 10.0 + 8.0) / 400.0 AS y2,
-           trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(ps[k],
-             '(?i)<img\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&#39;', ''''), '&quot;', '"'),
-             '\s+', ' ', 'g')) AS t
-    FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS k FROM (
-      SELECT regexp_extract_all(html, '(?s)<p>(.*?)(?:</p>|$)', 1) AS ps FROM pages)))
-  WHERE block_type <> 'Picture' AND t <> '' GROUP BY 1""")
+cte("tree_texts", (), r"""
+  SELECT page_id, k, ['Text', 'Picture', 'Table', 'Caption', 'PageFooter'][(k - 1) % 5 + 1] AS kind,
+         trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(ps[k],
+           '(?i)<img\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'),
+           '&nbsp;', ' '), '&#39;', chr(39)), '&quot;', '"'), '\s+', ' ', 'g')) AS t
+  FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (
+    SELECT page_id, string_split(html, '</p>') AS ps FROM pages))""")
+
+
+@query("tree_block_kinds", ("tree_texts",), """
+  SELECT kind AS block_type, count(*) AS n, round(max(((k - 1) * 10.0 + 8.0) / 400.0), 6) AS max_y2
+  FROM tree_texts WHERE kind <> 'Picture' AND t <> '' GROUP BY 1""")
 def tree_block_kinds(spark, sf):
     blocks = responses.tree_blocks(_trees(spark, sf))
     return blocks.groupBy("block_type").agg(
         F.count("*").alias("n"), F.round(F.max(F.col("bbox")[3]), 6).alias("max_y2"))
 
 
-@query("tree_scan_prediction")
+@query("tree_scan_prediction", ("tree_texts",), """
+  SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, string_agg(t, chr(10) ORDER BY k) AS full_text
+  FROM tree_texts WHERE kind NOT IN ('Picture', 'Table') AND t <> '' GROUP BY page_id""")
 def tree_scan_prediction(spark, sf):
     return responses.scan_prediction(responses.text_blocks(responses.tree_blocks(_trees(spark, sf))))
 
 
-@query("tree_text_layer")
+@query("tree_text_layer", ("tree_texts",), """
+  SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, count(*)::INT AS n_blocks, string_agg(t, chr(10) ORDER BY k) AS full_text
+  FROM tree_texts WHERE kind <> 'Picture' AND t <> '' GROUP BY page_id""")
 def tree_text_layer(spark, sf):
     pages = responses.text_layer_prediction(responses.tree_blocks(_trees(spark, sf)))
     return pages.select("doc_id", "page_num", F.size("blocks").alias("n_blocks"), "full_text")
 
 
-@query("tree_tables")
+@query("tree_tables", ("tree_texts",), """
+  SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, count(*)::INT AS n_tables
+  FROM tree_texts WHERE kind = 'Table' AND t <> '' GROUP BY page_id""")
 def tree_tables(spark, sf):
     pages = responses.table_prediction(responses.tree_blocks(_trees(spark, sf)))
     return pages.select("doc_id", "page_num", F.size("tables").alias("n_tables"))

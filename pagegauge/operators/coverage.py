@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagegauge.operators.pairs import last_per_key
+
 DOC = ["uc_type", "lang", "doc_id"]
 
 
 def missing_docs(models: DataFrame, gt_docs: DataFrame, evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents a model has not been scored on, one row each.
 
-    The model names are one scalar; each document unfolds into one row per
-    model, which is the size of the question, and evaluated pairs drop out.
+    The model names are one scalar; what each document has been scored with is
+    gathered first (at most one entry per model), and only what is missing unfolds.
     """
     names = models.select("model").distinct().agg(F.collect_set("model"))
-    every = gt_docs.select(key).distinct().select(F.explode(names.scalar()).alias("model"), key)
-    return every.join(evaluated.select("model", key), ["model", key], "left_anti")
+    seen = evaluated.groupBy(key).agg(F.collect_set("model").alias("_seen"))
+    docs = gt_docs.select(key).distinct().join(seen, key, "left")
+    lacking = F.array_except(names.scalar(), F.coalesce("_seen", F.array().cast("array<string>")))
+    return docs.select(F.explode(lacking).alias("model"), key)
 
 
 def progress(stats: DataFrame, gt_docs: DataFrame, evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -64,7 +68,5 @@ def known_models(*frames: DataFrame) -> DataFrame:
 def current_versions(versions: DataFrame, keys=tuple(DOC)) -> DataFrame:
     """Latest version per document; deleted documents disappear."""
     keys = list(keys)
-    rest = [c for c in versions.columns if c not in keys]
-    order = F.struct(F.col("updated_at"), F.col("deleted").cast("int"))
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
-    return latest.select(*keys, "_v.*").where(~F.col("deleted"))
+    latest = last_per_key(versions, keys, F.struct(F.col("updated_at"), F.col("deleted").cast("int")))
+    return latest.where(~F.col("deleted"))

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOC = ["uc_type", "lang", "doc_id"]
 PAGE = [*DOC, "page_num"]
 
 
-def _one_per_key(df: DataFrame, keys: list[str], order: Column, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_row"))
-    return chosen.select(*keys, "_row.*")
+def _one_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The first row of each key; each task keeps one row per key before the shuffle (group limit)."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.where("_rank = 1").select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """Last row of each key; combines before the shuffle, so copies of a key do not pile up."""
-    return _one_per_key(df, keys, order, F.max_by)
+    return _one_per_key(df, keys, order.desc_nulls_last())
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    return _one_per_key(df, keys, order, F.min_by)
+    return _one_per_key(df, keys, order.asc_nulls_last())
 
 
 def pair_docs(gt_docs: DataFrame, pred_docs: DataFrame) -> DataFrame:
@@ -42,10 +41,8 @@ def pair_pages(
     was computed on it (normalizing, parsing) runs once per page, not per model.
     """
     model_page = ["model", *PAGE]
-    # A fixed count keeps small inputs on all cores: scoring costs far more than reading.
-    spark = gt_pages.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    gt_pages = gt_pages.repartition(slices, *PAGE)
+    # Without a number, adaptive execution chooses how many partitions there are.
+    gt_pages = gt_pages.repartition(*PAGE)
     if pred_docs is None:
         pred_docs = pred_pages.select("model", *DOC).distinct()
     expected = gt_pages.select(*PAGE).join(pred_docs.select("model", *DOC), DOC)

@@ -99,7 +99,8 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
         groups.setdefault((len(a) + 63) // 64, []).append((len(b), k, a, b))
     for n_words, members in groups.items():
         members.sort(key=lambda m: -m[0])
-        size = max(1, MAX_CELLS // (n_words * 128))
+        symbols = max(len(set(m[2])) for m in members) + 1
+        size = max(1, MAX_CELLS // (n_words * symbols))
         for start in range(0, len(members), size):
             chunk = members[start:start + size]
             if len(chunk) * n_words < 24:
@@ -115,18 +116,24 @@ def _group_distances(chunk: list, n_words: int) -> np.ndarray:
     lengths = np.array([len(m[2]) for m in chunk])
     widths = np.array([m[0] for m in chunk])
     pattern = _codes("".join(m[2] for m in chunk))
-    alphabet, symbol = np.unique(pattern, return_inverse=True)
     row = np.repeat(np.arange(rows), lengths)
+    # Symbols are numbered within each pair, so masks grow with a pair's symbols, not with the batch's.
+    known, symbol = np.unique((row.astype(np.int64) << 32) | pattern, return_inverse=True)
+    first = np.searchsorted(known, np.arange(rows, dtype=np.int64) << 32)
+    symbol = symbol - first[row]
+    other = int(symbol.max()) + 1
     place = np.arange(len(pattern)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    masks = np.zeros((rows, len(alphabet) + 1, n_words), dtype=np.uint64)
+    masks = np.zeros((rows, other + 1, n_words), dtype=np.uint64)
     np.bitwise_or.at(
         masks, (row, symbol, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64)
     )
     text = _codes("".join(m[3] for m in chunk))
-    found = np.minimum(np.searchsorted(alphabet, text), len(alphabet) - 1)
-    text = np.where(alphabet[found] == text, found, len(alphabet))
+    owner = np.repeat(np.arange(rows), widths)
+    keys = (owner.astype(np.int64) << 32) | text
+    found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    text = np.where(known[found] == keys, found - first[owner], other)
     steps = int(widths[0])
-    columns = np.full((rows, steps), len(alphabet), dtype=np.int64)
+    columns = np.full((rows, steps), other, dtype=np.int64)
     columns[np.arange(steps)[None, :] < widths[:, None]] = text
 
     one = np.uint64(1)

@@ -132,3 +132,16 @@ def test_texts_outside_the_gate_are_composed():
         assert unicodedata.is_normalized("NFC", chr(code)), hex(code)
         assert unicodedata.combining(chr(code)) == 0
     assert P.MAYBE_NOT_COMPOSED.endswith("˿]")
+
+
+def test_masks_follow_the_pair_and_not_the_vocabulary():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    left = ["".join(map(chr, rng.integers(0x100, 0x100 + 50_000, 60))) for _ in range(4000)]
+    right = [t[:20] + "a" + t[25:] for t in left]
+    tracemalloc.start()
+    found = K.distances(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == 5).all() and peak < 200 * 2 ** 20

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pagegauge.functions import geometry, patterns as P
 
 BOX = ("x1", "y1", "x2", "y2")
-CROWDED = 2000  # blocks on one page beyond which the page is cut into tiles
-PER_TILE = 64
+PER_TILE = 64  # blocks of both sides that a tile holds on average
 
 
 def _side(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -23,63 +22,61 @@ def _box(prefix: str):
     return tuple(F.col(f"{prefix}_{c}") for c in BOX)
 
 
-def crowded_pages(gt: DataFrame, pred: DataFrame, keys: list[str], limit: int = CROWDED) -> DataFrame:
-    """Pages with more blocks than one task should compare, with their tile count per side."""
-    counts = gt.select(*keys).unionAll(pred.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > limit).select(
-        *keys, F.ceil(F.sqrt(F.col("n") / PER_TILE)).cast("int").alias("n_tiles"))
-
-
-def _tiled(df: DataFrame, prefix: str, crowded: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeat each block of a crowded page for every tile it touches."""
-    def tiles(low: str, high: str):
-        def index(c: str):
-            raw = F.floor(F.col(f"{prefix}_{c}") * F.col("n_tiles"))
-            return F.least(F.greatest(raw, F.lit(0)), F.col("n_tiles") - 1)
-        return F.sequence(index(low), F.greatest(index(low), index(high)))
-    return (
-        df.join(crowded, keys)
-        .withColumn("tile_x", F.explode(tiles("x1", "x2")))
-        .withColumn("tile_y", F.explode(tiles("y1", "y2")))
-        .drop("n_tiles"))
-
-
-def _candidates(gt: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
-    """Ground truth left-joined to the predictions that overlap it."""
-    p = pred.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in pred.columns])
-    same = [F.col(c) == F.col(f"_{c}") for c in on]
-    overlap = (
+def _grids(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Extent of each page and the number of tiles per side, from the number of its blocks."""
+    boxes = gt.select(*keys, *BOX).unionAll(pred.select(*keys, *BOX))
+    return boxes.groupBy(*keys).agg(
+        F.min("x1").alias("_x0"), F.min("y1").alias("_y0"),
+        (F.max("x2") - F.min("x1")).alias("_w"), (F.max("y2") - F.min("y1")).alias("_h"),
+        F.ceil(F.sqrt(F.count("*") / PER_TILE)).cast("int").alias("_tiles"))
+
+
+def _index(value, low: str, size: str):
+    """Tile of a coordinate, the first one where there is no coordinate or no extent."""
+    part = F.floor((value - F.col(low)) / F.col(size) * F.col("_tiles")).cast("int")
+    found = F.when(F.col(size) > 0, F.least(F.greatest(part, F.lit(0)), F.col("_tiles") - 1))
+    return F.coalesce(found, F.lit(0))
+
+
+def _tiled(df: DataFrame, prefix: str, grids: DataFrame, keys: list[str]) -> DataFrame:
+    """Each block once per tile it touches: one for most, as most pages are one tile."""
+    def tiles(axis: str, low: str, size: str):
+        first = _index(F.col(f"{prefix}_{axis}1"), low, size)
+        return F.sequence(first, F.greatest(first, _index(F.col(f"{prefix}_{axis}2"), low, size)))
+    return df.join(grids, keys).withColumn("_tx", F.explode(tiles("x", "_x0", "_w"))).withColumn(
+        "_ty", F.explode(tiles("y", "_y0", "_h")))
+
+
+def _candidates(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Ground truth left-joined to the predictions that overlap it, each pair in one tile only."""
+    on = [*keys, "_tx", "_ty"]
+    p = pred.select(*[F.col(c).alias(f"_p{c}") for c in on], *[c for c in pred.columns if c.startswith("pred_")])
+    condition = (
         (F.least("gt_x2", "pred_x2") > F.greatest("gt_x1", "pred_x1"))
-        & (F.least("gt_y2", "pred_y2") > F.greatest("gt_y1", "pred_y1")))
-    condition = overlap
-    for test in same:
-        condition = test & condition
-    return gt.join(p, condition, "left").drop(*[f"_{c}" for c in on])
+        & (F.least("gt_y2", "pred_y2") > F.greatest("gt_y1", "pred_y1"))
+        # The tile of the corner where the overlap begins.
+        & (_index(F.greatest("gt_x1", "pred_x1"), "_x0", "_w") == F.col("_tx"))
+        & (_index(F.greatest("gt_y1", "pred_y1"), "_y0", "_h") == F.col("_ty")))
+    for c in on:
+        condition = (F.col(c) == F.col(f"_p{c}")) & condition
+    return gt.join(p, condition, "left").drop(*[f"_p{c}" for c in on])
 
 
 def best_matches(
-    gt_blocks: DataFrame, pred_blocks: DataFrame, keys: list[str],
-    threshold: float = P.IOU_THRESHOLD, limit: int = CROWDED,
+    gt_blocks: DataFrame, pred_blocks: DataFrame, keys: list[str], threshold: float = P.IOU_THRESHOLD,
 ) -> DataFrame:
     """One row per ground-truth block with its best predicted block, if any.
 
     Input blocks carry ``block_id``, ``pos`` (order on the page, unique), the
     four box columns and optionally ``text``.  Highest IoU above zero wins,
     earlier prediction first on ties; a prediction may serve several blocks.
-    Pages join on their key; crowded pages join per tile, so neither a busy
-    page nor all its pairs land in one task.
+    Blocks join per page and tile; a page has one tile for every 64 blocks,
+    scaled to its own extent, so neither a busy page nor all its pairs land in
+    one task.
     """
     gt, pred = _side(gt_blocks, keys, "gt"), _side(pred_blocks, keys, "pred")
-    crowded = crowded_pages(gt_blocks, pred_blocks, keys, limit)
-    if crowded.isEmpty():
-        joined = _candidates(gt, pred, keys)
-    else:
-        plain = _candidates(
-            gt.join(crowded, keys, "left_anti"), pred.join(crowded, keys, "left_anti"), keys)
-        tiled = _candidates(
-            _tiled(gt, "gt", crowded, keys), _tiled(pred, "pred", crowded, keys),
-            [*keys, "tile_x", "tile_y"]).drop("tile_x", "tile_y")
-        joined = plain.unionByName(tiled)
+    grids = _grids(gt_blocks, pred_blocks, keys)
+    joined = _candidates(_tiled(gt, "gt", grids, keys), _tiled(pred, "pred", grids, keys), keys)
 
     iou = geometry.iou(_box("gt"), _box("pred"))
     partner = F.when(F.col("pred_pos").isNotNull() & (iou > 0), F.struct(

@@ -201,10 +201,9 @@ A, B, MERGED = (0.1, 0.1, 0.9, 0.3), (0.1, 0.4, 0.9, 0.6), (0.1, 0.1, 0.9, 0.6)
     ([A, B], ["matched", "matched"], 1.0), ([], ["missed", "missed"], 0.0),
     ([MERGED], ["over_merged", "over_merged"], 0.4), ([(0.1, 0.1, 0.4, 0.3), B], ["split", "matched"], None),
 ])
-@pytest.mark.parametrize("limit", [2000, 0])
-def test_layout(spark, pred, statuses, mean, limit):
+def test_layout(spark, pred, statuses, mean):
     gt, hyp = blocks(spark, A, B), blocks(spark, *pred)
-    matches = layout.best_matches(gt, hyp, ["page"], limit=limit).orderBy("gt_pos")
+    matches = layout.best_matches(gt, hyp, ["page"]).orderBy("gt_pos")
     assert [r.match_status for r in matches.collect()] == statuses
     if mean is not None:
         assert layout.page_mean_iou(matches, ["page"]).first().mean_iou == pytest.approx(mean)
@@ -216,18 +215,27 @@ def test_extra_block(spark):
     assert sorted(r.match_status for r in rows) == ["extra", "matched"]
 
 
-def test_crowded_page_equals_plain_join(spark):
+@pytest.mark.parametrize("scale", [1, 2000])
+def test_crowded_page_equals_brute_force(spark, scale):
     import random
     rnd = random.Random(5)
     def many(n):
         for _ in range(n):
             x, y = rnd.random() * 1.2 - 0.1, rnd.random()
-            yield (x, y, x + rnd.random() * 0.3, y + rnd.random() * 0.2)
-    gt, pred = blocks(spark, *many(300)), blocks(spark, *many(300))
-    cols = ["gt_pos", "pred_pos", "iou", "match_status"]
-    plain = layout.best_matches(gt, pred, ["page"]).select(cols).orderBy("gt_pos").collect()
-    tiled = layout.best_matches(gt, pred, ["page"], limit=10).select(cols).orderBy("gt_pos").collect()
-    assert plain == tiled
+            yield tuple(v * scale for v in (x, y, x + rnd.random() * 0.3, y + rnd.random() * 0.2))
+    gt, pred = list(many(300)), list(many(300))
+    got = {r.gt_pos: (r.pred_pos, r.iou) for r in layout.best_matches(
+        blocks(spark, *gt), blocks(spark, *pred), ["page"]).collect()}
+    def area(b):
+        return max(0, b[2] - b[0]) * max(0, b[3] - b[1])
+    for k, g in enumerate(gt):
+        best = (None, 0.0)
+        for j, p in enumerate(pred):
+            common = area((max(g[0], p[0]), max(g[1], p[1]), min(g[2], p[2]), min(g[3], p[3])))
+            iou = common / (area(g) + area(p) - common)
+            if iou > best[1] + 1e-12:
+                best = (j, iou)
+        assert got[k][0] == best[0] and got[k][1] == pytest.approx(best[1], abs=1e-6)
 
 
 @pytest.mark.parametrize("name, expected", [

@@ -154,6 +154,13 @@ def compare_models(spark, sf):
     return rollup.compare_models(fx.doc_log_scores(spark, sf), ("cer", "char_f1", "teds"), lang="en")
 
 
+@query("doc_evaluation", ("score_log",), """
+  SELECT model, uc_type, doc_id, round(avg(coalesce(cer, 0)), 6) AS avg_cer, round(avg(coalesce(char_f1, 0)), 6) AS avg_char_f1,
+         count(*) AS n_pages FROM score_log GROUP BY ALL""")
+def doc_evaluation(spark, sf):
+    return rollup.document_evaluation(fx.score_log(spark, sf), ("cer", "char_f1"))
+
+
 @query("compare_models_all", ("doc_log",), """
   SELECT model, round(avg(avg_cer), 4) AS avg_cer, round(avg(avg_char_f1), 4) AS avg_char_f1,
          round(avg(avg_table_teds_doc), 4) AS avg_teds, count(*) AS docs FROM doc_log GROUP BY model""")

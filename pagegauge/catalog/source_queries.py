@@ -132,6 +132,33 @@ def response_page_text(spark, sf):
         F.col("url"), F.col("html"), F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("full_text"))
 
 
+@query("response_pages", (), r"""
+  SELECT page_id::VARCHAR AS doc_id, 1 AS page_num,
+         trim(regexp_replace(regexp_replace(regexp_replace(body, '(?i)<img\b[^>]*/?>', '', 'g'),
+           '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS full_text,
+         (1 - page_id % 2)::INT AS n_tables, CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR END AS first_cell,
+         CASE WHEN page_id % 2 = 0 THEN 2 END AS second_span
+  FROM (SELECT page_id, trim(url) || chr(10) || trim(html) || chr(10) || 'page ' || page_id AS body FROM pages)""")
+def response_pages(spark, sf):
+    """Web pages as page responses: every second one has a table of its own and one that is none."""
+    pages = fx.texts(spark, sf, "pages")
+    key = F.col("page_id").cast("string")
+    own = F.concat(F.lit(" <TABLE><tr><th>"), key, F.lit("</th><td colspan='2'>x</td></tr></TABLE>"))
+    tables = F.array(*[F.struct(key.alias("id"), c.alias("content")) for c in (F.lit("no table"), own)])
+    block = "array<struct<type:string,content:string,top_left_x:double,top_left_y:double,bottom_right_x:double,bottom_right_y:double>>"
+    page = F.struct(
+        F.lit(0).alias("index"), F.col("html").alias("markdown"), F.col("url").alias("header"),
+        F.concat(F.lit("page "), key).alias("footer"), F.when(F.col("page_id") % 2 == 0, tables).alias("tables"),
+        F.struct(F.lit(1.0).alias("width"), F.lit(1.0).alias("height")).alias("dimensions"),
+        F.lit(None).cast(block).alias("blocks"))
+    found = responses.response_text_layer(responses.response_pages(
+        pages.select(key.alias("doc_id"), F.array(page).alias("pages"))))
+    cells = F.get("tables", F.lit(0))["cells"]
+    return found.select(
+        "doc_id", "page_num", F.get("blocks", F.lit(0))["text"].alias("full_text"), F.size("tables").alias("n_tables"),
+        F.get(cells, F.lit(0))["text"].alias("first_cell"), F.get(cells, F.lit(1))["colspan"].alias("second_span"))
+
+
 # --- merging split predictions and evidence carry-over ------------------------------------------
 
 @query("text_table_merge", ("score_log",), """

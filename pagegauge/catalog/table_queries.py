@@ -44,6 +44,18 @@ def table_grid_cells(spark, sf):
     return rows.select(*KEY, "row", F.posexplode("_r").alias("col", "text"))
 
 
+@query("table_id_join", ("table_words",), """
+  SELECT doc_id, page_num, 1 AS table_id, (len(words) + 4)::INT AS n_cells, page_num % 4 <> 0 AS predicted
+  FROM table_words WHERE len(words) > 0""")
+def table_id_join(spark, sf):
+    pages = fx.table_pages(spark, sf).withColumn("table_id", F.lit(1))
+    sides = [pages.select("doc_id", "page_num", "table_id", F.col(f"{side}_html").alias("html"),
+                          G.html_cells(F.col(f"{side}_html")).alias("cells")) for side in ("gt", "pred")]
+    joined = C.pair_tables(sides[0], sides[1].where(F.col("page_num") % 4 != 0), ["doc_id", "page_num"])
+    return joined.select("doc_id", "page_num", "table_id", F.size("gt_cells").alias("n_cells"),
+                         (F.col("pred_html") != "").alias("predicted"))
+
+
 @query("table_shape", ("gt_cells", "pred_cells"), """
   SELECT doc_id, page_num, rr AS ref_rows, pr AS pred_rows, 1 + rr + rr * 4 AS ref_tree_size,
          round(1.0 - abs(rr - pr) / greatest(rr, pr, 1), 6) AS row_count_similarity

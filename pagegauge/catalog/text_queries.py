@@ -84,6 +84,24 @@ def word_errors(spark, sf):
     return scored.select(*PAIR, F.round("wer_ws", 6).alias("wer_ws"), F.round("nwer", 6).alias("nwer"))
 
 
+@query("word_detail", ("page_pairs_short",), r"""
+  SELECT model, doc_id, page_num, len(rw)::INT AS total_words_gt, CASE WHEN len(rw) = 0 THEN 0 ELSE wd END::INT AS errors,
+         CASE WHEN len(rw) = 0 THEN 0 ELSE len(rw) - len(pw) END::INT AS surplus
+  FROM (SELECT *, """ + _WORD_DISTANCE.format(r="rw", p="pw", v="vw") + r""" AS wd
+    FROM (SELECT *, list_distinct(list_concat(rw, pw)) AS vw FROM (
+      SELECT *, list_filter(regexp_split_to_array(gt_text, '\s+'), lambda w: w <> '') AS rw,
+             list_filter(regexp_split_to_array(pred_text, '\s+'), lambda w: w <> '') AS pw
+      FROM page_pairs_short)))""")
+def word_detail(spark, sf):
+    """What does not depend on the choice among equally good alignments: all errors, deletions less insertions."""
+    scored = scoring.word_detail(fx.ref_hyp(fx.page_pairs(spark, sf, fx.TOKEN_PAGE_CHARS)))
+    d = F.col("wer_detail")
+    return scored.select(
+        *PAIR, d["total_words_gt"].alias("total_words_gt"),
+        (d["substitutions"] + d["deletions"] + d["insertions"]).alias("errors"),
+        (d["deletions"] - d["insertions"]).alias("surplus"))
+
+
 _CHAR_COUNTS = """
   SELECT model, doc_id, page_num, coalesce(sum(least(r, p)), 0) AS overlap FROM (
     SELECT model, doc_id, page_num, item, count_if(side = 'r') AS r, count_if(side = 'p') AS p FROM (

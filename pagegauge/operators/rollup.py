@@ -48,6 +48,13 @@ def doc_summary(
         *means(known), F.count("*").alias("n_pages"), F.count_if("matched").alias("n_matched_pages"))
 
 
+def document_evaluation(page_scores: DataFrame, metrics, keys=("model", "uc_type", "doc_id")) -> DataFrame:
+    """Summary of one document's evaluation: means over its pages, where a missing value counts as 0."""
+    return page_scores.groupBy(*keys).agg(
+        *[F.round(F.avg(F.coalesce(m, F.lit(0.0))), 6).alias(f"avg_{m}") for m in metrics],
+        F.count("*").alias("n_pages"))
+
+
 def resolve_table_scores(doc_scores: DataFrame) -> DataFrame:
     """Document TEDS and cell F1: table summary, else text summary, else mean of its pages."""
     return doc_scores.withColumns({

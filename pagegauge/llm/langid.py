@@ -174,13 +174,13 @@ class Model:
 def samples(labelled: DataFrame, size: int = SAMPLE_BYTES, held_back: int = HELD_BACK_BYTES) -> DataFrame:
     """(lang, sample, held_back): the first texts of each language in an order of hashes, up to the bounds.
 
-    Which rows those are is decided on ids alone: of each language at most one row per 64 bytes of the bounds, so
-    one task can join their texts.
+    Which rows those are is decided on ids alone: of each language at most one row per 96 bytes of the bounds, so
+    one task can join their texts (and few enough that each task drops the others before the exchange).
     """
     rows = labelled.where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"), "text").where(
         F.length("text") >= 1)
-    most = (size + held_back) // 64
+    most = (size + held_back) // 96
     first = Window.partitionBy("lang").orderBy("order")
     ids = settled(rows.select("lang", "order").withColumn("_k", F.row_number().over(first)).where(
         F.col("_k") <= most).select("lang", "order").distinct(), "lang-sample")

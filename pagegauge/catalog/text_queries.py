@@ -356,6 +356,44 @@ def skip_done(spark, sf):
 
 # --- no SQL counterpart: full normalizer and alignments -----------------------------------
 
+_SHORT_F1 = _F1.replace("FROM page_pairs LEFT", "FROM page_pairs_short LEFT")
+
+
+@query("mixed_pages", ("page_pairs_short",), r"""
+  SELECT model, doc_id, page_num, CASE WHEN some_text THEN round(d / greatest(length(gt_text), 1), 6) END AS cer,
+         CASE WHEN some_text THEN round(wd / greatest(len(rt), 1), 6) END AS wer,
+         CASE WHEN some_text THEN round(greatest(0.0, 1.0 - d / greatest(length(gt_text), length(pred_text), 1)), 6) END
+           AS normalized_edit_similarity,
+         CASE WHEN some_text THEN char_f1 END AS char_f1, CASE WHEN some_text THEN word_f1 END AS word_f1,
+         CASE WHEN page_num % 2 = 0 THEN CASE WHEN page_num % 4 = 0 THEN 0.0 ELSE 1.0 END END AS table_teds_doc,
+         CASE WHEN page_num % 2 = 0 THEN 1 END AS ref_table_count, CASE WHEN page_num % 2 = 0 THEN (page_num % 4) // 2 END::INT AS pred_table_count
+  FROM (SELECT *, gt_text <> '' OR pred_text <> '' AS some_text,
+               CASE WHEN gt_text = pred_text THEN 0 ELSE levenshtein(""" + fx.one_byte("gt_text") + ", " + fx.one_byte("pred_text") + """) END AS d,
+               """ + _WORD_DISTANCE.format(r="rt", p="pt", v="vocab") + r""" AS wd
+        FROM (SELECT *, list_distinct(list_concat(rt, pt)) AS vocab FROM (
+          SELECT *, """ + _TOK.format("gt_text") + " AS rt, " + _TOK.format("pred_text") + " AS pt FROM page_pairs_short)))\n  JOIN ("
+       + _SHORT_F1.format(
+           name="char_f1", nr="length(gt_text)", np="length(pred_text)", counts=_CHAR_COUNTS.format(
+               ref="string_split(gt_text, '')", hyp="string_split(pred_text, '')", pairs="page_pairs_short"))
+       + ") USING (model, doc_id, page_num) JOIN (" + _SHORT_F1.format(
+           name="word_f1", nr="len(" + _TOK.format("gt_text") + ")", np="len(" + _TOK.format("pred_text") + ")",
+           counts=_CHAR_COUNTS.format(ref=_TOK.format("gt_text"), hyp=_TOK.format("pred_text"), pairs="page_pairs_short"))
+       + ") USING (model, doc_id, page_num)")
+def mixed_pages(spark, sf):
+    """Pages with text and tables scored together; every second page has a table, every fourth lost it."""
+    pairs = fx.ref_hyp(fx.page_pairs(spark, sf, fx.TOKEN_PAGE_CHARS))
+    html = F.concat(F.lit("<table><tr><th>page</th></tr><tr><td>"), F.col("page_num").cast("string"), F.lit("</td></tr></table>"))
+    own = F.array(F.struct(F.lit(1).alias("table_id"), html.alias("html")))
+    none = F.array().cast("array<struct<table_id:int,html:string>>")
+    tables = pairs.withColumns({
+        "gt_text": F.col("ref"), "pred_text": F.col("hyp"),
+        "gt_tables": F.when(F.col("page_num") % 2 == 0, own).otherwise(none),
+        "pred_tables": F.when(F.col("page_num") % 4 == 2, own).otherwise(none)})
+    scored = scoring.score_pages(tables)
+    numbers = ("cer", "wer", "normalized_edit_similarity", "char_f1", "word_f1", "table_teds_doc")
+    return scored.select(*PAIR, *[F.round(c, 6).alias(c) for c in numbers], "ref_table_count", "pred_table_count")
+
+
 @query("norm_full", (), r"""
   SELECT doc_id, array_to_string(list_transform(words, lambda w, k: CASE (k - 1) % 10
            WHEN 4 THEN w || ' &' WHEN 7 THEN 'https://a.b/' || w WHEN 8 THEN w || chr(233) ELSE w END), ' ')

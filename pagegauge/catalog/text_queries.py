@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
@@ -394,6 +396,31 @@ def mixed_pages(spark, sf):
     return scored.select(*PAIR, *[F.round(c, 6).alias(c) for c in numbers], "ref_table_count", "pred_table_count")
 
 
+@query("incremental_scores", ("page_pairs_short",), """
+  SELECT model, doc_id, page_num, CASE WHEN gt_text <> '' OR pred_text <> '' THEN round(d / greatest(length(gt_text), 1), 6) END AS cer,
+         CASE WHEN page_num % 3 = 0 THEN '1' ELSE '2' END AS formula_version
+  FROM (SELECT *, CASE WHEN gt_text = pred_text THEN 0 ELSE levenshtein(""" + fx.one_byte("gt_text") + ", " + fx.one_byte("pred_text") + """) END AS d
+        FROM page_pairs_short WHERE matched)""")
+def incremental_scores(spark, sf):
+    """The body of the scoring stream on three batches: a first one, a replayed one, and the rest under new formulas."""
+    from pagegauge.operators.ordering import durable
+    from pagegauge.sources.results import read_scores
+    from pagegauge.streaming.incremental import score_batch
+
+    pairs = fx.ref_hyp(fx.page_pairs(spark, sf, fx.TOKEN_PAGE_CHARS)).withColumn("doc_id", F.col("doc_id").cast("string"))
+    none = F.array().cast("array<struct<table_id:int,html:string>>")
+    keys = ["uc_type", "lang", "doc_id", "page_num"]
+    gt = durable(pairs.where("model = 'm_exact'").select(*keys, "ref", F.col("ref").alias("gt_text"), none.alias("gt_tables")))
+    pages = durable(pairs.where("matched").select(
+        "model", *keys, "hyp", F.col("hyp").alias("pred_text"), none.alias("pred_tables"), F.lit(1).alias("received_at")))
+    path = f"{spark.sparkContext.getCheckpointDir()}/incremental-{uuid.uuid4().hex}"
+    first, rest = pages.where("page_num % 3 = 0"), pages.where("page_num % 3 <> 0")
+    for batch, version in ((first, "1"), (first, "1"), (rest, "2")):
+        score_batch(batch, gt, path, version)
+    return read_scores(spark, path).select(
+        "model", F.col("doc_id").cast("long").alias("doc_id"), "page_num", F.round("cer", 6).alias("cer"), "formula_version")
+
+
 @query("norm_full", (), r"""
   SELECT doc_id, array_to_string(list_transform(words, lambda w, k: CASE (k - 1) % 10
            WHEN 4 THEN w || ' &' WHEN 7 THEN 'https://a.b/' || w WHEN 8 THEN w || chr(233) ELSE w END), ' ')

@@ -44,6 +44,7 @@ def save_scores(scores: DataFrame, path: str, keys: list[str] = DOC_KEYS) -> Non
     old = read_scores(scores.sparkSession, path)
     merged = scores
     if old is not None:
+        scores = durable(scores)  # read three times below, computed once
         touched = scores.select(*PARTITIONS).distinct()
         kept = old.join(touched, PARTITIONS, "left_semi").join(
             scores.select(*keys).distinct(), keys, "left_anti")

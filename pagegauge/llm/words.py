@@ -86,12 +86,15 @@ def shingle_sets(texts: list[list[bytes]], size: int = 5) -> list[np.ndarray]:
     for k, words in enumerate(texts):
         for run in _runs(words, size):
             n = sum(map(len, run)) + len(run)
+            if n > 2 * BLOCK - 2:
+                # Words of megabytes: only the last shingle of the run is too long for the tables.
+                parts.setdefault(k, []).append(_long(run[-size:]))
+                run = run[:-1]
+                if len(run) < size:
+                    continue
+                n = sum(map(len, run)) + len(run)
             if length and length + n > 2 * BLOCK - 2:
                 flush()
-            if n > 2 * BLOCK - 2:
-                # A word of megabytes: its shingles are hashed one by one.
-                parts.setdefault(k, []).append(_long(run, size))
-                continue
             groups.append(run)
             owners.append(k)
             length += n
@@ -119,6 +122,11 @@ def _runs(words: list[bytes], size: int):
         yield words[first:]
 
 
-def _long(run: list[bytes], size: int) -> np.ndarray:
-    texts = [b" ".join(run[k:k + size]) for k in range(max(1, len(run) - size + 1))]
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+def _long(shingle: list[bytes]) -> np.ndarray:
+    """The hash that ``_hashed`` gives, of one shingle of any length."""
+    text, powers = b" ".join(shingle), _powers()[0]
+    total = len(text)
+    for k in range(0, len(text), BLOCK):
+        part = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - k), k)
+        total += int((_byte_values()[part] * powers[:len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k, _WORD)
+    return mixed(np.array([total % _WORD], np.uint64))

@@ -54,6 +54,19 @@ def test_shingles_equal_brute_force(monkeypatch):
     words._powers.cache_clear()
 
 
+def test_one_hash_whatever_the_run(monkeypatch):
+    base = [b"w%d" % k for k in range(3000)]
+    plain, long = words.shingle_sets([base, [*base, b"x" * 1_100_000, *(b"v%d" % k for k in range(300))]])
+    assert len(plain) == 2996 and len(np.intersect1d(plain, long)) == 2996 and len(long) == 3297
+    rng = random.Random(4)
+    made = [[rng.choice([b"a", b"b", b"cc", b"y" * 700, b"z" * 1500]) for _ in range(rng.randint(1, 60))] for _ in range(60)]
+    whole = words.shingle_sets(made)
+    monkeypatch.setattr(words, "BLOCK", 300)
+    words._powers.cache_clear()
+    assert all(map(np.array_equal, whole, words.shingle_sets(made)))
+    words._powers.cache_clear()
+
+
 def test_packer_keeps_all_limits():
     rng = random.Random(3)
     limits = packing.Limits(tokens=64, segments=4, loss=40, waiting_tokens=2000)

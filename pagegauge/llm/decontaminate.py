@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.llm.batches import slices, texts_of
+from pagegauge.llm.store import fresh
 
 ERROR_RATE, MIN_BYTES = 0.08, 40
 #: Bytes of items in one block: what a pass over the documents broadcasts.
@@ -196,7 +197,26 @@ def leaks(
     return reduce(DataFrame.union, map(search, item_blocks(benchmark)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any test item, with all their columns; rows without an id stay."""
-    found = leaks(docs.where("doc_id is not null"), benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES,
+          nameless: bool = False) -> DataFrame:
+    """The documents without any test item, with all their columns, each row judged by its own text.
+
+    Rows without an id stay, unless ``nameless`` has them searched as well.
+    """
+    text = fresh(docs, "_text")
+    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
+    searched = F.lit(True) if nameless else F.col("doc_id").isNotNull()
+
+    def without(rows: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(shared.value, error_rate, min_bytes)
+            for batch in batches:
+                for part in slices(batch, text):
+                    free = [next(finder.matches(t), None) is None for t in texts_of(part, text)]
+                    yield part.filter(pa.array(free, pa.bool_())).select(names)
+
+        return rows.withColumn(text, F.when(searched, F.col("text").cast("string"))).mapInArrow(kept, schema)
+
+    return reduce(without, item_blocks(benchmark), docs)

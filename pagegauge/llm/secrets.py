@@ -80,10 +80,16 @@ def _joined(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def text_key(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+
+
 def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of the documents but the text, with ``spans`` sorted by start, then kind as listed."""
-    kept = [c for c in docs.columns if c not in (text, "spans")]
-    whole = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    """All columns of the documents but the text, with ``spans`` sorted by start, then kind as listed, and ``text_sha256``."""
+    kept = [c for c in docs.columns if c not in (text, "spans", "text_sha256")]
+    whole = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+                        text_key(text).alias("text_sha256"))
+    kept.append("text_sha256")
     each = whole.select(*kept, *[_spans(F.col("_text"), k).alias(f"_k{k}") for k in range(len(KINDS))])
     return each.select(*kept, F.array_sort(F.concat(*[f"_k{k}" for k in range(len(KINDS))])).alias("spans"))
 
@@ -112,7 +118,7 @@ def looks_real(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, repository: str, owner: str, min_owners: int = MIN_OWNERS) -> DataFrame:
-    """(doc_id, spans as an array, live and shared value hashes) of every document."""
+    """(doc_id, hash of the text, spans as an array, live and shared value hashes) of every document."""
     wanted = list(dict.fromkeys(["doc_id", repository, owner, "text"]))
     found = settled(found_in(docs.select(*wanted)), "secrets-found")
     classes = ownership(found, repository, owner, min_owners)
@@ -121,9 +127,9 @@ def scan(docs: DataFrame, repository: str, owner: str, min_owners: int = MIN_OWN
     judged = own.join(classes, "value_hash").groupBy("doc_id").agg(
         *[F.collect_list(F.when(F.col("class") == c, F.col("value_hash"))).alias(c) for c in ("live", "shared")])
     none = F.array().cast("array<string>")
-    return found.select("doc_id", "spans").join(
+    return found.select("doc_id", "text_sha256", "spans").join(
         judged.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
-        "doc_id", "spans", F.coalesce("live", none).alias("live"), F.coalesce("shared", none).alias("shared"))
+        "doc_id", "text_sha256", "spans", F.coalesce("live", none).alias("live"), F.coalesce("shared", none).alias("shared"))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -142,13 +148,13 @@ def report(scanned: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents with every secret value replaced by ``mask``, except widely copied examples.
 
-    Rows that repeat an id must hold the same text, as one row of ``scanned`` is taken for each id.
+    Spans are met by id and text, so rows that repeat an id or have none get those of their own text.
     """
     taken = F.filter("spans", lambda s: ~F.array_contains("shared", F.sha2(s["value"], 256)))
-    doc, hit, done = (fresh(docs, c) for c in ("_doc", "_hits", "_cut"))
+    doc, own, hit, done = (fresh(docs, c) for c in ("_doc", "_own", "_hits", "_cut"))
     hits = scanned.where(F.size("spans") > 0).select(
-        F.col("doc_id").alias(doc), F.array_sort(F.transform(taken, lambda s: F.struct(
-            s["from"].alias("from"), s["end"].alias("end")))).alias(hit)).where(F.size(hit) > 0).dropDuplicates([doc])
+        F.col("doc_id").alias(doc), F.col("text_sha256").alias(own), F.array_sort(F.transform(taken, lambda s: F.struct(
+            s["from"].alias("from"), s["end"].alias("end")))).alias(hit)).where(F.size(hit) > 0).dropDuplicates([doc, own])
 
     def cut(acc: Column, s: Column) -> Column:
         # Values of two kinds may overlap: what is masked already stays masked.
@@ -160,7 +166,8 @@ def masked(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = F.substring(F.col("text"), (F.col(f"{done}.at") + 1).cast("int"), F.lit(2 ** 31 - 1))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)), "left").withColumn(
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key() == F.col(own))
+    joined = docs.join(hits, same, "left").withColumn(
         done, F.when(F.col(hit).isNotNull(), F.aggregate(hit, zero, cut)))
     return joined.withColumn("text", F.when(
         F.col(hit).isNotNull(), F.concat(f"{done}.out", rest)).otherwise(F.col("text"))).select(docs.columns)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagegauge.llm import chat, langid, minhash, multiindex, pii, quality, secrets
+from pagegauge.llm import chat, decontaminate, langid, minhash, multiindex, pii, quality, secrets
 from pagegauge.llm.queries import QUERIES, SQL
 from tests.llm.test_duplicates import brute_components
 from tests.llm.test_texts import docs_of
@@ -109,6 +109,21 @@ def test_widely_copied_examples_stay(spark):
     assert shared in text[0] and text[100] == "keep token=[secret] away"
 
 
+def test_rows_without_an_id_are_masked_and_cleaned_by_their_own_text(spark):
+    value = "token=9d8c7b6a5f4e3d2c1b0"
+    rows = [(i, f"{'pad ' * n}{value}{n} end", "s") for i in (None, 5) for n in range(6)]
+    rows += [(None, "a clean text that is long enough to be cut", "s"), (5, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.masked(docs, secrets.scan(docs, "source", "source")).collect()
+    want = [(i, t and re.sub("=9d8c\\w+", "=[secret]", t)) for i, t, _ in rows]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    item = "the quick brown fox jumps over the lazy dog by the river bank"
+    more = [(None, f"x {item} y", "s"), (None, "free", "s"), (7, item, "s"), (7, "free too", "s")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(spark.createDataFrame(more, docs.schema), bench, nameless=True)
+    assert sorted(r.text for r in kept.collect()) == ["free", "free too"]
+
+
 def greedy(data, sample):
     n, i = 1, 0
     j = 0

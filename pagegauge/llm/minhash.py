@@ -3,7 +3,8 @@
 1. One pass over the texts gives each document the size of its shingle set, a
    128-bit digest of its words, a signature of minima (one byte each) and the
    keys of its bands.  Documents with equal words form one class, represented
-   by its smallest id; everything below sees representatives only.
+   by its smallest id; everything below sees representatives only, under
+   numbers of their own that follow the order of the ids.
 2. First round: the smallest member of a bucket (band key) is its center, and
    every document is paired with one center only, the one with which it shares
    most buckets, so there are never more candidates than documents.
@@ -27,9 +28,10 @@ A pair at the threshold shares no band with probability below 1e-5 (128
 minima, bands of 4); that and ``MISS`` are the only ways to lose a link.
 
 Defined results: a null or empty text has an empty set and is linked with
-nothing; a null document id is its own row with a null component; rows that
-repeat an id are judged each by its own text; an empty table gives no rows;
-further columns are ignored.
+nothing; a null document id is its own row with a null component (but
+``deduplicated`` takes part in the graph with it, after all ids); rows that
+repeat an id are judged each by its own text, and so are their components; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +42,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.llm.batches import slices
-from pagegauge.llm.store import settled
+from pagegauge.llm.store import fresh, settled
 from pagegauge.llm.words import digest, mixed, shingle_sets, words_of
 
 MINIMA, ROWS, SHINGLE = 128, 4, 5
@@ -130,18 +132,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mins = [minima(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"),
+                part.column("raw"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(w) if w else None for w in words], pa.binary()),
                 pa.array([None if m is None else ((m * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(
                     np.uint8).tobytes() for m in mins], pa.binary()),
                 pa.array([None if m is None else band_keys(m) for m in mins], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "words", "signature", "bands"])
+            ], ["doc_id", "raw", "n_shingles", "words", "signature", "bands"])
+
+
+def raw_key(text: str = "text") -> Column:
+    """Tells texts apart without Python; a null counts as an empty text."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(_features, "doc_id long, n_shingles long, words binary, signature binary, "
-                                               "bands array<long>")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), raw_key().alias("raw"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(_features, "doc_id long, raw string, n_shingles long, words binary, signature binary, bands array<long>")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -211,23 +219,24 @@ def _linked(members: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def holding(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose node is in ``ids``; most others are left out before the exchange.
+def holding(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``rows`` (node, doc_id, raw); most other texts are left out before the exchange.
 
     A bit map of the hashed ids, of at most 2**MAP_BITS bits, is broadcast as rows of 64 bits; the join after it is
     exact.  With more ids than bits it lets all texts pass.
     """
-    ids = settled(ids, "minhash-ids")
-    bits = min(1 << MAP_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+    rows = settled(rows, "minhash-ids")
+    bits = min(1 << MAP_BITS, 1 << max(16, (16 * rows.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "raw"), F.lit(bits))
+    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "raw"]
+    keys = ["_id", "_none", "raw"]
 
-    def place(node: str):
-        return F.pmod(F.xxhash64(node), F.lit(bits))
-
-    words = ids.select((place("node") / 64).cast("long").alias("_word"), (place("node") % 64).cast("int").alias("_bit")
-                       ).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_map"))
-    near = texts.withColumn("_word", (place("node") / 64).cast("long")).join(F.broadcast(words), "_word").where(
-        F.getbit("_map", (place("node") % 64).cast("int")) == 1).select(texts.columns)
-    return near.join(ids, "node", "left_semi")
+    words = rows.select((place / 64).cast("long").alias("_word"), (place % 64).cast("int").alias("_bit")
+                        ).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_map"))
+    near = texts.withColumn("_word", (place / 64).cast("long")).join(F.broadcast(words), "_word").where(
+        F.getbit("_map", (place % 64).cast("int")) == 1).select(*same, "text")
+    # Rows with one id and text are one node.
+    return near.dropDuplicates(keys).join(rows.select(*same, "node"), keys).select("node", "text")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -266,14 +275,15 @@ def components(links: DataFrame, name: str) -> DataFrame:
 def confirmed(survivors: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) within the families that survivors (a, b) connect.
 
-    ``members``: (node, component, n, signature); ``texts``: (node, text).
+    ``members``: (node, component, n, signature, doc_id, raw); ``texts``: (doc_id, raw, text).
     """
     families = components(survivors, "minhash-families")
     sizes = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
     placed = settled(families.join(sizes, "component").select(
         "node", F.col("component").alias("family"), "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "minhash-placed")
-    full = placed.join(members, "node").join(holding(texts, placed.select("node")), "node")
+    own = settled(placed.join(members, "node"), "minhash-placed")
+    full = own.join(holding(texts, own.select("node", "doc_id", "raw")), "node")
     # Block k meets every block, itself included.
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -308,14 +318,24 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(smallest[edge]), pa.array(every[edge])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+def _judged(docs: DataFrame, nameless: bool) -> DataFrame:
+    """(doc_id, raw, n_shingles, words, first_raw, component_id, kept), one row per document.
+
+    ``kept``: it is of the smallest class of its component, and has the smallest id there; ``first_raw``: the smallest
+    text with that id in its class.  Without ``nameless``, rows without an id are linked with nothing.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_key().alias("raw"),
+                        F.col("text").cast("string").alias("text"))
     feats = settled(features(docs), "minhash-features")
-    found = feats.where("words is not null and doc_id is not null")
-    classes = settled(found.groupBy("words").agg(F.min("doc_id").alias("node")), "minhash-classes")
-    nodes = settled(found.join(classes, "words").where("doc_id = node").dropDuplicates(["words"]).select(
-        "node", F.col("n_shingles").alias("n"), "signature", "bands"), "minhash-nodes")
+    found = feats.where("words is not null" if nameless else "words is not null and doc_id is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("_first")
+    classes = settled(found.groupBy("words").agg(least).select("words", "_first.*").orderBy(
+        "none", "doc_id", "raw", "words").select(
+        "words", F.col("doc_id").alias("first_id"), F.col("raw").alias("first_raw"),
+        F.monotonically_increasing_id().alias("node")), "minhash-classes")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw"))
+    nodes = settled(found.join(classes, "words").where(first).dropDuplicates(["words"]).select(
+        "node", "doc_id", "raw", F.col("n_shingles").alias("n"), "signature", "bands"), "minhash-nodes")
 
     bands = nodes.select("node", "n", F.explode("bands").alias("band"))
     centers = bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
@@ -331,7 +351,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (-F.col("_best._minus")).alias("a"), F.col("node").alias("b"))
     screened = stars.join(right, "b").join(left, "a").where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(
         _screen, "a long, b long")
-    alone = nodes.select("node", F.col("node").alias("component"), "n", "signature")
+    alone = nodes.select("node", F.col("node").alias("component"), "n", "signature", "doc_id", "raw")
     first = settled(confirmed(settled(screened, "minhash-first"), alone, texts), "minhash-links")
     labels = components(first, "minhash-first")
 
@@ -358,16 +378,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not second.isEmpty():
         labels = components(first.union(second), "minhash-all")
 
-    own = feats.select("doc_id", "n_shingles", "words").join(classes, "words", "left")
-    return own.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.when(
-            F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    roots = labels.join(classes.select(F.col("node").alias("component"), F.col("first_id").alias("_root")), "component")
+    judged = feats.select("doc_id", "raw", "n_shingles", "words").join(classes, "words", "left").join(
+        roots.select("node", "component", "_root"), "node", "left")
+    root = F.when(F.col("component").isNotNull(), F.col("_root")).when(
+        F.col("node").isNotNull(), F.col("first_id")).otherwise(F.col("doc_id"))
+    kept = F.coalesce("component", "node").eqNullSafe(F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    alone = F.col("words").isNull() if nameless else F.col("words").isNull() | F.col("doc_id").isNull()
+    return judged.select("doc_id", "raw", "n_shingles", "words", "first_raw",
+                         F.when(F.col("doc_id").isNotNull(), root).alias("component_id"), (alone | kept).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document."""
+    return _judged(docs, nameless=False).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each component, with all their columns; repeated ids stay one row."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull())
-    return rows.dropDuplicates(["doc_id"]).union(nameless)
+    """The smallest row of each component, with all its columns; of rows that repeat an id and their words, one.
+
+    Rows without an id are linked as others are, and come after all ids; those of them without words all stay.
+    """
+    judged = _judged(docs, nameless=True).where("kept")
+    wordless = judged.where("words is null and doc_id is not null").groupBy("doc_id").agg(F.min("raw").alias("raw"))
+    chosen = judged.where("words is not null and raw = first_raw").select("doc_id", "raw").union(
+        wordless.select("doc_id", "raw")).distinct()
+    names = id_, none, raw = [fresh(docs, c) for c in ("_id", "_none", "_raw")]
+
+    def keyed(rows: DataFrame, key: Column) -> DataFrame:
+        own = F.col("doc_id").cast("long")
+        return rows.withColumns({id_: F.coalesce(own, F.lit(0)), none: own.isNull(), raw: key})
+
+    wanted = keyed(chosen, F.col("raw")).select(names)
+    rows = keyed(docs, raw_key()).join(wanted, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return rows.union(docs.where(F.col("doc_id").cast("long").isNull() & blank))

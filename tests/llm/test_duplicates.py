@@ -57,6 +57,19 @@ def test_repeated_rows_and_empty_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_go_by_their_own_text(spark):
+    base = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcde"]
+    near = [f"{b} more" for b in base]
+    rows = [(1, base[0]), (3, near[0]), (3, base[1]), (3, base[1]), (4, near[1]), (None, near[1]), (None, base[2]),
+            (None, base[2].upper()), (None, near[2]), (None, base[3]), (None, None), (None, " "), (9, None), (9, "")]
+    kept = minhash.deduplicated(docs_of(spark, rows)).collect()
+    got = sorted(((r.doc_id, (r.text or "").strip().lower()[:3]) for r in kept), key=repr)
+    assert got == sorted([(1, "a0 "), (3, "b0 "), (None, "c0 "), (None, "d0 "), (None, ""), (None, ""), (9, "")], key=repr)
+    found = minhash.near_duplicates(docs_of(spark, rows[:5])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (1, 1, True), (3, 1, False), (3, 3, True), (3, 3, True), (4, 3, False)]
+
+
 def test_components_equal_a_plain_search(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(1000, 1040)] + [(500, k) for k in range(501, 530)] + [(k, 999) for k in range(900, 930)]

@@ -67,12 +67,20 @@ PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A),
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.A),
-    "phone": re.compile(
-        r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3,4}[ .-]\d{4}|"
-        r"(?<=\+)\d{9,14}|(?<=[ .-])\d{2,4}(?:[ .-]\d{2,4}){2,3})(?![\w]|\.\d)", re.A),
     "name": re.compile(rf"(?<!\w)(?:{_TITLE})\.?\s+((?=[^\W\d_a-zà-ÿа-я]){_CAPITAL}+(?:[ -](?=[^\W\d_a-zà-ÿа-я]){_CAPITAL}+){{0,2}})"),
 }
-_PLUS_PHONE = re.compile(r"(?<![\w.])\+\d[\d ().-]{6,20}\d(?!\w)", re.A)
+#: Forms of telephone numbers: with +; after a national or international 0; with an area in brackets; 3-3-4 and 3-4-4;
+#: 3-4; three and more short groups.  None begins or ends inside a longer run of digits.
+_SEP, _START, _END = r"[ \u00a0./-]", r"(?<![\w.+])(?<!\d[/-])", r"(?!\w|[.,/-]\d)"
+PHONES = [re.compile(rf"{_START}(?:{form}){_END}", re.A) for form in (
+    r"\+\d[\d \u00a0()./-]{5,20}\d",
+    rf"(?:0(?!00)\d{{1,5}}|\(0(?!00)\d{{1,5}}\))(?:{_SEP}{{1,3}}(?:\(0\){_SEP}?)?\d{{2,8}}){{1,6}}", r"0(?!00)\d{8,14}",
+    rf"(?:\d{{1,3}}{_SEP})?\(\d{{2,5}}\){_SEP}?\d{{2,8}}(?:{_SEP}\d{{2,4}}){{0,4}}",
+    rf"(?:\d{{1,3}}{_SEP})?\d{{3}}{_SEP}\d{{3,4}}{_SEP}\d{{4}}", r"\d{3}-\d{4}", rf"\d{{2,4}}(?:{_SEP}\d{{2,4}}){{2,6}}")]
+_YEAR, _MONTH, _DAY = r"(?:1[89]|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_DATE = re.compile(
+    rf"(?<![\d+])(?<!\d[./-])(?:{_YEAR}([./-]){_MONTH}\1{_DAY}|{_DAY}([./-]){_MONTH}\2{_YEAR}|"
+    rf"{_MONTH}([./-]){_DAY}\3{_YEAR})(?!\d|[./-]\d)", re.A)
 _DIGIT = re.compile(r"\d", re.A)
 _HAS_TITLE = re.compile(rf"(?<!\w)(?:{_TITLE})\.?\s")
 
@@ -86,9 +94,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if digits:
         found += [(m.start(), m.end(), "ip", ".".join(str(int(p)) for p in m[0].split(".")))
                   for m in PATTERNS["ip"].finditer(text)]
-        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in PATTERNS["card"].finditer(text)]
-        for pattern in (_PLUS_PHONE, PATTERNS["phone"]):
-            found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in pattern.finditer(text)
+        # Dates are no part of a number.
+        undated = _DATE.sub(lambda m: "|" * len(m[0]), text)
+        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in PATTERNS["card"].finditer(undated)]
+        for pattern in PHONES:
+            found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in pattern.finditer(undated)
                       if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
     if _HAS_TITLE.search(text):
         for m in PATTERNS["name"].finditer(text):

@@ -271,6 +271,20 @@ def test_surrogates(spark):
     assert pii.pseudonymized(docs_of(spark, []), b"key").count() == 0
 
 
+def test_telephone_numbers_are_found_whole_and_dates_are_not():
+    numbers = ["06 12 34 56 78", "0171 2345678", "030 12345678", "555-1234", "0612345678", "+49 (0)171 2345678", "030/1234567",
+               "(030) 12345678", "+1 (017) 555-7713", "1-800-555-1234", "12 34 56 78",
+               "912 345 678", "+33612345678", "0171-2012-10-11"]
+    for number in numbers:
+        for before, after in (("", ""), ("Tel ", " today"), ("(", ")"), ("x\n", "\ny"), ("[", "], "), ("am 2024-01-15 ", "."), ("tel:", ";")):
+            text = f"{before}{number}{after}"
+            found = [(text[a:b], kind) for a, b, kind, _ in pii.detect(text)]
+            assert found == [(number, "phone")], (text, found)
+    for clean in ("am 2024-01-15 war", "2024-01-15", "(2024-01-15)", "15.01.2024", " 1/15/2024 ", "2024-01-15 10:30:00", "1234567",
+                  "1,234,567", "3.1415926", "2019-2020", "1.2.3.4.5"):
+        assert not pii.detect(clean), (clean, pii.detect(clean))
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     texts = [(k, f"{c}@x.example.org and {c}1@x.example.org") for k, c in enumerate("abcdefghijklmnop")]
     known = pii.entities(docs_of(spark, texts))

@@ -9,12 +9,12 @@ the form of each occurrence.
 A surrogate is made from a keyed hash (HMAC-SHA-256) of the entity: digits
 become digits and letters become letters of the same script and case; a card
 number keeps whether its check digit is right; a name keeps its gender and
-script and number of parts.  Lengths and separators stay.
+script and number of parts.  Lengths (but for late attempts) and separators stay.
 
 Collision checks run over the distinct entities of the corpus: entities that
 share a surrogate, or whose surrogate is an entity of the corpus, are made
 anew with the next attempt, all but the smallest of each group, until none is
-left.  Only entities with an attempt other than 0 have to be told to the pass
+left; where a form has too few values, later attempts are longer.  Only entities with an attempt other than 0 have to be told to the pass
 that rewrites texts; up to ``BROADCAST_ROWS`` of them are broadcast, more are
 joined to the documents that hold them.
 
@@ -41,6 +41,8 @@ from pagegauge.llm.store import fresh, settled
 
 KINDS = ("email", "ip", "card", "phone", "name")
 BROADCAST_ROWS = 100_000
+#: From this attempt on a surrogate of an e-mail address, telephone number or name is longer by one more character each time.
+WIDER = 8
 
 #: Forms of address by gender, and given names by gender and script.
 TITLES = {
@@ -127,7 +129,13 @@ class Surrogates:
 
     def of(self, kind: str, form: str, attempt: int = 0) -> str:
         draw = self._stream(kind, form, attempt)
-        return getattr(self, f"_{kind}")(form, draw)
+        made, more = getattr(self, f"_{kind}")(form, draw), max(0, attempt - WIDER + 1)
+        if not more or kind in ("ip", "card"):  # of these there are enough, and their length is fixed
+            return made
+        if kind == "email":
+            local, _, domain = made.partition("@")
+            return f"{local}{self._like('a' * more, draw)}@{domain}"
+        return made + self._like(("0" if kind == "phone" else made[-1]) * more, draw)
 
     def _email(self, form: str, draw: Iterator[int]) -> str:
         local, _, domain = form.partition("@")
@@ -207,7 +215,7 @@ def written_like(kind: str, surrogate: str, occurrence: str) -> str:
     """The canonical surrogate in the form of one occurrence."""
     if kind in ("card", "phone"):
         digits = iter(surrogate)
-        return "".join(next(digits) if c.isdigit() else c for c in occurrence)
+        return "".join([*(next(digits) if c.isdigit() else c for c in occurrence), *digits])
     if kind == "ip":
         return surrogate
     plain = surrogate.partition(":")[2] if kind == "name" else surrogate
@@ -236,7 +244,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return texts.mapInArrow(found, "kind string, form string").distinct()
 
 
-def exceptions(known: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
+def exceptions(known: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, attempt): entities whose first surrogate would collide, with an attempt that does not."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +260,7 @@ def exceptions(known: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
 
     current = made(known.withColumn("attempt", F.lit(0)), "pii-surrogates")
     originals = known.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("_real"))
-    for _ in range(most_rounds):
+    while True:  # from attempt WIDER on surrogates grow, so that there are always enough of them
         sizes = current.groupBy("kind", "surrogate").agg(F.min("form").alias("_first"), F.count("*").alias("_n"))
         judged = current.join(sizes.where("_n > 1"), ["kind", "surrogate"], "left").join(
             originals, ["kind", "surrogate"], "left")
@@ -262,7 +270,6 @@ def exceptions(known: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
         fixed = current.join(again.select("kind", "form"), ["kind", "form"], "left_anti").select(current.columns)
         new = made(again.withColumn("attempt", F.col("attempt") + 1), "pii-again")
         current = settled(fixed.union(new), "pii-surrogates")
-    raise ValueError("too few surrogates of some kind for the distinct entities of the corpus")
 
 
 def pseudonymized(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -299,6 +299,17 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert set(re.findall(r"\S+@\S+", " ".join(r.text for r in few))) == set(made)
 
 
+def test_one_letter_mailboxes_of_a_domain_all_get_surrogates(spark):
+    forms = [f"{c}@{d}.com" for c in "abcdefghijklmnopqrstuvwxyzé" for d in ("b", "y")]
+    known = spark.createDataFrame([("email", f) for f in forms], "kind string, form string")
+    odd = {(r.kind, r.form): r.attempt for r in pii.exceptions(known, b"key").collect()}
+    maker = pii.Surrogates(b"key")
+    made = {maker.of("email", f, odd.get(("email", f), 0)) for f in forms}
+    assert len(made) == len(forms) and not made & set(forms) and max(odd.values()) >= pii.WIDER
+    late = maker.of("phone", "5551234", pii.WIDER + 1)
+    assert len(late) == 9 and pii.written_like("phone", late, "555-1234").startswith(late[:3] + "-")
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")

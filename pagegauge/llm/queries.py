@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import chat, decontaminate, langid, minhash, multiindex, packing, pii, quality, secrets, tokenfiles
+from pagegauge.llm import (
+    bpe, chat, decontaminate, hardneg, langid, minhash, multiindex, packing, pii, quality, secrets, tokenfiles, whitening,
+)
 from pagegauge.llm.store import scratch, table
 from pagegauge.llm.tokens import BYTE_LEVEL, WORD_LEVEL
 
@@ -96,3 +98,26 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymized(docs, key=SURROGATE_KEY)
+
+
+@query
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+@query
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path(WORD_LEVEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))

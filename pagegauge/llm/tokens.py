@@ -2,7 +2,7 @@
 
 Both vocabularies split a text at white space before they merge, so the ids of
 a text are the ids of its blank-separated units in order.  A unit is encoded
-once and then looked up; a text for which that is not certain (a blank beside
+once and then looked up (``unitcache``); a text for which that is not certain (a blank beside
 other white space, control separators, strings of special tokens) goes to the
 library whole.
 """
@@ -14,8 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Units kept per worker; beyond it, all are forgotten and learnt anew.
-CACHE_UNITS = 600_000
+from pagegauge.llm.unitcache import GENERATION, Learnt, UnitIds
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -26,7 +25,7 @@ _ODD_FOR_WORDS = re.compile("[\x1c-\x1f]")
 class Encoder:
     """``ids(texts)`` yields one array of unsigned 32-bit ids per text."""
 
-    def __init__(self, file: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, file: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -38,15 +37,7 @@ class Encoder:
         self.edge = np.zeros(self.size, bool)
         self.edge[[k for word, k in words.items()
                    if (word.startswith("\u0120") if self.byte_level else word.endswith("</w>"))]] = True
-        self.cache_units = cache_units
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.units = UnitIds(self._learn, generation)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32)
@@ -86,7 +77,7 @@ class Encoder:
             all_counts.append(counts)
         return np.concatenate(all_ids), np.concatenate(all_counts)
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> Learnt:
         if self.byte_level:
             flat, counts = self._joined(units)
         else:
@@ -98,30 +89,7 @@ class Encoder:
             units = [u for u, p in zip(units, plain, strict=True) if p]
             flat, counts = map(np.concatenate, zip(self._joined(units, runs[plain]), self._joined(odd), strict=True))
             units += odd
-        assert len(counts) == len(units)
-        total, n = len(flat), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(units) > len(self.start):
-            for name in ("start", "count"):
-                value = getattr(self, name)
-                setattr(self, name, np.concatenate([value, np.zeros_like(value)]))
-        self.flat[self.used:self.used + total] = flat
-        self.start[n:n + len(units)] = self.used + np.cumsum(counts) - counts
-        self.count[n:n + len(units)] = counts
-        self.used += total
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
-
-    def _gathered(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if unseen := set(units).difference(self.index):
-            self._learn(list(unseen))
-        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.start[at] - (ends - counts), counts)
-        source += np.arange(total)
-        return self.flat[source], ends
+        return units, flat, counts
 
     def ids(self, texts: list[str | None], chars: int = 1 << 20) -> Iterator[np.ndarray]:
         """One array per text, in order; a null text counts as empty."""
@@ -136,8 +104,6 @@ class Encoder:
         yield from self._block(block)
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.cache_units:
-            self._clear()
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         units: list[str] = []
         bounds, cut, whole, first = [0], [], [], []
@@ -156,8 +122,8 @@ class Encoder:
             cut.append(k)
             bounds.append(len(units))
         if cut:
-            flat, ends = self._gathered(units)
-            ends = np.concatenate([[0], ends])[bounds]
+            flat, counts = self.units.of(units)
+            ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
             for k, a, b in zip(cut, ends, ends[1:], strict=False):
                 out[k] = flat[a:b]
         for k, ids in zip(cut, self._whole(first), strict=False):

@@ -30,6 +30,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: Letters that normalize to their own lower case, then marks: words that need no library.  U+0130 is not among them.
 _SIMPLE = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Units, and words, of a generation of a worker's memory.
+UNITS = 200_000
 #: Units whose words are split by the library in one call.
 _JOINED = 2000
 
@@ -108,27 +111,42 @@ class PairIndex:
         return np.array(symbol, np.int64)
 
 
-class Coder:
-    def __init__(self, file: str, special: bool = True, generation: int | None = None):
+class Decoder:
+    """Texts of ids; all that decoding needs of a vocabulary file."""
+
+    def __init__(self, file: str):
+        with open(file, encoding="utf-8") as f:
+            self._read(json.load(f))
+
+    def _read(self, spec: dict) -> None:
+        model = spec["model"]
+        self.end = model.get("end_of_word_suffix") or ""
+        if spec["decoder"] is not None or not self.end or spec["normalizer"] is None or model["type"] != "BPE":
+            raise ValueError("only vocabularies of words with an end mark and without a decoder are handled")
+        words = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.strings = np.full(max(words.values()) + 1, None, object)
+        for word, k in words.items():
+            self.strings[k] = word
+
+    def text(self, ids: np.ndarray) -> str:
+        known = self.strings[ids[(ids >= 0) & (ids < len(self.strings))]]
+        return " ".join(x for x in known.tolist() if x is not None)
+
+
+class Coder(Decoder):
+    """Ids of texts too."""
+
+    def __init__(self, file: str, special: bool = True, generation: int = UNITS):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(file)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        end = model.get("end_of_word_suffix") or ""
-        if spec["decoder"] is not None or not end or self.normalizer is None or model["type"] != "BPE":
-            raise ValueError("only vocabularies of words with an end mark and without a decoder are handled")
-        vocabulary = model["vocab"]
+        self._read(spec)
+        vocabulary, end = spec["model"]["vocab"], self.end
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if special else {}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        n = max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.strings = np.full(n, None, object)
-        for word, k in vocabulary.items():
-            self.strings[k] = word
-        for t in spec["added_tokens"]:
-            self.strings[t["id"]] = t["content"]
         # A character of the vocabulary stands for one byte: those printable in Latin-1 for themselves, the rest in
         # order from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -137,10 +155,9 @@ class Coder:
         self.byte_of = {ord(c): k for k, c in character.items()}
         self.inner = np.array([vocabulary[character[k]] for k in range(256)])
         self.last = np.array([vocabulary[character[k] + end] for k in range(256)])
-        rules = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.pairs = PairIndex([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in rules], n)
-        more = {"generation": generation} if generation else {}
-        self.words, self.units = UnitIds(self._merge, **more), UnitIds(self._learn, **more)
+        rules = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.pairs = PairIndex([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in rules], len(self.strings))
+        self.words, self.units = UnitIds(self._merge, generation), UnitIds(self._learn, generation)
 
     def _split(self, units: list[str]) -> tuple[list[bytes], np.ndarray]:
         """The words of units in order, and the number of words of each unit, by the vocabulary's own rules."""
@@ -214,20 +231,16 @@ class Coder:
             np.add.at(per_text, owner, 1)
         return flat, per_text
 
-    def text(self, ids: np.ndarray) -> str:
-        known = self.strings[ids[(ids >= 0) & (ids < len(self.strings))]]
-        return " ".join(x for x in known.tolist() if x is not None)
-
 
-_CODERS: dict[tuple[str, bool], Coder] = {}
+@lru_cache(1)
+def coder(file: str, special: bool) -> Coder:
+    """The worker's coder of a vocabulary file, built once."""
+    return Coder(file, special)
 
 
-def coder(file: str, special: bool = True) -> Coder:
-    """The worker's coder of a vocabulary file, built once."""
-    if (file, special) not in _CODERS:
-        _CODERS.clear()
-        _CODERS[file, special] = Coder(file, special)
-    return _CODERS[file, special]
+@lru_cache(1)
+def decoder(file: str) -> Decoder:
+    return Decoder(file)
 
 
 def encode(docs: DataFrame, vocabulary: str, special: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str, special: bool = True, key: str = "d
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids, text) of rows (doc_id, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary)
+        own = decoder(vocabulary)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

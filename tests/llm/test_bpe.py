@@ -32,7 +32,7 @@ def made(seed=1):
     return [*ODD, *MORE, *plain, *wide, *letters]
 
 
-@pytest.mark.parametrize("generation", [50, None])
+@pytest.mark.parametrize("generation", [50, bpe.UNITS])
 def test_ids_and_texts_equal_library(library, generation):
     texts = made()
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]

@@ -42,11 +42,11 @@ def where_present(text: Column, chars: str, body: Callable[[Column], Column], hi
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"{P.WS}+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def lines(text: Column) -> Column:
@@ -55,7 +55,7 @@ def lines(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; blank text gives an empty array."""
-    return F.filter(F.split(text, f"{P.WS}+", -1), lambda w: w != "")
+    return F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
 
 
 def sub(text: Column, *steps: tuple[str, str]) -> Column:
@@ -85,11 +85,6 @@ def prf(overlap: Column, n_ref: Column, n_pred: Column) -> Column:
     )
 
 
-def quiet_null(condition: Column, value: Column) -> Column:
-    """``value`` where the condition holds, else NULL (keeps UDF input small)."""
-    return F.when(condition, value)
-
-
 def settle(df, **columns: Column):
     """Add columns in a step of their own.
 

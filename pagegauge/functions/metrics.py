@@ -183,7 +183,7 @@ def formulas(markdown: Column) -> Column:
 
     def clean(body: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(
-            X.strip(X.unescape_basic(body)), P.LATEX_SIZING, ""), f"{P.WS}+", "")
+            X.strip(X.unescape_basic(body)), P.LATEX_SIZING, ""), r"\s+", "")
 
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in P.FORMULAS])
     return F.filter(F.transform(found, clean), lambda f: f != "")

@@ -10,8 +10,6 @@ the JVM shorthands are ASCII-only.
 # a blank and every rare line separator a vertical tab, so ``\s`` covers all.
 OTHER_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u001f"
 OTHER_BREAKS = "\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
-WS = r"\s"
-NOT_WS = r"\S"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_NOT_WS = r"[^\p{L}\p{N}_\s]"
 DIGIT = r"\p{Nd}"
@@ -33,64 +31,55 @@ RARE_ENTITY = r"&(?!lt;|gt;|quot;|#39;|#x27;|apos;|nbsp;|amp;)(#|[A-Za-z])"
 BRACKETED_URL = r"<(https?://[^>\s]+)>"
 BRACKETED_WEB = r"<((?:https?://|www\.)[^>\s]+)>"
 BRACKETED_EMAIL = r"<([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})>"
-URL = rf"https?://[^\s)>\]]+"
-STAR_GROUP = rf"\({WS}*\*+{WS}*\)"
+URL = r"https?://[^\s)>\]]+"
+STAR_GROUP = r"\(\s*\*+\s*\)"
 PLACEHOLDER = "KeptAsIsNo"
 
 IMG_TAG = r"(?i)<img\b[^>]*>"
 MD_IMAGE_AND_LINE = r"!\[[^\]]*\]\([^)]+\)[^\n]*"
-HTML_BREAK = rf"(?i)<{WS}*br{WS}*/?{WS}*>"
-HTML_BLOCK_CLOSE = rf"(?i)</{WS}*(p|div|tr|li|h[1-6]|table|section){WS}*>"
-HTML_BLOCK_OPEN = rf"(?i)<{WS}*(p|div|tr|li|h[1-6]|table|section)\b[^>]*>"
-HTML_INLINE = rf"(?i)</?{WS}*(b|strong|i|em|u|span|font|code|sup|sub)\b[^>]*>"
+HTML_BREAK = r"(?i)<\s*br\s*/?\s*>"
+HTML_BLOCK_CLOSE = r"(?i)</\s*(p|div|tr|li|h[1-6]|table|section)\s*>"
+HTML_BLOCK_OPEN = r"(?i)<\s*(p|div|tr|li|h[1-6]|table|section)\b[^>]*>"
+HTML_INLINE = r"(?i)</?\s*(b|strong|i|em|u|span|font|code|sup|sub)\b[^>]*>"
 ANY_TAG = r"<[^>]+>"
 MD_ESCAPE = r"\\([\\`*_{}\[\]()#+\-.!|])"
 
 MD_LINK = r"\[([^\]]+)\]\([^)]+\)"
 FENCE_OPEN = r"```[A-Za-z0-9_-]*"
 FENCE = "```"
-HEADING = rf"(?md)^{WS}{{0,3}}#{{1,6}}{WS}*"
-QUOTE = rf"(?md)^{WS}*>{WS}*"
-BULLET = rf"(?md)^{WS}*[-*+]{WS}+(?={NOT_WS})"
-LONE_HASHES = rf"(?<!{NOT_WS})#{{1,6}}(?!{NOT_WS})"
-LONE_MARKERS = rf"(?<!{NOT_WS})[*_]{{1,3}}(?!{NOT_WS})"
+HEADING = r"(?md)^\s{0,3}#{1,6}\s*"
+QUOTE = r"(?md)^\s*>\s*"
+BULLET = r"(?md)^\s*[-*+]\s+(?=\S)"
+LONE_HASHES = r"(?<!\S)#{1,6}(?!\S)"
+LONE_MARKERS = r"(?<!\S)[*_]{1,3}(?!\S)"
 
-TABLE_RULE = rf"^{WS}*\|?{WS}*:?-{{3,}}:?{WS}*(\|{WS}*:?-{{3,}}:?{WS}*)+\|?{WS}*$"
+TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 CELL_RULE = r"^:?-{3,}:?$"
-LIST_BEFORE_PIPE = rf"^{WS}*[-+*]{WS}+(?=\|)"
+LIST_BEFORE_PIPE = r"^\s*[-+*]\s+(?=\|)"
 
 STRONG = r"(?d)(\*\*|__)(.*?)\1"
-EM_STAR = (
-    rf"(?<!{NOT_WS})\*([^\s*]"
-    rf"[^*\n]{{0,120}}?[^\s*])\*(?!{NOT_WS})"
-)
-EM_UNDERSCORE = (
-    rf"(?<!{NOT_WS})_([^\s_]"
-    rf"[^_\n]{{0,120}}?[^\s_])_(?!{NOT_WS})"
-)
+EM_STAR = r"(?<!\S)\*([^\s*][^*\n]{0,120}?[^\s*])\*(?!\S)"
+EM_UNDERSCORE = r"(?<!\S)_([^\s_][^_\n]{0,120}?[^\s_])_(?!\S)"
 INLINE_CODE = r"`([^`]*)`"
 LEFTOVER_MARKERS = r"[*_]{1,3}"
-BULLET_GLYPHS = (
-    r"[•‣․‥…‧⁃⁌⁍∙◦"
-    r"■-◿✀-➿·¸]"
-)
+BULLET_GLYPHS = r"[•‣․‥…‧⁃⁌⁍∙◦■-◿✀-➿·¸]"
 DASHES = r"[‐-―−﹘﹣－]"
 SLASHES = r"[／＼]"
 DOT_OPERATORS = r"[•·∙⋅‧]"
 TIMES_SIGN = "×"
 CYRILLIC_HA = "х"
 
-COMMA_IN_NUMBER = rf"(?<={DIGIT}),{WS}+(?={DIGIT})"
-POINT_IN_NUMBER = rf"(?<={DIGIT})\.{WS}+(?={DIGIT})"
-SPACE_PERCENT = rf"{WS}+%"
-SOFT_PUNCTUATION = rf"(?<!{DIGIT}){WS}*[:;]{WS}*(?!{DIGIT})"
-SEMICOLON = rf"{WS}*;{WS}*"
-COLON = rf"{WS}*:{WS}*"
-COLON_IN_NUMBER = rf"(?<={DIGIT}):{WS}+(?={DIGIT})"
-COMMA = rf"(?<!{DIGIT}),{WS}*(?!{DIGIT})"
-SPACE_BEFORE_PUNCTUATION = rf"{WS}+([,.;:%])"
-SPACE_AFTER_OPEN = rf"\({WS}+"
-SPACE_BEFORE_CLOSE = rf"{WS}+\)"
+COMMA_IN_NUMBER = rf"(?<={DIGIT}),\s+(?={DIGIT})"
+POINT_IN_NUMBER = rf"(?<={DIGIT})\.\s+(?={DIGIT})"
+SPACE_PERCENT = r"\s+%"
+SOFT_PUNCTUATION = rf"(?<!{DIGIT})\s*[:;]\s*(?!{DIGIT})"
+SEMICOLON = r"\s*;\s*"
+COLON = r"\s*:\s*"
+COLON_IN_NUMBER = rf"(?<={DIGIT}):\s+(?={DIGIT})"
+COMMA = rf"(?<!{DIGIT}),\s*(?!{DIGIT})"
+SPACE_BEFORE_PUNCTUATION = r"\s+([,.;:%])"
+SPACE_AFTER_OPEN = r"\(\s+"
+SPACE_BEFORE_CLOSE = r"\s+\)"
 # Possessive groups are matched in a loop; a greedy group would recurse once per item.
 DOT_RUN = r"(?:\.\s*+){3,}+"
 
@@ -98,16 +87,16 @@ DOT_RUN = r"(?:\.\s*+){3,}+"
 CELL_EMPHASIS = r"\*\*|__|\*|_|`"
 CELL_ESCAPED_PIPE = r"\\([|])"
 CELL_TO_UPPER_X = "×✓✗✘"
-HTML_ITALIC = rf"(?is)<{WS}*(i|em){WS}*>(.*?)<{WS}*/{WS}*\1{WS}*>"
-HTML_BOLD = rf"(?is)<{WS}*(b|strong){WS}*>(.*?)<{WS}*/{WS}*\1{WS}*>"
-HTML_CODE = rf"(?is)<{WS}*code{WS}*>(.*?)<{WS}*/{WS}*code{WS}*>"
+HTML_ITALIC = r"(?is)<\s*(i|em)\s*>(.*?)<\s*/\s*\1\s*>"
+HTML_BOLD = r"(?is)<\s*(b|strong)\s*>(.*?)<\s*/\s*\1\s*>"
+HTML_CODE = r"(?is)<\s*code\s*>(.*?)<\s*/\s*code\s*>"
 MD_BOLD_UNDERSCORE = r"(?s)__(.*?)__"
 MD_ITALIC_UNDERSCORE = rf"(?s)(?<!{WORD})_(?!_)(.*?)(?<!_)_(?!{WORD})"
-RULE_BETWEEN_PIPES = rf"(?<=\|){WS}*:?-{{3,}}:?{WS}*(?=\|)"
+RULE_BETWEEN_PIPES = r"(?<=\|)\s*:?-{3,}:?\s*(?=\|)"
 MD_IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 
 # --- fixed values: LaTeX and plain-text fallbacks ---------------------------
-LATEX_SIZING = rf"\\(left|right){WS}*"
+LATEX_SIZING = r"\\(left|right)\s*"
 FORMULAS = (
     r"(?s)\$\$(.+?)\$\$",
     r"(?s)(?<!\\)\$(?!\$)(.+?)(?<!\\)\$",
@@ -117,16 +106,16 @@ FORMULAS = (
 PLAIN_IMAGE = r"!\[([^\]]*)\]\([^)]*\)"
 PLAIN_LINK = r"\[([^\]]+)\]\([^)]*\)"
 PLAIN_MARKERS = r"[`*_>#~-]+"
-SENTENCE_GAP = rf"(?<=[.!?。！？]){WS}+"
+SENTENCE_GAP = r"(?<=[.!?。！？])\s+"
 
 # --- fixed values: page content filter ----------------------------------------
 FIGURE = r"(?is)<figure\b[^>]*>.*?</figure>"
 FIGCAPTION = r"(?is)<figcaption\b[^>]*>.*?</figcaption>"
-DIV_IMAGE = rf"(?is)<div\b[^>]*>{WS}*<img\b[^>]*/?{WS}*>{WS}*</div>"
+DIV_IMAGE = r"(?is)<div\b[^>]*>\s*<img\b[^>]*/?\s*>\s*</div>"
 MD_IMAGE_AND_CAPTION = (
     r"!\[[^\]]*\]\([^)]*\)(?:\s*\n[ \t]*\n[^\n<#!*][^\n]*+(?:\n[^\n<#!*][^\n]*+)*+)?"
 )
-FENCED_BLOCK = rf"(?s)```[\p{{L}}\p{{N}}_-]*\n.*?```"
+FENCED_BLOCK = r"(?s)```[\p{L}\p{N}_-]*\n.*?```"
 HTML_TABLE = r"(?is)<table\b[^>]*>.*?</table>"
 PIPE_TABLE = r"(?md)(?:^[ \t]*+\|[^\n]*+\n)++"
 PAGE_FILE = r"^(.+?)_(\d+)\.md$"
@@ -139,7 +128,7 @@ TABLE_OPEN = r"(?i)<table\b"
 IMAGE_DESCRIPTION = (
     r"""(?is)<div\b[^>]*class=["'][^"']*img-(?:description|alt)[^"']*["'][^>]*>.*?</div>"""
 )
-IMAGE_LABEL = rf"\bImage:{WS}+[^\n]+"
+IMAGE_LABEL = r"\bImage:\s+[^\n]+"
 LAZY_MD_IMAGE = r"(?d)!\[.*?\]\([^)]*\)"
 TABLE_WRAPPERS = r"(?i)</?(?:thead|tbody|tfoot)[^>]*>"
 TABLE_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"

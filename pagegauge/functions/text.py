@@ -215,7 +215,7 @@ def normalize_cell_markdown(text: Column) -> Column:
 
 
 def normalize_latex(text: Column) -> Column:
-    return sub(strip(unescape(text)), (P.LATEX_SIZING, ""), (f"{P.WS}+", ""))
+    return sub(strip(unescape(text)), (P.LATEX_SIZING, ""), (r"\s+", ""))
 
 
 def fold_words(text: Column) -> Column:

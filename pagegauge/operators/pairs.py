@@ -23,9 +23,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return _one_per_key(df, keys, order.asc_nulls_last())
 
 
-def pair_docs(gt_docs: DataFrame, pred_docs: DataFrame) -> DataFrame:
-    """Documents present on both sides, one row per model."""
-    return gt_docs.join(pred_docs, DOC)
+#: Pages of a document that meet the document's list of models together.
+SLICE_PAGES = 1000
+
+
+def expected_pages(page_keys: DataFrame, pred_docs: DataFrame) -> DataFrame:
+    """(model, page key) of every page of every document that a model predicted.
+
+    Each document's models become one list, which is handed to slices of its page numbers; pages meet the slice, so a
+    document with most of all pages is spread like any other.
+    """
+    lists = pred_docs.select("model", *DOC).distinct().groupBy(*DOC).agg(F.collect_list("model").alias("_models"))
+    sliced = page_keys.select(*PAGE).withColumn("_slice", F.floor(F.col("page_num") / SLICE_PAGES))
+    handed = sliced.select(*DOC, "_slice").distinct().join(lists, DOC)
+    return sliced.join(handed, [*DOC, "_slice"]).select(F.explode("_models").alias("model"), *PAGE)
 
 
 def pair_pages(
@@ -45,8 +56,7 @@ def pair_pages(
     gt_pages = gt_pages.repartition(*PAGE)
     if pred_docs is None:
         pred_docs = pred_pages.select("model", *DOC).distinct()
-    expected = gt_pages.select(*PAGE).join(pred_docs.select("model", *DOC), DOC)
-    skipped = expected.join(pred_pages.select(*model_page), model_page, "left_anti")
+    skipped = expected_pages(gt_pages, pred_docs).join(pred_pages.select(*model_page), model_page, "left_anti")
     matched = gt_pages.join(pred_pages, PAGE).withColumn("matched", F.lit(True))
     blank = gt_pages.join(skipped, PAGE).withColumn("matched", F.lit(False))
     return matched.unionByName(blank, allowMissingColumns=True)

@@ -1,18 +1,15 @@
-"""Score tables: partitioned Parquet, CSV exports and stored evaluation JSON."""
+"""Score tables: an append-only log, CSV exports and stored evaluation JSON."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegauge.operators.ordering import durable
+from pagegauge.sources import score_log
+from pagegauge.sources.score_log import PARTITIONS
 
-PARTITIONS = ["model", "uc_type", "lang"]
 DOC_KEYS = [*PARTITIONS, "doc_id"]
-# What Spark reports for a missing path and for a folder without files.
-NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 EVAL_LAYOUT = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)_eval\.json$"
 EVAL = (
     "doc_id string, model string, source string, scored_at string, reeval_at string, "
@@ -26,31 +23,18 @@ EVAL = (
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame | None:
-    """Stored scores; None only where nothing has been stored yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in NOTHING_STORED:
-            return None
-        raise
+    """Current scores; None only where nothing has been stored yet."""
+    return score_log.read(spark, path)
 
 
-def save_scores(scores: DataFrame, path: str, keys: list[str] = DOC_KEYS) -> None:
+def save_scores(
+    scores: DataFrame, path: str, keys: list[str] = DOC_KEYS, batch: tuple[str, int] | None = None,
+) -> None:
     """Replace the scores with the same key (document by default); others stay.
 
-    Only the partitions that receive rows are rewritten, and saving the same
-    scores twice changes nothing.
+    Only the given rows are written (``score_log``), and saving the same scores twice changes nothing.
     """
-    old = read_scores(scores.sparkSession, path)
-    merged = scores
-    if old is not None:
-        scores = durable(scores)  # read three times below, computed once
-        touched = scores.select(*PARTITIONS).distinct()
-        kept = old.join(touched, PARTITIONS, "left_semi").join(
-            scores.select(*keys).distinct(), keys, "left_anti")
-        merged = durable(kept.unionByName(scores, allowMissingColumns=True))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *PARTITIONS).parquet(path)
+    score_log.append(scores, path, keys, batch)
 
 
 def read_evaluations(spark: SparkSession, root: str) -> DataFrame:
@@ -119,4 +103,4 @@ def save_raw_pages(pages: DataFrame, path: str) -> None:
 
 def model_registry(spark: SparkSession, path: str) -> DataFrame:
     """Known model names; only partition values are read."""
-    return spark.read.parquet(path).select("model").distinct().orderBy("model")
+    return score_log.partitions(spark, path).select("model").distinct().orderBy("model")

@@ -16,11 +16,12 @@ PAGES = (
 
 
 def score_batch(
-    pages: DataFrame, gt_pages: DataFrame, scores_path: str, version: str, force: bool = False
+    pages: DataFrame, gt_pages: DataFrame, scores_path: str, version: str, force: bool = False,
+    batch: tuple[str, int] | None = None,
 ) -> None:
-    """Score the pages of one micro-batch that have no score of this formula version yet.
+    """Score the pages of one micro-batch that have no score of this formula version yet, and append their scores.
 
-    Only pages that arrive are scored: one that never does is not scored as empty, unlike in the batch job.
+    ``batch`` names the stream and numbers its batch, so that a replayed one changes nothing even if forced.  Only pages that arrive are scored: one that never does is not scored as empty, unlike in the batch job.
     """
     fresh = last_per_key(pages, KEYS, F.col("received_at"))
     # Stored scores and ground truth are read for the partitions of the batch only.
@@ -33,16 +34,16 @@ def score_batch(
     pairs = gt_pages.join(fresh, PAGE).withColumn("matched", F.lit(True))
     scored = scoring.score_pages(pairs).drop("gt_text", "pred_text", "gt_tables", "pred_tables")
     versioned = scored.withColumn("formula_version", F.lit(version))
-    results.save_scores(versioned, scores_path, KEYS)
+    results.save_scores(versioned, scores_path, KEYS, batch)
 
 
 def start_scoring(
     spark: SparkSession, inbox: str, gt_pages: DataFrame, scores_path: str, checkpoint: str,
     version: str = "1", force: bool = False,
 ):
-    """File-source stream over Parquet page drops; a replayed batch rewrites the same rows."""
+    """File-source stream over Parquet page drops; its checkpoint folder is the name of the stream."""
     stream = spark.readStream.schema(PAGES).parquet(inbox)
     return (
         stream.writeStream
-        .foreachBatch(lambda batch, _: score_batch(batch, gt_pages, scores_path, version, force))
+        .foreachBatch(lambda batch, n: score_batch(batch, gt_pages, scores_path, version, force, (checkpoint, n)))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -268,10 +268,10 @@ def test_raw_pages_replace_older_ones(spark, tmp_path):
                                      "model string, uc_type string, lang string, doc_id string, page_num int, raw string")
     results.save_raw_pages(pages("old"), path)
     results.save_raw_pages(pages("new").where("page_num = 1"), path)
-    assert sorted((r.page_num, r.raw) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "same")]
+    assert sorted((r.page_num, r.raw) for r in results.read_scores(spark, path).collect()) == [(1, "new"), (2, "same")]
     assert results.read_scores(spark, str(tmp_path / "none")) is None
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "part-0.parquet").write_text("not parquet")
+    (tmp_path / "broken" / "manifest").mkdir(parents=True)
+    (tmp_path / "broken" / "manifest" / "000000000000.json").write_text("not a manifest")
     with pytest.raises(Exception):
         results.read_scores(spark, str(tmp_path / "broken")).count()
 
@@ -291,3 +291,109 @@ def test_unfiltered_comparison_uses_model_means(spark):
     assert compare_models(docs, ("cer",)).first().avg_cer == pytest.approx(0.7)
     assert compare_models(docs, ("cer",), lang="en").first().avg_cer == pytest.approx(0.5)
     assert compare_models(docs, ("cer",), uc_type="table").first().avg_cer == pytest.approx(0.1)
+
+
+SCORES = "model string, uc_type string, lang string, doc_id string, page_num int, cer double"
+
+
+def scores_of(spark, rows):
+    return spark.createDataFrame([("m", "scan", lang, doc, page, cer) for lang, doc, page, cer in rows], SCORES)
+
+
+def stored(spark, path):
+    return sorted((r.lang, r.doc_id, r.page_num, r.cer) for r in results.read_scores(spark, path).collect())
+
+
+def rows_in(spark, folder):
+    return spark.read.parquet(str(folder)).count()
+
+
+def test_a_save_writes_its_own_rows_only(spark, tmp_path):
+    path, log = str(tmp_path / "scores"), tmp_path / "scores" / "log"
+    keys = [*results.DOC_KEYS, "page_num"]
+    results.save_scores(scores_of(spark, [("en", "d", k, 0.5) for k in range(1000)]), path, keys)
+    results.save_scores(scores_of(spark, [("en", "d", k, 0.1) for k in range(10)]), path, keys, ("stream", 0))
+    written = {f.name: rows_in(spark, f) for f in log.iterdir()}
+    assert sorted(written.values()) == [10, 1000]
+    assert sum(cer == 0.1 for *_, cer in stored(spark, path)) == 10 and len(stored(spark, path)) == 1000
+    # A replayed batch changes nothing, the next one does.
+    results.save_scores(scores_of(spark, [("en", "d", 0, 0.9)]), path, keys, ("stream", 0))
+    assert len(list(log.iterdir())) == 2 and ("en", "d", 0, 0.1) in stored(spark, path)
+    results.save_scores(scores_of(spark, [("en", "d", 0, 0.9)]), path, keys, ("stream", 1))
+    results.save_scores(scores_of(spark, []), path, keys, ("stream", 2))
+    assert ("en", "d", 0, 0.9) in stored(spark, path) and len(stored(spark, path)) == 1000
+
+
+def test_a_key_brings_all_its_rows(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    results.save_scores(scores_of(spark, [("en", "d", 1, 0.1), ("en", "d", 2, 0.2), ("ja", "e", 1, 0.3)]), path)
+    results.save_scores(scores_of(spark, [("en", "d", 1, 0.4)]).withColumn("more", F.lit("x")), path)
+    assert stored(spark, path) == [("en", "d", 1, 0.4), ("ja", "e", 1, 0.3)]
+    assert {r.lang: r.more for r in results.read_scores(spark, path).collect()} == {"en": "x", "ja": None}
+
+
+def test_a_job_that_ends_between_partitions_leaves_the_old_scores(spark, tmp_path, monkeypatch):
+    from pagegauge.sources import score_log
+    path = str(tmp_path / "scores")
+    results.save_scores(scores_of(spark, [("en", "d", 1, 0.1), ("ja", "d", 1, 0.1)]), path)
+    whole = score_log._write
+
+    def broken(scores, *rest):
+        whole(scores.where("lang = 'en'"), *rest)  # one partition is there, the other is not
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(score_log, "_write", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        results.save_scores(scores_of(spark, [("en", "d", 1, 0.7), ("ja", "d", 1, 0.7)]), path)
+    monkeypatch.undo()
+    assert stored(spark, path) == [("en", "d", 1, 0.1), ("ja", "d", 1, 0.1)]
+    results.save_scores(scores_of(spark, [("en", "d", 1, 0.7), ("ja", "d", 1, 0.7)]), path)
+    assert stored(spark, path) == [("en", "d", 1, 0.7), ("ja", "d", 1, 0.7)]
+    assert score_log.remove_unlisted(spark, path) == 0 and score_log.remove_unlisted(spark, path, hours=0) == 1
+    assert stored(spark, path) == [("en", "d", 1, 0.7), ("ja", "d", 1, 0.7)]
+
+
+def test_a_second_writer_goes_on_from_the_first(spark, tmp_path, monkeypatch):
+    from pagegauge.sources import score_log
+    path, other = str(tmp_path / "scores"), scores_of(spark, [("en", "d", 1, 0.2), ("en", "e", 1, 0.2)])
+    plain = score_log._write
+
+    def late(*args):
+        monkeypatch.undo()
+        folders = plain(*args)
+        results.save_scores(other, path)  # takes the number that this writer had in mind
+        return folders
+
+    monkeypatch.setattr(score_log, "_write", late)
+    results.save_scores(scores_of(spark, [("en", "d", 1, 0.1)]), path)
+    assert stored(spark, path) == [("en", "d", 1, 0.1), ("en", "e", 1, 0.2)]
+
+
+def test_crowded_partitions_are_compacted(spark, tmp_path, monkeypatch):
+    from pagegauge.sources import score_log
+    monkeypatch.setattr(score_log, "MOST_COMMITS", 2)
+    path = str(tmp_path / "scores")
+    results.save_scores(scores_of(spark, [("ja", "d", 1, 0.9)]), path)
+    for k in range(4):
+        results.save_scores(scores_of(spark, [("en", "d", 1, k / 10), ("en", f"e{k}", 1, 0.5)]), path)
+    want = [("en", "d", 1, 0.3), *[("en", f"e{k}", 1, 0.5) for k in range(4)], ("ja", "d", 1, 0.9)]
+    assert stored(spark, path) == want
+    manifest = score_log._manifest(score_log._Files(spark, path), path)
+    assert max(score_log._commits(manifest["folders"]).values()) == 2
+    score_log.compact(spark, path)
+    assert stored(spark, path) == want
+    assert "Window" not in results.read_scores(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert [r.lang for r in score_log.partitions(spark, path).orderBy("lang").collect()] == ["en", "ja"]
+
+
+def test_a_large_document_is_spread(spark):
+    from pagegauge.operators.pairs import expected_pages
+    pages = spark.range(5000).selectExpr("'scan' AS uc_type", "'en' AS lang", "'big' AS doc_id", "cast(id + 1 AS int) AS page_num")
+    pages = pages.union(spark.range(3).selectExpr("'scan'", "'en'", "concat('d', id)", "1"))
+    docs = spark.createDataFrame([("a", "scan", "en", "big"), ("a", "scan", "en", "big"), ("b", "scan", "en", "big"),
+                                  ("b", "scan", "en", "d1"), ("b", "scan", "en", "gone")],
+                                 "model string, uc_type string, lang string, doc_id string")
+    got = expected_pages(pages, docs)
+    want = pages.join(docs.distinct(), ["uc_type", "lang", "doc_id"])
+    columns = ["model", "uc_type", "lang", "doc_id", "page_num"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))

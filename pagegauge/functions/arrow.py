@@ -133,35 +133,60 @@ def item_overlap(left: pa.Array, right: pa.Array) -> pa.Array:
     return _spread(rows, found.tolist(), len(left), pa.int64())
 
 
+def _lists(rows: np.ndarray, sizes: list[int], values: pa.Array, length: int) -> pa.Array:
+    """One list per row; rows not given are NULL."""
+    counts = np.zeros(length, np.int64)
+    counts[rows] = sizes
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    absent = np.ones(length, bool)
+    absent[rows] = False
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(absent))
+
+
+def _steps(found: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 3), np.int64), *found])
+
+
+def _kinds(steps: np.ndarray) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(
+        pa.array(steps[:, 0].astype(np.int8)), pa.array(kernels.KINDS)).cast(pa.string())
+
+
 @arrow_udf(CHAR_STEPS)
 def char_alignment(left: pa.Array, right: pa.Array) -> pa.Array:
     """Non-matching steps of the character alignment."""
-    kind = pa.list_(pa.struct(
-        [("kind", pa.string()), ("gt_pos", pa.int32()), ("pred_pos", pa.int32())]))
-    return pa.array(
-        [None if a is None or b is None else
-         [{"kind": k, "gt_pos": i, "pred_pos": j}
-          for k, i, j in kernels.edit_script(a, b) if k != kernels.MATCH]
-         for a, b in zip(left.to_pylist(), right.to_pylist())], type=kind)
+    rows = _present(left, right)
+    found = kernels.edit_scripts(left.take(rows).to_pylist(), right.take(rows).to_pylist(), keep=False)
+    steps = _steps(found)
+    values = pa.StructArray.from_arrays(
+        [_kinds(steps), pa.array(steps[:, 1].astype(np.int32)), pa.array(steps[:, 2].astype(np.int32))],
+        ["kind", "gt_pos", "pred_pos"])
+    return _lists(rows, [len(x) for x in found], values, len(left))
 
 
 @arrow_udf(WORD_STEPS)
 def word_alignment(left: pa.Array, right: pa.Array) -> pa.Array:
     """Every aligned word pair, in order; a missing side is NULL."""
-    kind = pa.list_(pa.struct(
-        [("kind", pa.string()), ("gt", pa.string()), ("pred", pa.string())]))
-    return pa.array(
-        [None if a is None or b is None else
-         [{"kind": k, "gt": a[i] if i >= 0 else None, "pred": b[j] if j >= 0 else None}
-          for k, i, j in kernels.edit_script(a, b)]
-         for a, b in zip(left.to_pylist(), right.to_pylist())], type=kind)
+    rows = _present(left, right)
+    sides = left.take(rows), right.take(rows)
+    found = kernels.edit_scripts(*_as_symbols(*sides))
+    steps, sizes = _steps(found), [len(x) for x in found]
+
+    def taken(side: pa.ListArray, place: np.ndarray) -> pa.Array:
+        before = np.cumsum([0, *pc.list_value_length(side).to_pylist()])[:-1]
+        at = place + np.repeat(before, sizes)
+        return side.flatten().take(pa.array(at, pa.int64(), mask=place < 0))
+
+    values = pa.StructArray.from_arrays(
+        [_kinds(steps), taken(sides[0], steps[:, 1]), taken(sides[1], steps[:, 2])], ["kind", "gt", "pred"])
+    return _lists(rows, sizes, values, len(left))
 
 
 @arrow_udf(INT)
 def lcs_length(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if a is None or b is None else kernels.lcs_length(a, b)
-         for a, b in zip(left.to_pylist(), right.to_pylist())], type=pa.int32())
+    rows = _present(left, right)
+    found = kernels.lcs_lengths(*_as_symbols(left.take(rows), right.take(rows)))
+    return _spread(rows, found.tolist(), len(left), pa.int32())
 
 
 @arrow_udf(CHUNKS)

@@ -49,18 +49,20 @@ def positions(seq) -> dict:
     return masks
 
 
-def _columns(a, b):
-    """Yield (vertical +1, vertical -1, horizontal +1, horizontal -1) bit rows per symbol of b."""
-    masks, full = positions(a), (1 << len(a)) - 1
-    vp, vn = full, 0
-    for symbol in b:
+def _advance(masks: dict, symbols, vp: int, vn: int, full: int, zero: list | None = None, vertical: list | None = None):
+    """The state (vertical +1, vertical -1) after some symbols; what a trace back needs goes to the lists.
+
+    Complements are taken with ``full``: Python's are negative, which costs several passes over a long integer.
+    """
+    for symbol in symbols:
         eq = masks.get(symbol, 0)
-        diag = (((eq & vp) + vp) ^ vp) | eq | vn
-        hp = vn | (full & ~(diag | vp))
-        hn = vp & diag
-        up, down = ((hp << 1) | 1) & full, (hn << 1) & full
-        vp, vn = down | (full & ~(diag | up)), up & diag
-        yield vp, vn, hp, hn
+        diag = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
+        up = (((vn | ((diag | vp) ^ full)) << 1) | 1) & full
+        vp, vn = (((vp & diag) << 1) & full) | ((diag | up) ^ full), up & diag
+        if zero is not None:
+            zero.append(diag)
+            vertical.append(vp)
+    return vp, vn
 
 
 def distance(a, b) -> int:
@@ -70,13 +72,15 @@ def distance(a, b) -> int:
         return len(a) + len(b)
     if len(a) < len(b):
         a, b = b, a
-    last, score = 1 << (len(a) - 1), len(a)
-    for _, _, hp, hn in _columns(a, b):
-        if hp & last:
-            score += 1
-        elif hn & last:
-            score -= 1
-    return score
+    full = (1 << len(a)) - 1
+    vp, vn = _advance(positions(a), b, full, 0, full)
+    # The last column starts at the length of b and changes by one bit of either kind per row.
+    return len(b) + vp.bit_count() - vn.bit_count()
+
+
+#: From so many pairs on, a step of array operations takes less time than one long-integer step for each (measured);
+#: with trace backs, only for texts of up to so many words.
+GROUP_ROWS, SCRIPT_WORDS = 64, 12
 
 
 def _codes(text: str) -> np.ndarray:
@@ -103,7 +107,7 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
         size = max(1, MAX_CELLS // (n_words * symbols))
         for start in range(0, len(members), size):
             chunk = members[start:start + size]
-            if len(chunk) * n_words < 24:
+            if len(chunk) < GROUP_ROWS:
                 for _, k, a, b in chunk:
                     out[k] = distance(a, b)
             else:
@@ -111,7 +115,11 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def _group_distances(chunk: list, n_words: int) -> np.ndarray:
+def _coded(chunk: list, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(masks of the symbols of every left side, symbols of every right side, both lengths) of a group.
+
+    Members are (right length, number, left, right), longest right side first.
+    """
     rows = len(chunk)
     lengths = np.array([len(m[2]) for m in chunk])
     widths = np.array([m[0] for m in chunk])
@@ -135,7 +143,17 @@ def _group_distances(chunk: list, n_words: int) -> np.ndarray:
     steps = int(widths[0])
     columns = np.full((rows, steps), other, dtype=np.int64)
     columns[np.arange(steps)[None, :] < widths[:, None]] = text
+    return masks, columns, lengths, widths
+
 
+def _group_distances(chunk: list, n_words: int, history: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Distances of a group; ``history`` receives the bits that a trace back needs.
+
+    What it holds of word w after column c is at (c + w, row, w).  With a history, left sides may be shorter than the
+    group's words, and the distances mean nothing.
+    """
+    masks, columns, lengths, widths = _coded(chunk, n_words)
+    rows, steps = columns.shape
     one = np.uint64(1)
     vp = np.full((rows, n_words), ~np.uint64(0))
     vn = np.zeros((rows, n_words), dtype=np.uint64)
@@ -157,7 +175,11 @@ def _group_distances(chunk: list, n_words: int) -> np.ndarray:
         hp, hn = n | ~(diag | p), p & diag
         out_p, out_n = (hp >> shift[:, lo:hi]) & one, (hn >> shift[:, lo:hi]) & one
         up, down = (hp << one) | in_p, (hn << one) | in_n
+        if history is not None:
+            history[0][t, :, lo:hi] = diag | n
         vp[:, lo:hi], vn[:, lo:hi] = down | ~(across | up), up & across
+        if history is not None:
+            history[1][t, :, lo:hi] = vp[:, lo:hi]
         carry_p[:, lo + 1:hi + 1], carry_n[:, lo + 1:hi + 1] = out_p, out_n
         if hi == n_words:
             live = int(np.searchsorted(-widths, -(t - n_words + 1), side="left"))
@@ -168,35 +190,111 @@ def _group_distances(chunk: list, n_words: int) -> np.ndarray:
 MATCH, SUBSTITUTE, DELETE, INSERT = "match", "substitution", "deletion", "insertion"
 
 
-def edit_script(a, b) -> list[tuple[str, int, int]]:
-    """Optimal alignment as (kind, place in a, place in b); -1 where a side is absent.
+#: Kinds of a step by its number.
+KINDS = (MATCH, SUBSTITUTE, DELETE, INSERT)
+#: 64-bit words of alignment history held at a time.
+HISTORY = 1 << 22
+
 
-    Read from the end, preferring match, then substitution, deletion, insertion.
+def _trace(a: str, b: str, i: int, j: int, stop: int, zero, vertical, offset: int, keep: bool, out: list) -> tuple[int, int]:
+    """Walk back from (i, j) to column ``stop``: match, then substitution, deletion, insertion.
+
+    ``zero(j, i)``: the cost did not rise along the diagonal; ``vertical(j, i)``: it rose down the column.
     """
-    tail = common_suffix(a, b)
-    i, j = len(a) - tail, len(b) - tail
-    script = [(MATCH, len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)]
-    history = list(_columns(a[:i], b[:j])) if i and j else []
-    while i and j:
+    while i and j > stop:
         if a[i - 1] == b[j - 1]:
-            kind = MATCH
+            kind = 0
+        elif not zero(j - 1 - offset, i - 1):
+            kind = 1
         else:
-            vp, vn, hp, hn = history[j - 1]
-            vertical = ((vp >> (i - 1)) & 1) - ((vn >> (i - 1)) & 1)
-            above = 1 if i == 1 else ((hp >> (i - 2)) & 1) - ((hn >> (i - 2)) & 1)
-            if vertical + above == 1:
-                kind = SUBSTITUTE
-            else:
-                kind = DELETE if vertical == 1 else INSERT
-        script.append((kind, -1 if kind == INSERT else i - 1, -1 if kind == DELETE else j - 1))
-        i -= kind != INSERT
-        j -= kind != DELETE
-    script.extend((DELETE, k, -1) for k in range(i - 1, -1, -1))
-    script.extend((INSERT, -1, k) for k in range(j - 1, -1, -1))
-    return script[::-1]
+            kind = 2 if vertical(j - 1 - offset, i - 1) else 3
+        if kind or keep:
+            out.append((kind, -1 if kind == 3 else i - 1, -1 if kind == 2 else j - 1))
+        i -= kind != 3
+        j -= kind != 2
+    return i, j
+
+
+def _finish(a: str, b: str, i: int, j: int, keep: bool, out: list) -> np.ndarray:
+    """Steps in reading order, with what is left at the front and the matches at the end."""
+    out.extend((2, k, -1) for k in range(i - 1, -1, -1))
+    out.extend((3, -1, k) for k in range(j - 1, -1, -1))
+    return np.array(out[::-1], np.int64).reshape(-1, 3)
+
 
+def _tail(a: str, b: str, keep: bool) -> tuple[int, int, list]:
+    tail = common_suffix(a, b)
+    matches = [(0, len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)] if keep else []
+    return len(a) - tail, len(b) - tail, matches
+
+
+def edit_script(a: str, b: str, keep: bool = True) -> np.ndarray:
+    """Optimal alignment as rows (number of the kind, place in a, place in b); -1 where a side is absent.
 
-def lcs_length(a, b) -> int:
+    Matches are left out unless ``keep``.  States are kept for every so many columns only and the columns between are
+    computed again on the way back, so memory grows with the square root of the second text.
+    """
+    i, j, out = _tail(a, b, keep)
+    if i and j:
+        masks, full = positions(a[:i]), (1 << i) - 1
+        stride = j if i * j <= 64 * HISTORY else max(16, int(j ** 0.5))
+        kept, state = [], (full, 0)
+        for start in range(0, j, stride):
+            kept.append(state)
+            if start + stride < j:
+                state = _advance(masks, b[start:start + stride], *state, full)
+        while i and j:
+            start = (j - 1) // stride * stride
+            zero, vertical = [], []
+            _advance(masks, b[start:j], *kept[start // stride], full, zero, vertical)
+            i, j = _trace(a, b, i, j, start, lambda c, r, z=zero: (z[c] >> r) & 1,
+                          lambda c, r, v=vertical: (v[c] >> r) & 1, start, keep, out)
+    return _finish(a, b, i, j, keep, out)
+
+
+def _rounded(n_words: int) -> int:
+    """A number of words with few significant bits, so that lengths that differ a little share a group."""
+    step = 1 << max(0, n_words.bit_length() - 3)
+    return -(-n_words // step) * step
+
+
+def edit_scripts(left: list[str], right: list[str], keep: bool = True) -> list[np.ndarray]:
+    """``edit_script`` of many pairs: whole groups advance column by column into bit matrices, then are walked back."""
+    found: list = [None] * len(left)
+    groups: dict[int, list] = {}
+    for k, (a, b) in enumerate(zip(left, right)):
+        i, j, out = _tail(a, b, keep)
+        if i and j:
+            groups.setdefault(_rounded((i + 63) // 64), []).append((j, k, a[:i], b[:j], out))
+        else:
+            found[k] = _finish(a, b, i, j, keep, out)
+    for n_words, members in groups.items():
+        members.sort(key=lambda m: -m[0])
+        symbols = max(len(set(m[2])) for m in members) + 1
+        start = 0
+        while start < len(members):
+            steps = members[start][0]
+            size = min(MAX_CELLS // (n_words * symbols), HISTORY // (n_words * (steps + n_words)))
+            chunk = members[start:start + max(1, size)]
+            start += len(chunk)
+            if size < 1 or n_words > SCRIPT_WORDS or len(chunk) < GROUP_ROWS:
+                for _, k, _, _, _ in chunk:
+                    found[k] = edit_script(left[k], right[k], keep)
+                continue
+            history = tuple(np.zeros((steps + n_words - 1, len(chunk), n_words), np.uint64) for _ in range(2))
+            _group_distances(chunk, n_words, history)
+            for row, (j, k, a, b, out) in enumerate(chunk):
+                # Word w of column c of a row, as one sequence of integers.
+                zero, vertical = (memoryview(h[:j + n_words - 1, row].tobytes()).cast("Q") for h in history)
+                i, j = _trace(
+                    a, b, len(a), j, 0,
+                    lambda c, r, z=zero: (z[(c + (r >> 6)) * n_words + (r >> 6)] >> (r & 63)) & 1,
+                    lambda c, r, v=vertical: (v[(c + (r >> 6)) * n_words + (r >> 6)] >> (r & 63)) & 1, 0, keep, out)
+                found[k] = _finish(a, b, i, j, keep, out)
+    return found
+
+
+def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     masks, full = positions(a), (1 << len(a)) - 1
     state = full
@@ -206,6 +304,49 @@ def lcs_length(a, b) -> int:
     return len(a) - state.bit_count()
 
 
+def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """``lcs_length`` of many pairs, advancing whole groups column by column."""
+    out = np.zeros(len(left), dtype=np.int64)
+    groups: dict[int, list] = {}
+    for k, (a, b) in enumerate(zip(left, right)):
+        if a and b:
+            groups.setdefault(_rounded((len(a) + 63) // 64), []).append((len(b), k, a, b))
+    for n_words, members in groups.items():
+        members.sort(key=lambda m: -m[0])
+        symbols = max(len(set(m[2])) for m in members) + 1
+        size = max(1, MAX_CELLS // (n_words * symbols))
+        for start in range(0, len(members), size):
+            chunk = members[start:start + size]
+            if len(chunk) < GROUP_ROWS:
+                for _, k, a, b in chunk:
+                    out[k] = lcs_length(a, b)
+            else:
+                out[[m[1] for m in chunk]] = _group_lcs(chunk, n_words)
+    return out
+
+
+def _group_lcs(chunk: list, n_words: int) -> np.ndarray:
+    masks, columns, _, _ = _coded(chunk, n_words)
+    rows, steps = columns.shape
+    # Places beyond a row's own length hold no symbol and stay set; they count for nothing.
+    state = np.full((rows, n_words), ~np.uint64(0))
+    carry = np.zeros((rows, n_words + 1), dtype=np.uint64)
+    index, word = np.arange(rows)[:, None], np.arange(n_words)
+    # Word w reads column t - w at step t, so its carry from word w - 1 is ready.
+    for t in range(steps + n_words - 1):
+        lo, hi = max(0, t - steps + 1), min(n_words, t + 1)
+        w = word[lo:hi]
+        own = state[:, lo:hi]
+        hit = own & masks[index, columns[:, t - w], w[None, :]]
+        total = own + hit
+        over = total < own
+        total = total + carry[:, lo:hi]
+        over |= total < carry[:, lo:hi]
+        state[:, lo:hi] = total | (own & ~hit)
+        carry[:, lo + 1:hi + 1] = over
+    return n_words * 64 - np.bitwise_count(state).sum(axis=1).astype(np.int64)
+
+
 # --- multiset overlap -----------------------------------------------------------
 
 def overlap(codes_l, rows_l, codes_r, rows_r, n_rows: int, n_codes: int) -> np.ndarray:

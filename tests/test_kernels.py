@@ -36,22 +36,49 @@ def test_distances_match_dynamic_programming():
         assert got == table_distance(a, b)[-1][-1] == K.distance(a, b)
 
 
-def test_edit_script_follows_the_preference_order():
-    for a, b in noisy_pairs(150, (0, 1, 5, 30)):
-        d, i, j = table_distance(a, b), len(a), len(b)
-        for kind, p, q in reversed(K.edit_script(a, b)):
-            if i and j and a[i - 1] == b[j - 1]:
-                want = K.MATCH
-            elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
-                want = K.SUBSTITUTE
-            elif i and d[i][j] == d[i - 1][j] + 1:
-                want = K.DELETE
-            else:
-                want = K.INSERT
-            assert kind == want and p == (-1 if want == K.INSERT else i - 1)
-            i -= want != K.INSERT
-            j -= want != K.DELETE
-        assert i == j == 0
+def scripted(a, b):
+    """Steps read from the full table, last one first."""
+    d, i, j = table_distance(a, b), len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            kind = K.MATCH
+        elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
+            kind = K.SUBSTITUTE
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            kind = K.DELETE
+        else:
+            kind = K.INSERT
+        yield kind, -1 if kind == K.INSERT else i - 1, -1 if kind == K.DELETE else j - 1
+        i -= kind != K.INSERT
+        j -= kind != K.DELETE
+
+
+def named(script):
+    return [(K.KINDS[k], i, j) for k, i, j in script.tolist()]
+
+
+@pytest.mark.parametrize(("history", "grouped"), [(1 << 22, True), (1 << 22, False), (2000, True), (1, True)])
+def test_edit_scripts_follow_the_preference_order(monkeypatch, history, grouped):
+    monkeypatch.setattr(K, "HISTORY", history)
+    monkeypatch.setattr(K, "GROUP_ROWS", 1 if grouped else 1000)
+    pairs = [*noisy_pairs(150), ("", ""), ("", "ab"), ("ab", ""), ("aab", "ab"), ("x" * 70, "y" * 3), ("\U0001f600a", "a")]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    want = [list(scripted(a, b))[::-1] for a, b in pairs]
+    assert [named(x) for x in K.edit_scripts(left, right)] == want
+    assert [named(K.edit_script(a, b)) for a, b in pairs] == want
+    errors = [[s for s in x if s[0] != K.MATCH] for x in want]
+    assert [named(x) for x in K.edit_scripts(left, right, keep=False)] == errors
+    assert K.edit_scripts([], []) == []
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_lcs_and_distances_of_a_batch(monkeypatch, grouped):
+    monkeypatch.setattr(K, "GROUP_ROWS", 1 if grouped else 1000)
+    pairs = [*noisy_pairs(300), ("", "a"), ("a", "")]
+    found = K.lcs_lengths([a for a, _ in pairs], [b for _, b in pairs])
+    assert found.tolist() == [K.lcs_length(a, b) for a, b in pairs]
+    found = K.distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert found.tolist() == [table_distance(a, b)[-1][-1] for a, b in pairs]
 
 
 def test_overlap_is_the_multiset_intersection():

@@ -9,8 +9,10 @@ hits, joined along diagonals, give windows, and the distance of the item to
 the best substring of each window is computed with Myers' method on integers
 of as many bits as the item has bytes.
 
-Items shorter than ``min_bytes`` occur by chance; they match only a document
-that consists of nothing else.  The items are read in blocks of bounded size:
+Items shorter than ``min_bytes`` would also occur inside other words; they are
+searched with a blank at either end, which stands for the end of a word (or of
+the document) and counts in the distance.  Their budget is that of the item
+alone, so below ``1 / error_rate`` bytes only unchanged ones match.  The items are read in blocks of bounded size:
 each block is one pass over the documents, and only a block is broadcast.
 
 Defined results: one row per document and item with the smallest distance; a
@@ -94,20 +96,17 @@ class Finder:
 
     def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_bytes: int):
         self.items = []
-        self.whole: dict[bytes, list[int]] = defaultdict(list)
         places: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             item = folded(text)
             if not item:
                 continue
-            budget = int(len(item) * error_rate)
+            budget, short = int(len(item) * error_rate), len(item) < min_bytes
+            own = b" " + item + b" " if short else item
             k = len(self.items)
-            self.items.append((item_id, item, budget, Pattern(item), np.bincount(
-                np.frombuffer(item, np.uint8), minlength=256)))
-            if len(item) < min_bytes:
-                self.whole[item].append(k)
-                continue
-            for at, piece in pieces_of(item, budget):
+            self.items.append((item_id, len(item), own, short, budget, Pattern(own), np.bincount(
+                np.frombuffer(own, np.uint8), minlength=256)))
+            for at, piece in pieces_of(own, budget):
                 places[piece].append((k, at))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in places.items():
@@ -119,26 +118,27 @@ class Finder:
     def matches(self, text: str) -> Iterator[tuple[int | None, int, int]]:
         """(item id, distance, end in the folded text) for each item found."""
         data = folded(text)
-        for k in self.whole.get(data, ()):
-            yield self.items[k][0], 0, len(data)
         if self.empty or not data:
             return
+        padded = b" " + data + b" "
         hits: dict[int, list[int]] = {}
-        for end, (size, owners) in self.automaton.iter(data.decode("latin-1")):
+        for end, (size, owners) in self.automaton.iter(padded.decode("latin-1")):
             for k, at in owners:
                 hits.setdefault(k, []).append(end + 1 - size - at)
         for k, starts in hits.items():
-            item_id, item, budget, pattern, histogram = self.items[k]
+            item_id, _, item, short, budget, pattern, histogram = self.items[k]
+            # Only short items see the blanks around the document; places count from its first byte.
+            whole, shift = (padded, 1) if short else (data, 0)
             best = None
-            for a, b in _windows(starts, len(item), budget, len(data)):
-                window = data[a:b]
+            for a, b in _windows([s + shift - 1 for s in starts], len(item), budget, len(whole)):
+                window = whole[a:b]
                 # Bytes of the item that the window lacks cost an edit each.
                 missing = histogram - np.bincount(np.frombuffer(window, np.uint8), minlength=256)
                 if missing[missing > 0].sum() > budget:
                     continue
                 found = pattern.best(window, budget if best is None else best[0] - 1)
                 if found:
-                    best = (found[0], a + found[1])
+                    best = (found[0], min(len(data), a + found[1] - shift))
                     if not best[0]:
                         break
             if best:
@@ -180,7 +180,7 @@ def leaks(
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, error_rate, min_bytes)
-            sizes = {item_id: len(item) for item_id, item, *_ in finder.items}
+            sizes = {item_id: size for item_id, size, *_ in finder.items}
             for batch in batches:
                 rows = []
                 for part in slices(batch, "text"):

@@ -88,7 +88,7 @@ def visited(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: in
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).where(
-        "vec_id is not null and embedding is not null and size(embedding) > 1")
+        "vec_id is not null and embedding is not null and size(embedding) > 0")
 
     def bad(x: Column) -> Column:
         return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -99,14 +99,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (lengths[0]["n"] if lengths else -1))
 
 
-def codebooks(rows: DataFrame, centroids: int) -> tuple[np.ndarray, np.ndarray] | None:
+def codebooks(rows: DataFrame, centroids: int) -> tuple | None:
+    """(mean, scale, codebook of the first half, of the second) of the sample, both in the shifted and scaled space."""
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [matrix(b.column("embedding")) for b in batches if b.num_rows]
         book = None
         if parts:
             data = np.concatenate(parts)
-            half = data.shape[1] // 2
-            book = pickle.dumps((kmeans(data[:, :half], centroids), kmeans(data[:, half:], centroids)))
+            # Distances of vectors far from the origin would cancel, and those of huge ones overflow.
+            scale = 2.0 ** int(np.frexp(np.abs(data).max())[1])
+            mean = (data / scale).mean(0)
+            data, half = data / scale - mean, data.shape[1] // 2
+            book = pickle.dumps((mean, scale, kmeans(data[:, :half], centroids), kmeans(data[:, half:], centroids)))
         yield pa.RecordBatch.from_arrays([pa.array([book], pa.binary())], ["book"])
 
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
@@ -123,13 +127,14 @@ def nearest(
     books = codebooks(rows, centroids)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    mean, scale, *books = books
     half = books[0].shape[1]
     n_second = len(books[1])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                data = matrix(batch.column("embedding"))
+                data = matrix(batch.column("embedding")) / scale - mean
                 yield pa.RecordBatch.from_arrays([
                     *batch.columns, pa.array(distances(data[:, :half], books[0]).argmin(1).astype(np.int32)),
                     pa.array(distances(data[:, half:], books[1]).argmin(1).astype(np.int32))],
@@ -151,7 +156,7 @@ def nearest(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = matrix(batch.column("embedding"))
+            data = matrix(batch.column("embedding")) / scale - mean
             d_first, d_second = distances(data[:, :half], books[0]), distances(data[:, half:], books[1])
             rows_, first_, part_, masks = [], [], [], []
             for q in range(len(data)):
@@ -200,17 +205,29 @@ def _rerank(held: pa.Table, asking: pa.Table, k: int, n_second: int) -> pa.Table
         query_ids = asking.column("query_id").to_numpy()
         looks = np.stack([np.unpackbits(np.frombuffer(m, np.uint8), count=n_second).astype(bool)
                           for m in asking.column("looks").to_pylist()])
+        # Huge components would overflow when squared; a power of two scales without rounding.
+        scale = 2.0 ** max(0, int(np.frexp(max(np.abs(data).max(), np.abs(own).max()))[1]) - 400)
+        if scale > 1:
+            data, own = data / scale, own / scale
+        middle = data.mean(0)
+        near_data, near_own = data - middle, own - middle
+        norms = (near_data ** 2).sum(1)
         for a in range(0, len(own), 64):
-            near = distances(own[a:a + 64], data)
+            near = distances(near_own[a:a + 64], near_data)
+            # Products round differently from differences: how far, at most, grows with the norms.
+            slack = 8 * np.finfo(float).eps * (data.shape[1] + 4) * (norms + (near_own[a:a + 64] ** 2).sum(1)[:, None])
+            slack += 8 * np.finfo(float).eps * np.abs(middle).max() * np.sqrt(
+                data.shape[1] * (np.maximum(near, 0) + slack))
             near[~looks[a:a + 64][:, second]] = np.inf
             near[query_ids[a:a + 64, None] == ids] = np.inf
             for q in range(len(near)):
                 row = near[q]
                 if len(row) > k:
-                    # Products round differently from differences: keep a margin, then measure exactly.
-                    row = np.where(row <= np.partition(row, k - 1)[k - 1] * (1 + 1e-9) + 1e-9, row, np.inf)
+                    # Keep whatever may be among the nearest, then measure exactly.
+                    at_most = row + slack[q]
+                    row = np.where(row - slack[q] <= np.partition(at_most, k - 1)[k - 1], row, np.inf)
                 at = np.flatnonzero(np.isfinite(row))
-                exact = np.sqrt(((data[at] - own[a + q]) ** 2).sum(1))
+                exact = scale * np.sqrt(((data[at] - own[a + q]) ** 2).sum(1))
                 best = np.lexsort((ids[at], exact))[:k]
                 out_q += [query_ids[a + q]] * len(best)
                 out_v += ids[at][best].tolist()

@@ -4,32 +4,25 @@ Words are runs of bytes other than blank, tab, line feed, vertical tab, form
 feed and carriage return; A-Z count as a-z.  A text with at least ``size``
 words has its distinct shingles of ``size`` words; one with fewer, its whole
 sequence of words; one without words, none.
+
+Every word is hashed on its own under a key (xxHash, 64 bits), and the hashes
+of a shingle are chained in order through a mixing function, together with
+their number.  Neither step is linear, so different shingles share a hash only
+by chance, about once in 2**64 pairs, whatever the words are and however long.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import partial
 
 import numpy as np
+import xxhash
 
-#: Bytes hashed at a time; a longer text is hashed in overlapping runs of words.
-BLOCK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
-_WORD = 1 << 64
-
-
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = 2 * BLOCK
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, _WORD), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@cache
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, _WORD - 1, 256, np.uint64)
+#: Words whose shingles are made at a time.
+BLOCK = 1 << 18
+_KEY = 0x2545F4914F6CDD1D
+_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,83 +43,24 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
 
 
-def _hashed(groups: list[list[bytes]], size: int) -> list[np.ndarray]:
-    """Shingle hashes of some word lists in one pass; together they fit the tables of powers."""
-    text = np.frombuffer(b" ".join(b" ".join(g) for g in groups) + b" ", np.uint8)
-    up, down = _powers()
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_byte_values()[text] * up[:len(text)], out=total[1:])
-    ends = np.flatnonzero(text == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    counts = np.array([len(g) for g in groups], np.int64)
-    shingles = np.maximum(1, counts - size + 1)
-    first = np.repeat(np.cumsum(counts) - counts, shingles)
-    first += np.arange(len(first)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    last = first + np.repeat(np.minimum(size, counts), shingles) - 1
-    a, b = starts[first], ends[last]
-    value = mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-    return np.split(value, np.cumsum(shingles)[:-1])
+def _chained(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin at ``first``."""
+    value = np.full(len(first), size, np.uint64)
+    for k in range(size):
+        value = mixed(value * _CHAIN + hashes[first + k])
+    return value
 
 
 def shingle_sets(texts: list[list[bytes]], size: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each word list."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-    groups: list[list[bytes]] = []
-    owners: list[int] = []
-    length = 0
-    parts: dict[int, list[np.ndarray]] = {}
-
-    def flush():
-        nonlocal groups, owners, length
-        if groups:
-            for k, values in zip(owners, _hashed(groups, size), strict=True):
-                parts.setdefault(k, []).append(values)
-        groups, owners, length = [], [], 0
-
-    for k, words in enumerate(texts):
-        for run in _runs(words, size):
-            n = sum(map(len, run)) + len(run)
-            if n > 2 * BLOCK - 2:
-                # Words of megabytes: only the last shingle of the run is too long for the tables.
-                parts.setdefault(k, []).append(_long(run[-size:]))
-                run = run[:-1]
-                if len(run) < size:
-                    continue
-                n = sum(map(len, run)) + len(run)
-            if length and length + n > 2 * BLOCK - 2:
-                flush()
-            groups.append(run)
-            owners.append(k)
-            length += n
-    flush()
-    for k, values in parts.items():
-        out[k] = np.unique(np.concatenate(values))
+    out: list[np.ndarray] = []
+    hashed = partial(xxhash.xxh3_64_intdigest, seed=_KEY)
+    for words in texts:
+        hashes = np.fromiter(map(hashed, words), np.uint64, len(words))
+        if len(words) <= size:
+            out.append(_chained(hashes, np.zeros(min(1, len(words)), np.int64), len(words)))
+            continue
+        starts = np.arange(len(words) - size + 1)
+        parts = [np.unique(_chained(hashes, starts[k:k + BLOCK], size)) for k in range(0, len(starts), BLOCK)]
+        out.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
     return out
-
-
-def _runs(words: list[bytes], size: int):
-    """The words in runs of at most BLOCK bytes (or ``size`` words) that share ``size - 1`` words."""
-    if not words:
-        return
-    if sum(map(len, words)) + len(words) <= BLOCK:
-        yield words
-        return
-    first, length = 0, 0
-    for k, word in enumerate(words):
-        length += len(word) + 1
-        if length > BLOCK and k + 1 - first >= size:
-            yield words[first:k + 1]
-            first = k + 2 - size
-            length = sum(len(w) + 1 for w in words[first:k + 1])
-    if len(words) - first >= size or first == 0:
-        yield words[first:]
-
-
-def _long(shingle: list[bytes]) -> np.ndarray:
-    """The hash that ``_hashed`` gives, of one shingle of any length."""
-    text, powers = b" ".join(shingle), _powers()[0]
-    total = len(text)
-    for k in range(0, len(text), BLOCK):
-        part = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - k), k)
-        total += int((_byte_values()[part] * powers[:len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k, _WORD)
-    return mixed(np.array([total % _WORD], np.uint64))

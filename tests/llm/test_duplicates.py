@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from pagegauge.llm import decontaminate, minhash, words
-from tests.llm.test_texts import brute_shingles, docs_of
+from tests.llm.test_texts import brute_shingles, docs_of, thue_morse
 
 
 def brute_components(texts):
@@ -70,6 +70,13 @@ def test_rows_that_share_an_id_or_have_none_go_by_their_own_text(spark):
         (1, 1, True), (3, 1, False), (3, 3, True), (3, 3, True), (4, 3, False)]
 
 
+def test_different_texts_with_like_letters_are_not_linked(spark):
+    rows = [(k + 1, thue_morse(n, letters)) for k, (n, letters) in enumerate(
+        (n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba"))]
+    found = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id and r.kept and r.n_shingles == 1 for r in found) and len(found) == 6
+
+
 def test_components_equal_a_plain_search(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(1000, 1040)] + [(500, k) for k in range(501, 530)] + [(k, 999) for k in range(900, 930)]
@@ -125,14 +132,17 @@ def test_leaks_equal_brute_force(spark):
     rng = random.Random(7)
     def prose(n):
         return " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    items = [(k, prose(20)) for k in range(6)] + [(6, "short one"), (7, None), (8, "")]
+    items = [(k, prose(20)) for k in range(6)] + [(6, "short one"), (7, None), (8, ""), (9, "What colour has ink?"),
+                                                 (10, "The answers are four and five."), (11, "ox")]
     def spoil(text, edits):
         out = list(text)
         for _ in range(edits):
             out[rng.randrange(len(out))] = rng.choice(["z", "", "zz"])
         return "".join(out)
     docs = [(k, f"{prose(40)} {spoil(items[k % 6][1], k)} {prose(30)}") for k in range(30)]
-    docs += [(40, items[1][1].upper().replace(" ", ",\n")), (41, None), (42, ""), (43, "Short  one!"), (44, "a short one b"), (None, items[0][1])]
+    docs += [(40, items[1][1].upper().replace(" ", ",\n")), (41, None), (42, ""), (43, "Short  one!"), (44, "a short one b"), (45, "a shorty one b"),
+             (46, "ashort one"), (47, "so what color has ink is it"), (48, "Whatcolour has ink"), (49, "the answer are fur and five"),
+             (50, "the ox"), (51, "an oxen"), (52, "ox"), (53, "answers: the answers are four, and five; ox!"), (None, items[0][1])]
     found = decontaminate.leaks(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id): r.distance for r in found.collect()}
     want = {}
@@ -142,17 +152,16 @@ def test_leaks_equal_brute_force(spark):
             item = decontaminate.folded(item)
             if not item:
                 continue
-            if len(item) < decontaminate.MIN_BYTES:
-                if data == item:
-                    want[d, i] = 0
-                continue
-            row = [0] * (len(data) + 1)
+            budget, own = int(len(item) * decontaminate.ERROR_RATE), data
+            if len(item) < decontaminate.MIN_BYTES:  # blanks stand for the ends of words
+                item, own = b" " + item + b" ", b" " + data + b" "
+            row = [0] * (len(own) + 1)
             for a, x in enumerate(item, 1):
                 new = [a]
-                for b, y in enumerate(data, 1):
+                for b, y in enumerate(own, 1):
                     new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (x != y)))
                 row = new
-            if min(row) <= int(len(item) * decontaminate.ERROR_RATE):
+            if data and min(row) <= budget:
                 want[d, i] = min(row)
     assert got == want and len(want) > 8
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -184,7 +185,7 @@ def test_neighbours(spark):
     for q, found in got.items():
         exact = np.sqrt(((wide - wide[q]) ** 2).sum(1))
         want = [k for k in np.lexsort((np.arange(900), exact)) if k != q][:10]
-        assert sorted(found) == list(range(1, 11))
+        assert sorted(found) == list(range(1, 14))
         assert [found[k] for k in range(1, 11)] == sorted(found.values(), key=lambda x: (x[1], x[0]))
         assert all(abs(s - exact[v]) < 1e-12 and v != q for v, s in found.values())
         hits += len(set(want) & {v for v, _ in found.values()})
@@ -196,6 +197,40 @@ def test_neighbours(spark):
     assert multiindex.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("base", "spread"), [(1e6, 1e-3), (1e160, 1e158), (0.0, 1.0), (3e5, 1.0)])
+def test_neighbours_far_from_the_origin(spark, base, spread):
+    rng = np.random.default_rng(12)
+    data = base * rng.choice([-1.0, 1.0], 8) + spread * rng.normal(0, 1, (600, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = multiindex.nearest(table, F.col("vec_id") % 60 == 0, fraction=1.0, centroids=4).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    for q in range(0, 600, 60):
+        exact = spread * np.sqrt((((data - data[q]) / spread) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(600), exact)) if k != q][:10]
+        assert [got[q, k + 1][0] for k in range(10)] == want
+        assert np.allclose([got[q, k + 1][1] for k in range(10)], exact[want], rtol=1e-9)
+
+
+def test_neighbours_on_a_line(spark):
+    table = spark.createDataFrame([(k, [float(k + 1)]) for k in range(50)], "vec_id long, embedding array<float>")
+    found = multiindex.nearest(table, F.col("vec_id") == 20, k=3, fraction=1.0, centroids=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(19, 1.0), (21, 1.0), (18, 2.0)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="driver tables not present")
+def test_recall_of_the_registered_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, data = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in QUERIES["op7_neighbours"](spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        order = np.lexsort((ids, np.sqrt(((data - data[q]) ** 2).sum(1))))
+        hits += len(found[ids[q]] & set(ids[[k for k in order if k != q][:10]].tolist()))
+    assert hits >= 9 * len(found)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     first, second, sizes = rng.random(7), rng.random(5), rng.integers(0, 3, (7, 5))
@@ -337,7 +372,7 @@ def test_pipeline_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and minhash.MISS < 1e-3
 
 

@@ -221,12 +221,12 @@ def worst_pages(spark, sf):
 
 
 @query("worst_pages_per_model", ("score_log",), """
-  SELECT model, rank, round(value, 6) AS value FROM (
-    SELECT model, char_f1 AS value, row_number() OVER (PARTITION BY model ORDER BY char_f1, doc_id, page_num) AS rank
+  SELECT model, rank, doc_id, page_num, round(value, 6) AS value FROM (
+    SELECT model, doc_id, page_num, char_f1 AS value, row_number() OVER (PARTITION BY model ORDER BY char_f1, doc_id, page_num) AS rank
     FROM score_log) WHERE rank <= 5""")
 def worst_pages_per_model(spark, sf):
     worst = ranking.worst_pages_per_model(fx.score_log(spark, sf), "char_f1")
-    return worst.select("model", "rank", F.round("value", 6).alias("value"))
+    return worst.select("model", "rank", "doc_id", "page_num", F.round("value", 6).alias("value"))
 
 
 @query("outlier_pages", ("cer_pages",), """

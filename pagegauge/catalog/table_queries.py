@@ -201,3 +201,21 @@ def doc_table_bundle(spark, sf):
     """Whole-document matching: the tables of a document against those predicted for it."""
     scored = scoring.score_tables(fx.doc_tables(spark, sf))
     return scored.drop("gt_grids", "pred_grids", "table_matches")
+
+
+@query("doc_table_summary", ("gt_cells", "pred_cells"), """
+  SELECT doc_id, CAST(sum(g) AS BIGINT) AS n_gt, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(least(g, p)) AS BIGINT) AS n_same,
+         round(2.0 * sum(least(g, p)) / (sum(g) + sum(p)), 6) AS copies_f1,
+         greatest(sum(g), sum(p)) - sum(least(g, p)) <= 64 AS comparable
+  FROM (SELECT doc_id, t, sum(g) AS g, sum(p) AS p FROM (
+          SELECT doc_id, 1 AS g, 0 AS p, string_agg(row || ':' || col || '=' || text, '|' ORDER BY row, col) AS t
+          FROM gt_cells GROUP BY doc_id, page_num
+          UNION ALL
+          SELECT doc_id, 0, 1, string_agg(row || ':' || col || '=' || text, '|' ORDER BY row, col)
+          FROM pred_cells GROUP BY doc_id, page_num) GROUP BY doc_id, t)
+  GROUP BY doc_id""")
+def doc_table_summary(spark, sf):
+    pages = fx.table_pages(spark, sf)
+    gt = pages.select("doc_id", "page_num", F.col("gt_html").alias("html"))
+    pred = pages.select("doc_id", "page_num", F.col("pred_html").alias("html"))
+    return C.doc_table_summary(gt, pred, ["doc_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegauge.functions import geometry, patterns as P
@@ -79,19 +79,18 @@ def best_matches(
     joined = _candidates(_tiled(gt, "gt", grids, keys), _tiled(pred, "pred", grids, keys), keys)
 
     iou = geometry.iou(_box("gt"), _box("pred"))
-    partner = F.when(F.col("pred_pos").isNotNull() & (iou > 0), F.struct(
-        iou.alias("iou"), (-F.col("pred_pos")).alias("order"),
-        *[F.col(f"pred_{c}") for c in ("id", "pos", *BOX, "text")]))
-    own = ["gt_id", *[f"gt_{c}" for c in BOX], "gt_text"]
-    best = joined.groupBy(*keys, "gt_pos").agg(
-        *[F.first(c).alias(c) for c in own], F.max(partner).alias("best"))
-    overlap = F.coalesce(F.col("best.iou"), F.lit(0.0))
+    meets = F.col("pred_pos").isNotNull() & (iou > 0)
+    partner = [f"pred_{c}" for c in ("id", "pos", *BOX, "text")]
+    # A group limit on two numbers; nothing is aggregated over texts.
+    order = Window.partitionBy(*keys, "gt_pos").orderBy(F.desc_nulls_last("iou"), "pred_pos")
+    best = joined.withColumn("iou", F.when(meets, iou)).withColumn("_rank", F.row_number().over(order)).where(
+        "_rank = 1").withColumns({c: F.when(F.col("iou").isNotNull(), F.col(c)) for c in partner})
+    overlap = F.coalesce("iou", F.lit(0.0))
     status = geometry.match_status(
-        F.col("best").isNotNull(), overlap, geometry.area(*_box("gt")),
-        geometry.area(*[F.col(f"best.pred_{c}") for c in BOX]), threshold)
+        F.col("iou").isNotNull(), overlap, geometry.area(*_box("gt")), geometry.area(*_box("pred")), threshold)
     return best.select(
         *keys, "gt_pos", "gt_id", *[f"gt_{c}" for c in BOX], "gt_text",
-        *[F.col(f"best.pred_{c}").alias(f"pred_{c}") for c in ("id", "pos", *BOX, "text")],
+        *partner,
         F.round(overlap, 6).alias("iou"), status.alias("match_status"),
     ).withColumn("issue", geometry.issue(F.col("match_status")))
 

@@ -248,3 +248,32 @@ def test_slug(spark, name, expected):
 def test_doc_key(spark):
     assert tuple(value(spark, K.doc_key, "textlayer_vi_001")) == ("text_layer", "vi")
     assert value(spark, K.doc_key, "scan_en") is None and value(spark, K.doc_key, "_en_1") is None
+
+
+def test_tables_of_a_document(spark):
+    from pagegauge.operators import cells as C
+    def tables(rows):
+        return spark.createDataFrame(rows, "doc string, page_num int, html string")
+    gt = tables([("d", 1, "<a> <b>"), ("d", 2, "<a><b>"), ("d", 3, "x"), ("e", 1, "y"), ("f", 1, "u"), ("f", 2, "v")])
+    pred = tables([("d", 7, "<a><b>"), ("d", 8, "z"), ("f", 1, "w")])
+    summary = {r.doc: r for r in C.doc_table_summary(gt, pred, ["doc"], most=2).collect()}
+    assert {k: (r.n_gt, r.n_pred, r.n_same, r.copies_f1, r.comparable) for k, r in summary.items()} == {
+        "d": (3, 2, 1, 0.4, True), "e": (1, 0, 0, 0.0, True), "f": (2, 1, 0, 0.0, True)}
+    left = {r.doc: ([t.page_num for t in r.gt_left], [t.html for t in r.pred_left])
+            for r in C.left_over_tables(gt, pred, ["doc"], most=1).collect()}
+    assert left == {"e": ([1], [])}
+    left = {r.doc: ([t.page_num for t in r.gt_left], [t.html for t in r.pred_left])
+            for r in C.left_over_tables(gt, pred, ["doc"]).collect()}
+    assert left == {"d": ([2, 3], ["z"]), "e": ([1], []), "f": ([1, 2], ["w"])}
+
+
+def test_best_by_key_sorts_no_texts(spark):
+    from pagegauge.operators import cells as C, layout
+    cells = spark.createDataFrame([("t", 0, 0, 1, "a"), ("t", 0, 0, 2, "b"), ("t", None, 1, 3, "n")],
+                                  "id string, row int, col int, ordinal int, text string")
+    joined = C.join_cells(cells, cells.where("ordinal = 1 OR row IS NULL"), ["id"])
+    assert {(r.row, r.col): (r.gt.text, r.pred.text) for r in joined.collect()} == {(0, 0): ("b", "a"), (None, 1): ("n", "n")}
+    blocks = spark.createDataFrame([("p", "x", 0, 0.0, 0.0, 1.0, 1.0, "t")],
+                                   "page string, block_id string, pos int, x1 double, y1 double, x2 double, y2 double, text string")
+    for df in (joined, layout.best_matches(blocks, blocks, ["page"])):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

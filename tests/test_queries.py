@@ -18,6 +18,7 @@ SAMPLE = (
     "missing_docs", "review_overview", "document_names", "text_table_merge", "review_activity",
     "word_detail", "doc_evaluation", "response_pages", "table_id_join", "compare_models_all", "tree_block_kinds",
     "tree_scan_prediction", "tree_text_layer", "tree_tables", "layout_status", "slug_collisions", "cell_diff",
+    "incremental_scores", "worst_pages_per_model", "doc_table_summary", "layout_best", "char_alignment",
 )
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables not present")

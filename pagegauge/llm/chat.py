@@ -3,8 +3,8 @@
 Messages name their parent.  Paths from root to leaf are enumerated by joins of
 the table with itself, doubling the distance each time: after ``k`` rounds the
 ancestors of every leaf up to distance ``2**k`` are known, so a thread of 400
-turns takes 9 rounds.  Only ids take part; texts are joined once at the end.
-Branches are ranked by the mean score of their messages, and each chosen path
+turns takes 9 rounds.  Only ids take part.  Branches are ranked by the mean score of their
+messages; texts are joined once, to the chosen paths, and each of those
 becomes one formatted conversation with a loss mask over assistant texts.
 
 Template: ``<|im_start|>role\\n text <|im_end|>\\n`` per turn (without the
@@ -97,8 +97,9 @@ def ranked(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     The best few of a tree are found first within parts of its leaves, then among those, so that a tree with very
     many leaves is ranked by many tasks.
     """
-    on_path = paths(messages).join(messages, ["tree_id", "msg_id"])
-    scored = on_path.groupBy("tree_id", "leaf").agg(F.avg("score").alias("mean_score"))
+    on_path = paths(messages)
+    scores = messages.select("tree_id", "msg_id", "score")
+    scored = on_path.join(scores, ["tree_id", "msg_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("mean_score"))
     best = [F.col("mean_score").desc_nulls_last(), F.col("leaf")]
     if branches is not None:
         part = Window.partitionBy("tree_id", F.pmod(F.xxhash64("leaf"), F.lit(64))).orderBy(*best)
@@ -109,7 +110,7 @@ def ranked(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         from pagegauge.operators.ordering import number_within
 
         scored = number_within(scored, ["tree_id"], best, "rank")
-    return on_path.join(scored, ["tree_id", "leaf"])
+    return on_path.join(scored, ["tree_id", "leaf"]).join(messages, ["tree_id", "msg_id"])
 
 
 def formatted(messages: DataFrame) -> DataFrame:

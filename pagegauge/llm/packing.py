@@ -141,16 +141,20 @@ class Packer:
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits | None = None, text: str = "text",
-    key: str = "doc_id", with_ids: bool = True,
+    key: str = "doc_id", with_ids: bool = True, loss_start: str | None = None,
 ) -> DataFrame:
-    """One row per piece; its ids are the little-endian unsigned 32-bit integers in ``ids``."""
+    """One row per piece; its ids are the little-endian unsigned 32-bit integers in ``ids``.
+
+    ``loss_start`` names a column with the number of ids (of a prompt) before the first that bears loss; without it,
+    or where it is null or negative, every id of the example bears loss.
+    """
     limits = limits or Limits()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(vocabulary), Packer(limits)
         task = TaskContext.get()
         first = (task.partitionId() if task else 0) << 40
-        held: dict[int, list] = {}  # number of a document in this task: its id, ids, tokens not yet placed
+        held: dict[int, list] = {}  # number of a document in this task: its id, ids, tokens not yet placed, loss start
         made = [0, 0]
         out: list[tuple] = []
 
@@ -160,7 +164,8 @@ def pack_documents(
                 for number, start, n in pieces:
                     entry = held[number]
                     ids = entry[1][start:start + n].astype("<u4").tobytes()
-                    out.append((entry[0], start, n, zlib.crc32(ids), len(entry[1]), first + made[0], at, n,
+                    bearing = max(0, start + n - max(start, entry[3]))
+                    out.append((entry[0], start, n, zlib.crc32(ids), len(entry[1]), first + made[0], at, bearing,
                                 ids if with_ids else None))
                     at += n
                     entry[2] -= n
@@ -178,15 +183,19 @@ def pack_documents(
         for batch in batches:
             for part in slices(batch, "text"):
                 ids_of = enc.ids(texts_of(part, "text"))
-                for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of, strict=True):
+                starts = part.column("loss_start").to_pylist()
+                for doc, ids, start in zip(part.column("doc_id").to_pylist(), ids_of, starts, strict=True):
                     ids = np.append(ids, np.uint32(end_id))
-                    held[made[1]] = [doc, ids, len(ids)]
-                    close(packer.place(made[1], len(ids)))
+                    start = min(max(start, 0), len(ids))
+                    held[made[1]] = [doc, ids, len(ids), start]
+                    close(packer.place(made[1], len(ids), start))
                     made[1] += 1
                     if len(out) >= 2000:
                         yield flush()
         close(packer.finish())
         yield flush()
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    start = F.lit(0) if loss_start is None else F.coalesce(F.col(loss_start), F.lit(0))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       start.cast("long").alias("loss_start"))
     return rows.mapInArrow(packed, SCHEMA)

@@ -50,7 +50,10 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    said = F.array(*[F.struct(
+        F.lit(-1).alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), F.lit(probe).alias("text"))
+        for k, role in enumerate(("user", "assistant"))])
+    more = spark.range(1).select(F.inline(said))
     return chat.read_back(chat.formatted(chat.ranked(chat.linear(turns.union(more)))))
 
 

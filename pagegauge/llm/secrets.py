@@ -10,13 +10,14 @@ one with few owners that looks like a real credential is live-looking.
 
 Defined results: a null text counts as empty and has no spans; equal values in
 one document count once for ownership; a null repository or owner counts as
-one of its own; rows that repeat an id each get their own spans and the
-ownership of all of them; an empty table gives no rows; further columns are
+one of its own; rows that repeat an id or have none each get the
+spans of their own text and the ownership of those values; an empty table gives no rows; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,36 @@ MASK = "[secret]"
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,from:bigint,value:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` names it inside further lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """A list in consecutive blocks of about the square root of its length."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * size + 1, size))
+
+
+def earlier(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each long of a list, ``plus`` over 0 and all longs before it.
+
+    Blocks first, then inside each block, so that no list grows one by one over all matches of a text.
+    """
+    def running(items: Column, first: Column) -> Column:
+        return F.slice(F.aggregate(items, F.array(first), lambda acc, v: F.concat(
+            acc, F.array(plus(F.element_at(acc, -1), v)))), 1, F.size(items))
+
+    zero = F.lit(0).cast("long")
+
+    def joined(blocks: Column) -> Column:
+        bases = running(F.transform(blocks, lambda b: F.aggregate(b, zero, plus)), zero)
+        return F.flatten(F.zip_with(blocks, bases, running))
+
+    return _let(values, lambda all_values: _let(_blocks(all_values), joined))
+
+
 def _spans(text: Column, rank: int) -> Column:
     """Spans of one kind; ``from`` is where the value starts (it ends with the match)."""
     kind, pattern, group, fewest = KINDS[rank]
@@ -59,17 +90,14 @@ def _spans(text: Column, rank: int) -> Column:
     parts = F.zip_with(F.arrays_zip(matches.alias("m"), values.alias("v")), gaps, lambda p, g: F.struct(
         F.length(g).cast("long").alias("gap"), F.length(p["m"]).cast("long").alias("size"), p["v"].alias("value")))
 
-    def add(acc: Column, p: Column) -> Column:
-        start, end = acc["at"] + p["gap"], acc["at"] + p["gap"] + p["size"]
-        span = F.struct(
-            start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-            (end - F.length(p["value"])).alias("from"), p["value"].alias("value"))
-        long_enough = F.length(p["value"]) >= fewest
-        return F.struct(end.alias("at"), F.when(
-            long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(parts, zero, add, lambda acc: acc["out"])
+    def placed(found: Column) -> Column:
+        before = earlier(F.transform(found, lambda p: p["gap"] + p["size"]), lambda a, b: a + b)
+        return F.zip_with(found, before, lambda p, at: F.struct(
+            (at + p["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+            (at + p["gap"] + p["size"]).alias("end"),
+            (at + p["gap"] + p["size"] - F.length(p["value"])).alias("from"), p["value"].alias("value")))
+
+    found = F.filter(_let(parts, placed), lambda s: F.length(s["value"]) >= fewest)
     hints = _HINTS.get(kind)
     present = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in hints]) if hints else text.rlike(pattern)
     return F.when(present, found).otherwise(F.array().cast(_SPAN))
@@ -122,14 +150,16 @@ def scan(docs: DataFrame, repository: str, owner: str, min_owners: int = MIN_OWN
     wanted = list(dict.fromkeys(["doc_id", repository, owner, "text"]))
     found = settled(found_in(docs.select(*wanted)), "secrets-found")
     classes = ownership(found, repository, owner, min_owners)
-    own = found.select("doc_id", F.explode("spans").alias("s")).select(
-        "doc_id", F.sha2("s.value", 256).alias("value_hash")).distinct()
-    judged = own.join(classes, "value_hash").groupBy("doc_id").agg(
+    row = ["doc_id", "text_sha256"]
+    own = found.select(*row, F.explode("spans").alias("s")).select(
+        *row, F.sha2("s.value", 256).alias("value_hash")).distinct()
+    judged = own.join(classes, "value_hash").groupBy(*row).agg(
         *[F.collect_list(F.when(F.col("class") == c, F.col("value_hash"))).alias(c) for c in ("live", "shared")])
     none = F.array().cast("array<string>")
-    return found.select("doc_id", "text_sha256", "spans").join(
-        judged.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
-        "doc_id", "text_sha256", "spans", F.coalesce("live", none).alias("live"), F.coalesce("shared", none).alias("shared"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_sha256") == F.col("_own"))
+    return found.select(*row, "spans").join(
+        judged.withColumnsRenamed({"doc_id": "_doc", "text_sha256": "_own"}), same, "left").select(
+        *row, "spans", F.coalesce("live", none).alias("live"), F.coalesce("shared", none).alias("shared"))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -151,23 +181,32 @@ def masked(docs: DataFrame, scanned: DataFrame, mask: str = MASK) -> DataFrame:
     Spans are met by id and text, so rows that repeat an id or have none get those of their own text.
     """
     taken = F.filter("spans", lambda s: ~F.array_contains("shared", F.sha2(s["value"], 256)))
-    doc, own, hit, done = (fresh(docs, c) for c in ("_doc", "_own", "_hits", "_cut"))
+    doc, own, hit = (fresh(docs, c) for c in ("_doc", "_own", "_hits"))
     hits = scanned.where(F.size("spans") > 0).select(
         F.col("doc_id").alias(doc), F.col("text_sha256").alias(own), F.array_sort(F.transform(taken, lambda s: F.struct(
             s["from"].alias("from"), s["end"].alias("end")))).alias(hit)).where(F.size(hit) > 0).dropDuplicates([doc, own])
 
-    def cut(acc: Column, s: Column) -> Column:
-        # Values of two kinds may overlap: what is masked already stays masked.
-        inside = s["from"] < acc["at"]
-        before = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["from"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask))).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = F.substring(F.col("text"), (F.col(f"{done}.at") + 1).cast("int"), F.lit(2 ** 31 - 1))
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_key() == F.col(own))
-    joined = docs.join(hits, same, "left").withColumn(
-        done, F.when(F.col(hit).isNotNull(), F.aggregate(hit, zero, cut)))
+    joined = docs.join(hits, same, "left")
     return joined.withColumn("text", F.when(
-        F.col(hit).isNotNull(), F.concat(f"{done}.out", rest)).otherwise(F.col("text"))).select(docs.columns)
+        F.col(hit).isNotNull(), _without(F.col("text"), F.col(hit), mask)).otherwise(F.col("text"))).select(docs.columns)
+
+
+def _without(text: Column, hits: Column, mask: str) -> Column:
+    """``text`` with ``mask`` for each of the sorted ``hits``; of overlapping ones (two kinds) only the first has a mask.
+
+    Pieces between hits are cut from a block of the text, not from the whole text each.
+    """
+    size = F.length(text).cast("long")
+    ends = F.concat(F.transform(hits, lambda h: h["end"]), F.array(size))
+    pieces = F.zip_with(F.concat(F.transform(hits, lambda h: h["from"]), F.array(size)), earlier(
+        ends, lambda a, b: F.greatest(a, b)), lambda stop, at: F.struct(at.alias("at"), stop.alias("stop")))
+    kept = F.filter(pieces, lambda p: p["stop"] >= p["at"])
+
+    def cut(block: Column) -> Column:
+        first = F.element_at(block, 1)["at"]
+        part = F.substring(text, (first + 1).cast("int"), (F.element_at(block, -1)["stop"] - first).cast("int"))
+        return _let(part, lambda t: F.array_join(F.transform(block, lambda p: F.substring(
+            t, (p["at"] - first + 1).cast("int"), (p["stop"] - p["at"]).cast("int"))), mask))
+
+    return F.array_join(F.transform(_let(kept, _blocks), cut), mask)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -125,6 +126,45 @@ def test_rows_without_an_id_are_masked_and_cleaned_by_their_own_text(spark):
     assert sorted(r.text for r in kept.collect()) == ["free", "free too"]
 
 
+def test_masked_text_equals_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["token=", "secret: ", "é ", "0123456789abcdef" * 2, "AKIA" + "A7" * 9, "ghp_" + "a1" * 20, " ", "plain\n", "日"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += [None, "", "token=" + "0123456789abcdef" * 2, "x" * 70000 + " token=9d8c7b6a5f4e3d2c1b0"]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    scanned = secrets.scan(docs, "doc_id", "source").cache()
+    spans = {r.doc_id: sorted((s["from"], s["end"]) for s in r.spans) for r in scanned.collect()}
+    for r in secrets.masked(docs, scanned).collect():
+        want, at = "", 0
+        for start, end in spans[r.doc_id]:
+            if start >= at:
+                want += (r.text and texts[r.doc_id][at:start]) + "[secret]"
+            at = max(at, end)
+        assert r.text == (texts[r.doc_id] and want + texts[r.doc_id][at:])
+
+
+def test_a_log_of_many_secrets_takes_seconds(spark):
+    lines = [f"{k} token=9d8c7b6a5f4e{k:08d} end" for k in range(20000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "s")], "doc_id long, text string, source string")
+    begun = time.monotonic()
+    got = secrets.masked(docs, secrets.scan(docs, "doc_id", "source")).first()
+    assert got.text == "\n".join(f"{k} token=[secret] end" for k in range(20000))
+    assert time.monotonic() - begun < 60
+
+
+def test_rows_without_an_id_own_only_their_own_values(spark):
+    rows = [(None, f"token=9d8c7b6a5f4e3d2c{k}1b0", "s") for k in range(5)] + [(None, None, None), (None, "clean", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.report(secrets.scan(docs, "doc_id", "source")).collect()
+    assert sorted(r.n_live for r in got) == [0, 0, 1, 1, 1, 1, 1]
+
+
+def test_texts_are_joined_to_chosen_paths_only(spark):
+    rows = [(1, 0, None, "user", "root " * 100, 0.0)] + [(1, k, 0, "assistant", f"t{k}", float(k)) for k in range(1, 50)]
+    best = chat.ranked(messages_of(spark, rows), 1)
+    assert sorted((r.msg_id, r.leaf) for r in best.collect()) == [(0, 49), (49, 49)]
+
+
 def greedy(data, sample):
     n, i = 1, 0
     j = 0

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagegauge.llm import packing, tokenfiles, words
@@ -110,6 +111,23 @@ def test_packed_documents(spark):
     assert packing.pack_documents(docs_of(spark, []), public_tokenizers.path(WORD_LEVEL)).count() == 0
 
 
+def test_packed_documents_keep_the_loss_limit(spark):
+    texts = [(k, "word " * (5 + k % 90)) for k in range(300)]
+    docs = docs_of(spark, texts).withColumn("loss_start", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 37))
+    limits = packing.Limits(tokens=128, segments=6, loss=70, waiting_tokens=2000)
+    rows = packing.pack_documents(
+        docs.coalesce(1), public_tokenizers.path(WORD_LEVEL), limits=limits, loss_start="loss_start").collect()
+    bins, total = {}, {}
+    for r in rows:
+        free = r.doc_id % 37 if r.doc_id % 4 else 0
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, free))
+        bins.setdefault(r.sequence_id, []).append(r)
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert all(sum(r.loss_tokens for r in b) <= 70 and sum(r.length for r in b) <= 128 and len(b) <= 6 for b in bins.values())
+    assert any(sum(r.loss_tokens for r in b) < sum(r.length for r in b) for b in bins.values())
+    assert total == {r.doc_id: r.doc_tokens for r in rows} and len(total) == 300
+
+
 def test_token_files_round_trip(spark):
     texts = [(5, "b"), (5, "a"), (1, None), (None, "none"), (9, "x y " * 2000), (7, "")] + [(k, f"text {k}") for k in range(20, 90)]
     folder = scratch(spark, "test-files")

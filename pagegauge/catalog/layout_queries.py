@@ -9,6 +9,7 @@ from pagegauge.catalog.registry import query
 from pagegauge.functions import geometry
 from pagegauge.operators import layout
 from pagegauge.operators.rollup import issue_counts
+from pagegauge.plans.benchmark import score_text_layer_pages
 
 KEY = ["page_id"]
 
@@ -42,12 +43,35 @@ def layout_extra(spark, sf):
 
 
 @query("layout_mean_iou", ("block_best",), """
-  SELECT page_id, round(sum(round(iou, 6)), 6) AS total_iou, count(*) AS n_blocks FROM block_best GROUP BY page_id""")
+  SELECT page_id, round(sum(round(iou, 6)), 6) AS total_iou, round(avg(round(iou, 6)), 9) AS mean_iou, count(*) AS n_blocks
+  FROM block_best GROUP BY page_id""")
 def layout_mean_iou(spark, sf):
-    """Mean IoU per page, shown as mean x blocks: the mean itself often ends on a rounding tie."""
+    """Mean IoU per page, to nine digits: at six the mean of two blocks often ends on a rounding tie."""
     means = layout.page_mean_iou(_matches(spark, sf), KEY, digits=None)
     total = F.round(F.col("mean_iou") * F.col("n_blocks"), 6)
-    return means.select("page_id", total.alias("total_iou"), "n_blocks")
+    return means.select("page_id", total.alias("total_iou"), F.round("mean_iou", 9).alias("mean_iou"), "n_blocks")
+
+
+@query("text_layer_pages", ("distances",), """
+  SELECT model, uc_type, lang, doc_id, page_num, CASE WHEN n_gt = 0 THEN 0.0 ELSE round(d / n_gt, 6) END AS cer,
+         n_gt::INT AS total_chars_gt, round(mean_iou, 9) AS mean_iou
+  FROM distances JOIN (
+    SELECT model, doc_id, page_num, avg(CASE WHEN least(length(g[k]), coalesce(length(p[k]), 0)) = 0 THEN 0.0
+             ELSE round(least(length(g[k]), length(p[k])) / greatest(length(g[k]), length(p[k])), 6) END) AS mean_iou
+    FROM (SELECT *, unnest(range(1, len(g) + 1)) AS k FROM (
+      SELECT model, doc_id, page_num, string_split(gt_text, chr(10)) AS g, string_split(pred_text, chr(10)) AS p
+      FROM page_pairs WHERE uc_type = 'text_layer')) GROUP BY ALL) USING (model, doc_id, page_num)""")
+def text_layer_pages(spark, sf):
+    """Text-layer pages whose blocks are their lines, each as wide as it has characters."""
+    def lines(text):
+        return F.transform(F.split(text, "\n", -1), lambda line, k: F.struct(
+            k.alias("block_id"), F.array(F.lit(0.0), k / 8.0, F.length(line) / 128.0, (k + 1) / 8.0).alias("bbox"),
+            line.alias("text")))
+
+    pairs = fx.page_pairs(spark, sf)
+    blocks = pairs.withColumns({"gt_blocks": lines(F.col("gt_text")), "pred_blocks": lines(F.col("pred_text"))})
+    scored = score_text_layer_pages(fx.ref_hyp(blocks), digits=9)
+    return scored.withColumn("total_chars_gt", F.col("cer_detail.total_chars_gt")).drop("cer_detail")
 
 
 @query("layout_issue_counts", ("block_status", "pred_blocks"), """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
 from pagegauge.catalog.registry import cte, query, rounded
 from pagegauge.catalog.text_queries import _cer_pages
 from pagegauge.functions import keys as K, metrics as M
-from pagegauge.operators import coverage, pairs, ranking, rollup
+from pagegauge.operators import coverage, ordering, pairs, ranking, rollup
+from pagegauge.sources import results
 
 PAGE_METRICS = ("cer", "wer", "char_f1", "word_f1", "table_teds_doc")
 DOC_METRICS = ("cer", "char_f1", "word_f1", "teds", "cell_f1")
@@ -107,6 +110,21 @@ def doc_log(spark, sf):
     return fx.doc_log(spark, sf)
 
 
+@query("csv_round_trip", ("doc_log",), """
+  SELECT model, uc_type, lang, doc_id, avg_cer, avg_char_f1, avg_table_teds_doc, n_pages, n_matched_pages FROM doc_log""")
+def csv_round_trip(spark, sf):
+    """Page scores exported as CSV, those of tables with columns of their own, then read and rolled up again."""
+    log = fx.score_log(spark, sf).select(
+        "model", "uc_type", "lang", "doc_id", "page_num", "matched", "cer", "char_f1", "table_teds_doc")
+    kinds = [log.where("uc_type <> 'table'").drop("table_teds_doc"), log.where("uc_type = 'table'")]
+    path = f"{ordering.shared_folder(spark)}/page-csv-{uuid.uuid4().hex}"
+    results.write_page_csv(kinds, path)
+    pages = results.read_page_csv(
+        spark, path, "model string, uc_type string, lang string, doc_id long, page_num long, matched boolean, "
+        "cer double, char_f1 double, table_teds_doc double")
+    return rollup.doc_summary(pages, ("cer", "char_f1", "table_teds_doc"))
+
+
 @query("model_stats", ("doc_log",), """
   SELECT model, round(avg(avg_cer), 4) AS avg_cer, round(avg(avg_char_f1), 4) AS avg_char_f1,
          round(avg(avg_word_f1), 4) AS avg_word_f1, round(avg(avg_table_teds_doc), 4) AS avg_teds,

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
     A machine-local folder is used only by a local master that names none.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -91,6 +91,11 @@ def write_page_csv(page_scores: list[DataFrame], path: str) -> None:
     merged.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_page_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Page rows written by ``write_page_csv``; the schema lists the columns in their written order."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
+
+
 def write_summary_csv(summary: DataFrame, path: str) -> None:
     """A use-case summary has a handful of rows per model, hence one file."""
     flatten(summary).repartition(1).write.mode("overwrite").option("header", True).csv(path)

@@ -35,7 +35,10 @@ GRID_LIST = T.ArrayType(T.ArrayType(T.ArrayType(STRING)))
 CHAR_STEPS = T.ArrayType(_struct(kind=STRING, gt_pos=INT, pred_pos=INT))
 WORD_STEPS = T.ArrayType(_struct(kind=STRING, gt=STRING, pred=STRING))
 CHUNKS = T.ArrayType(_struct(kind=STRING, pos=INT, text=STRING, n_words=INT))
-TREE_SIZES = _struct(edit_distance=INT, gt_tree_size=INT, pred_tree_size=INT)
+TREE_SIZES = _struct(edit_distance=INT, gt_tree_size=INT, pred_tree_size=INT, error=STRING)
+TABLES = _struct(grids=GRID_LIST, error=STRING)
+#: Characters kept of an error.
+ERROR_CHARS = 200
 MATCHES = T.ArrayType(_struct(gt_index=INT, pred_index=INT, teds=DOUBLE))
 
 
@@ -55,6 +58,14 @@ def _spread(rows: np.ndarray, values, length: int, kind: pa.DataType) -> pa.Arra
     return pa.array(out, type=kind)
 
 
+def _attempt(call, *args) -> tuple:
+    """(result, None), or (None, what went wrong): one unreadable page must not end the job, its row says why."""
+    try:
+        return call(*args), None
+    except Exception as error:
+        return None, f"{type(error).__name__}: {error}"[:ERROR_CHARS]
+
+
 def _as_symbols(left: pa.ListArray, right: pa.ListArray) -> tuple[list[str], list[str]]:
     """Rewrite token lists as strings with one code point per distinct token of the batch."""
     flat = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
@@ -208,19 +219,21 @@ def diff_chunks(left: pa.Array, right: pa.Array) -> pa.Array:
          for a, b in zip(left.to_pylist(), right.to_pylist())], type=kind)
 
 
-@arrow_udf(GRID_LIST)
+@arrow_udf(TABLES)
 def parse_tables(text: pa.Array) -> pa.Array:
-    """Raw cell text of all tables for markup the pattern parser cannot read."""
-    return pa.array(
-        [None if t is None else markup.tables(t) for t in text.to_pylist()],
-        type=pa.list_(pa.list_(pa.list_(pa.string()))))
+    """Raw cell text of all tables for markup the pattern parser cannot read, or the error of a row."""
+    found = [(None, None) if t is None else _attempt(markup.tables, t) for t in text.to_pylist()]
+    return pa.StructArray.from_arrays(
+        [pa.array([grids for grids, _ in found], pa.list_(pa.list_(pa.list_(pa.string())))),
+         pa.array([error for _, error in found], pa.string())], ["grids", "error"])
 
 
 @arrow_udf(TREE_SIZES)
 def markup_distance(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Top-down distance of the first table of each side on the raw markup tree."""
+    """Top-down distance of the first table of each side on the raw markup tree, or the error of a row."""
     kind = pa.struct([
-        ("edit_distance", pa.int32()), ("gt_tree_size", pa.int32()), ("pred_tree_size", pa.int32())])
+        ("edit_distance", pa.int32()), ("gt_tree_size", pa.int32()), ("pred_tree_size", pa.int32()),
+        ("error", pa.string())])
 
     def compare(a, b):
         ref, pred = markup.first_table(a), markup.first_table(b)
@@ -229,8 +242,8 @@ def markup_distance(left: pa.Array, right: pa.Array) -> pa.Array:
             "gt_tree_size": markup.tree_size(ref), "pred_tree_size": markup.tree_size(pred)}
 
     return pa.array(
-        [None if a is None or b is None else compare(a, b)
-         for a, b in zip(left.to_pylist(), right.to_pylist())], type=kind)
+        [None if a is None or b is None else sizes or {"error": error} for a, b in zip(left.to_pylist(), right.to_pylist())
+         for sizes, error in [_attempt(compare, a, b)]], type=kind)
 
 
 @arrow_udf(DOUBLE)

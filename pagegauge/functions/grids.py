@@ -52,15 +52,24 @@ def _normal_grids(tables: Column) -> Column:
         F.transform(t, lambda r: F.transform(r, X.normalize_cell_basic))))
 
 
-def html_grids(html: Column) -> Column:
-    """Grids of all HTML tables; only broken markup visits the Arrow parser."""
+def read_html(html: Column) -> Column:
+    """``grids`` of all HTML tables and ``error``; only broken markup visits the Arrow parser.
+
+    Markup that cannot be read has an error and NULL grids.
+    """
     html = X.unify_spaces(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", ""))
     good = let(html, _well_formed)
     # Decoded once by parsing; the normalizer decodes again as for any cell.
     native = F.transform(_native_tables(html), lambda t: F.transform(
         t, lambda r: F.transform(r, lambda c: X.unescape_basic(F.regexp_replace(c, P.ANY_TAG, " ")))))
     parsed = arrow.parse_tables(F.when(~good, html))
-    return _normal_grids(F.when(good, native).otherwise(parsed))
+    return let(parsed, lambda found: F.struct(
+        _normal_grids(F.when(good, native).otherwise(found["grids"])).alias("grids"), found["error"].alias("error")))
+
+
+def html_grids(html: Column) -> Column:
+    """Grids of all HTML tables, NULL where the markup cannot be read."""
+    return read_html(html)["grids"]
 
 
 def _pipe_row(line: Column) -> Column:
@@ -72,7 +81,11 @@ def _pipe_row(line: Column) -> Column:
 
 
 def pipe_grids(markdown: Column) -> Column:
-    """Grids of all pipe tables: a header line, a rule line, then pipe lines."""
+    """Grids of all pipe tables: a header line, a rule line, then pipe lines.
+
+    A rule is a pipe line too, so each table lies inside one unbroken run of pipe lines: from the line before the
+    run's first rule to its end.  Runs are slices, so the work follows the number of lines.
+    """
     def is_row(line: Column) -> Column:
         return F.contains(line, F.lit("|")) & (F.translate(strip(line), "|", "") != "") & (
             strip(F.regexp_replace(strip(line), r"^\|+|\|+$", "")) != "")
@@ -81,38 +94,35 @@ def pipe_grids(markdown: Column) -> Column:
         parts = F.split(strip(F.regexp_replace(strip(line), r"^\|+|\|+$", "")), r"\|", -1)
         return F.contains(line, F.lit("|")) & F.forall(parts, lambda p: strip(p).rlike(P.CELL_RULE))
 
-    state = "struct<open:boolean,skip:boolean,tables:array<array<array<string>>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = ~acc["open"] & x["row"] & x["next_rule"]
-        continues = acc["open"] & (acc["skip"] | x["row"])
-        starts_over = acc["open"] & ~acc["skip"] & ~x["row"]
-        last = F.size(acc["tables"])
-        appended = F.when(
-            acc["open"] & ~acc["skip"] & x["row"],
-            F.concat(F.slice(acc["tables"], 1, last - 1), F.array(F.concat(
-                F.element_at(acc["tables"], -1), F.array(x["cells"]))))
-        ).when(opens, F.concat(acc["tables"], F.array(F.array(x["cells"])))).otherwise(acc["tables"])
-        return F.struct(
-            F.when(starts_over, False).otherwise(opens | continues).alias("open"),
-            opens.alias("skip"), appended.alias("tables"))
+    def table(run: Column) -> Column:
+        # A rule on the first line of a run has no header before it.
+        rules = F.transform(F.slice(run, 2, F.size(run)), lambda x: x["rule"])
+        return let(F.array_position(rules, True).cast("int"), lambda head: F.when(head > 0, F.transform(
+            F.concat(F.slice(run, F.greatest(head, F.lit(1)), 1), F.slice(run, head + 2, F.size(run))),
+            lambda x: _pipe_row(x["line"]))))
+
+    def runs(facts: Column) -> Column:
+        gaps = F.filter(F.transform(facts, lambda x, k: F.when(~x["row"], k + 1)), lambda k: k.isNotNull())
+        return let(gaps, lambda at: F.zip_with(
+            F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(F.size(facts) + 1)),
+            lambda before, behind: F.slice(facts, before + 1, behind - before - 1)))
 
     def scan(all_lines: Column) -> Column:
-        facts = F.transform(all_lines, lambda line, k: F.struct(
-            is_row(line).alias("row"),
-            F.coalesce(is_rule(F.get(all_lines, k + 1)), F.lit(False)).alias("next_rule"),
-            _pipe_row(line).alias("cells")))
-        start = F.struct(
-            F.lit(False).alias("open"), F.lit(False).alias("skip"),
-            F.array().cast(NO_GRIDS).alias("tables")).cast(state)
-        return F.aggregate(facts, start, lambda a, x: step(a, x).cast(state), lambda a: a["tables"])
+        facts = F.transform(all_lines, lambda x: F.struct(x.alias("line"), is_row(x).alias("row"), is_rule(x).alias("rule")))
+        return F.filter(F.transform(let(facts, runs), table), lambda t: t.isNotNull())
 
     found = F.when(F.contains(markdown, F.lit("|")), let(lines(X.unify_spaces(markdown)), scan))
     return F.coalesce(F.transform(found, rectangle), F.array().cast(NO_GRIDS))
 
 
+def read_page(markdown: Column) -> Column:
+    """``grids`` of the pipe and HTML tables of a Markdown page and ``error``."""
+    return let(read_html(markdown), lambda found: F.struct(
+        F.concat(pipe_grids(markdown), found["grids"]).alias("grids"), found["error"].alias("error")))
+
+
 def page_grids(markdown: Column) -> Column:
-    return F.concat(pipe_grids(markdown), html_grids(markdown))
+    return read_page(markdown)["grids"]
 
 
 def canonical_html(grid: Column) -> Column:
@@ -281,32 +291,38 @@ def html_cells(html: Column, columns: str = "occupied") -> Column:
 
 
 def _occupied_cells(rows: Column) -> Column:
-    """Fold over the cells in order, carrying the rectangles that reach further down."""
-    state = f"struct<cells:{CELLS},at:int,row:int>"
-    flat = F.flatten(F.transform(rows, lambda cells, r: F.transform(cells, lambda c: F.struct(
-        r.alias("row"), c["rowspan"].alias("rowspan"), c["colspan"].alias("colspan"),
-        c["text"].alias("text"), c["is_header"].alias("is_header")))))
-
-    def taken(placed: Column, row: Column, col: Column) -> Column:
-        return F.exists(placed, lambda p: (
-            (p["row"] <= row) & (row < p["row"] + p["rowspan"])
-            & (p["col"] <= col) & (col < p["col"] + p["colspan"])))
-
-    def step(acc: Column, c: Column) -> Column:
-        start = F.when(acc["row"] == c["row"], acc["at"]).otherwise(F.lit(0))
-        # Only spans from earlier rows can block; the free place is at the start
-        # or right behind one of them.
-        above = F.filter(acc["cells"], lambda p: (p["row"] < c["row"]) & (c["row"] < p["row"] + p["rowspan"]))
-        options = F.concat(F.array(start), F.transform(above, lambda p: p["col"] + p["colspan"]))
-        free = F.array_min(F.filter(
-            options, lambda x: (x >= start) & ~taken(above, c["row"], x)))
-        return let(free, lambda col: F.struct(
-            F.concat(acc["cells"], F.array(F.struct(
-                c["row"].alias("row"), col.alias("col"), c["rowspan"].alias("rowspan"),
-                c["colspan"].alias("colspan"), c["text"].alias("text"),
-                c["is_header"].alias("is_header")))).alias("cells"),
-            (col + c["colspan"]).alias("at"), c["row"].alias("row"))).cast(state)
-
-    start = F.struct(
-        F.array().cast(CELLS).alias("cells"), F.lit(0).alias("at"), F.lit(-1).alias("row")).cast(state)
-    return F.aggregate(flat, start, step, lambda acc: acc["cells"])
+    """Fold over the rows, carrying only the spans that reach below the row before."""
+    cell_type = CELLS.removeprefix("array<").removesuffix(">")
+    line = f"struct<at:int,cells:{CELLS}>"
+    state = f"struct<spans:array<struct<col:int,end:int,until:int>>,rows:array<{CELLS}>>"
+
+    def free(spans: Column, start: Column) -> Column:
+        # The free place is at the start or right behind a span from above.
+        options = F.concat(F.array(start), F.transform(spans, lambda p: p["end"]))
+        return F.array_min(F.filter(options, lambda x: (x >= start) & ~F.exists(
+            spans, lambda p: (p["col"] <= x) & (x < p["end"]))))
+
+    def placed(spans: Column, row: Column) -> Column:
+        def place(acc: Column, c: Column) -> Column:
+            return let(free(spans, acc["at"]), lambda col: F.struct(
+                (col + c["colspan"]).alias("at"),
+                F.concat(acc["cells"], F.array(F.struct(
+                    row["row"].alias("row"), col.alias("col"), c["rowspan"].alias("rowspan"),
+                    c["colspan"].alias("colspan"), c["text"].alias("text"),
+                    c["is_header"].alias("is_header")).cast(cell_type))).alias("cells"))).cast(line)
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(CELLS).alias("cells")).cast(line)
+        return F.aggregate(row["cells"], none, place, lambda acc: acc["cells"])
+
+    def step(acc: Column, row: Column) -> Column:
+        def below(cells: Column) -> Column:
+            reach = F.transform(F.filter(cells, lambda c: (c["rowspan"] > 1) & (c["col"] + c["colspan"]).isNotNull()), lambda c: F.struct(
+                c["col"].alias("col"), (c["col"] + c["colspan"]).alias("end"), (c["row"] + c["rowspan"]).alias("until")))
+            open_spans = F.filter(acc["spans"], lambda p: p["until"] > row["row"] + 1)
+            return F.struct(F.concat(open_spans, reach).alias("spans"),
+                            F.concat(acc["rows"], F.array(cells)).alias("rows")).cast(state)
+        return let(placed(acc["spans"], row), below)
+
+    numbered = F.transform(rows, lambda cells, r: F.struct(r.alias("row"), cells.alias("cells")))
+    start = F.struct(F.array().alias("spans"), F.array().alias("rows")).cast(state)
+    return F.flatten(F.aggregate(numbered, start, step, lambda acc: acc["rows"]))

@@ -18,17 +18,20 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    def walk(self):
-        for child in self.elements():
+    def _below(self):
+        """Everything inside, in order; a stack instead of recursion, since markup can be nested to any depth."""
+        stack = self.children[::-1]
+        while stack:
+            child = stack.pop()
             yield child
-            yield from child.walk()
+            if isinstance(child, Node):
+                stack += child.children[::-1]
+
+    def walk(self):
+        return (c for c in self._below() if isinstance(c, Node))
 
     def texts(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.texts()
-            else:
-                yield child
+        return (c for c in self._below() if not isinstance(c, Node))
 
     def text(self) -> str:
         return " ".join(t for t in (part.strip() for part in self.texts()) if t)
@@ -54,6 +57,10 @@ class _Builder(HTMLParser):
         if tag not in VOID_TAGS:
             self.open = node
 
+    def parse_marked_section(self, i, report=1):
+        # "<![" with any other word than CDATA is a comment in HTML; the base class raises.
+        return self.parse_bogus_comment(i)
+
     def handle_startendtag(self, tag, attrs):
         self.open.children.append(Node(tag, dict(attrs), self.open))
 

@@ -192,14 +192,27 @@ def formulas(markdown: Column) -> Column:
 def best_formula_similarity(ref: Column, pred: Column) -> Column:
     """Mean over reference formulas of the best similarity to any predicted one.
 
-    Stays inside the row: one page's formulas never leave it, and an exact
-    partner ends the search.
+    Stays inside the row: one page's formulas never leave it.  An exact partner
+    ends the search; of the others, those whose lengths differ by more than the
+    best so far allows are passed over, and distances are followed only as far
+    as they could still be better.
     """
     def best(formula: Column, choices: Column) -> Column:
-        others = F.transform(choices, lambda p: edit_similarity(formula, p))
-        return F.when(F.array_contains(choices, formula), 1.0).otherwise(F.array_max(others))
+        size = F.length(formula)
 
-    total = let(F.array_distinct(pred), lambda choices: F.aggregate(
+        def nearer(acc: Column, other: Column) -> Column:
+            longest = F.greatest(size, other["size"])
+            room = F.floor((1.0 - acc) * longest).cast("int")
+            distance = F.call_function("levenshtein", formula, other["text"], room)
+            # -1 (farther than that) turns into a large number.
+            return F.when(F.abs(size - other["size"]) > room, acc).otherwise(
+                F.greatest(acc, 1.0 - distance.bitwiseAND(F.lit(0x7FFFFFFF)) / longest))
+
+        others = F.aggregate(choices, F.lit(0.0), nearer)
+        return F.when(F.exists(choices, lambda c: c["text"] == formula), 1.0).otherwise(others)
+
+    sized = F.transform(F.array_distinct(pred), lambda p: F.struct(F.length(p).alias("size"), p.alias("text")))
+    total = let(sized, lambda choices: F.aggregate(
         F.transform(ref, lambda f: best(f, choices)), F.lit(0.0), lambda acc, v: acc + v))
     return (
         F.when((F.size(ref) == 0) & (F.size(pred) == 0), 1.0)

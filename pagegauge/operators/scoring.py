@@ -157,17 +157,24 @@ def page_html(tables: Column) -> Column:
     return F.array_join(F.coalesce(html, F.array().cast("array<string>")), "\n\n")
 
 
+def with_grids(read: DataFrame) -> DataFrame:
+    """Both sides' grids and the first error, from two columns of read tables."""
+    return read.withColumns({
+        "gt_grids": F.col("_gr.grids"), "pred_grids": F.col("_pr.grids"),
+        "error": F.coalesce("_gr.error", "_pr.error")}).drop("_gr", "_pr")
+
+
 def score_pages(pairs: DataFrame) -> DataFrame:
     """Mixed page evaluation over gt/pred text and tables.
 
     Text metrics exist only where either text is non-empty, table metrics only
     where either side has a table; elsewhere they stay NULL so that means skip
-    them.  Expects ``gt_text``, ``pred_text``, ``gt_tables``, ``pred_tables``.
+    them.  Tables that cannot be read leave an ``error`` and NULL table metrics.
+    Expects ``gt_text``, ``pred_text``, ``gt_tables``, ``pred_tables``.
     """
     texts = pairs if {"ref", "hyp"} <= set(pairs.columns) else normalize_pairs(pairs)
-    grids = settle(
-        texts, gt_grids=G.html_grids(page_html(F.col("gt_tables"))),
-        pred_grids=G.html_grids(page_html(F.col("pred_tables"))))
+    grids = with_grids(settle(
+        texts, _gr=G.read_html(page_html(F.col("gt_tables"))), _pr=G.read_html(page_html(F.col("pred_tables")))))
     scored = score_tables(text_metrics(grids))
     some_text = (F.coalesce("gt_text", F.lit("")) != "") | (F.coalesce("pred_text", F.lit("")) != "")
     some_table = (F.coalesce(F.size("gt_tables"), F.lit(0)) > 0) | (
@@ -177,22 +184,25 @@ def score_pages(pairs: DataFrame) -> DataFrame:
     table_cols += ["ref_table_count", "pred_table_count"]
     return scored.withColumns({
         **{c: F.when(some_text, F.col(c)) for c in text_cols},
-        **{c: F.when(some_table, F.col(c)) for c in table_cols},
+        **{c: F.when(some_table & F.col("error").isNull(), F.col(c)) for c in table_cols},
     }).drop("gt_grids", "pred_grids", "table_matches", "ref", "hyp")
 
 
 def score_markdown(pairs: DataFrame, gt: str = "gt_text", pred: str = "pred_text") -> DataFrame:
-    """Everything measurable on two raw Markdown pages: text, structure, order, tables, formulas."""
+    """Everything measurable on two raw Markdown pages: text, structure, order, tables, formulas.
+
+    Tables that cannot be read leave an ``error`` and NULL table metrics.
+    """
     g, p = F.col(gt), F.col(pred)
     texts = text_metrics(normalize_pairs(pairs, gt, pred)).withColumns(
         {"ref_text_len": F.length("ref"), "pred_text_len": F.length("hyp")})
-    parsed = settle(
+    parsed = with_grids(settle(
         texts,
         _rs=M.structure_paths(g), _ps=M.structure_paths(p),
         _rst=M.structure_paths(g, True), _pst=M.structure_paths(p, True),
         _ro=X.sentences(g), _po=X.sentences(p),
         _rf=M.formulas(g), _pf=M.formulas(p),
-        gt_grids=G.page_grids(g), pred_grids=G.page_grids(p))
+        _gr=G.read_page(g), _pr=G.read_page(p)))
     counted = settle(
         score_tables(parsed),
         _so=M.item_overlap(F.col("_rs"), F.col("_ps")), _sto=M.item_overlap(F.col("_rst"), F.col("_pst")),

@@ -1,5 +1,8 @@
 """Golden values for metrics, normalizers and page evaluations."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +150,61 @@ def test_pipe_tables(spark):
     assert value(spark, G.pipe_grids, md) == [[["A", "B"], ["1 | 2", "3"], ["4", ""]], [["y", "z"], ["q", "r"]]]
 
 
+def test_pipe_lines_without_a_header_or_rule_are_no_table(spark):
+    assert value(spark, G.pipe_grids, "|---|---|\n| a | b |\n\n| c | d |\n| e | f |") == []
+    assert value(spark, G.pipe_grids, "|---|\n|---|\n| a |") == [[["---"], ["a"]]]
+    assert value(spark, G.pipe_grids, "| p |\n| A |\n|---|\n| 1 |\n|---|\n| 2 |") == [[["A"], ["1"], ["---"], ["2"]]]
+
+
+def test_large_tables_are_parsed_in_time(spark):
+    """Five thousand rows; work that grew with the square of the rows took minutes."""
+    start = time.perf_counter()
+    pipes = "| A | B |\n|---|---|\n" + "\n".join(f"| {k} | x{k} |" for k in range(5000))
+    assert value(spark, G.pipe_grids, pipes) == [[["A", "B"], *([str(k), f"x{k}"] for k in range(5000))]]
+    rows = "".join(f"<tr>{'<td rowspan=2>s</td>' if k % 2 == 0 else ''}<td colspan='2'>{k}</td><td>y</td></tr>" for k in range(5000))
+    cells = value(spark, G.html_cells, f"<table>{rows}</table>")
+    assert [(c.row, c.col) for c in cells if c.text != "s"] == [(k, col) for k in range(5000) for col in (1, 3)]
+    assert [len(t) for t in value(spark, G.html_grids, f"<table>{rows}</table>")] == [5000]
+    assert time.perf_counter() - start < 60
+
+
+def test_spans_that_cross(spark):
+    html = ("<table><tr><td rowspan='3'>a</td><td>b</td><td rowspan='2' colspan='2'>c</td></tr><tr><td>d</td><td>e</td></tr>"
+            "<tr><td>f</td><td>g</td><td rowspan='99999999999'>h</td></tr><tr><td>i</td></tr></table>")
+    got = [(c.text, c.row, c.col) for c in value(spark, G.html_cells, html)]
+    assert got == [("a", 0, 0), ("b", 0, 1), ("c", 0, 2), ("d", 1, 1), ("e", 1, 4), ("f", 2, 1), ("g", 2, 2), ("h", 2, 3), ("i", 3, 0)]
+
+
+def test_best_formulas_equal_all_pairs(spark):
+    rng = random.Random(5)
+    def some(n):
+        return ["".join(rng.choice("xyé+=12\U0001d465") for _ in range(rng.randrange(1, 15))) for _ in range(n)]
+    ref, pred = some(60), some(80)
+    def plain(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, above = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(above[j] + 1, line[-1] + 1, above[j - 1] + (x != y)))
+        return line[-1]
+    want = sum(max(1 - plain(a, b) / max(len(a), len(b)) for b in pred) for a in ref) / len(ref)
+    df = spark.createDataFrame([(ref, pred), (some(2000), some(2000))], "r array<string>, p array<string>")
+    start = time.perf_counter()
+    got = [r[0] for r in df.select(M.best_formula_similarity(F.col("r"), F.col("p"))).collect()]
+    assert got[0] == pytest.approx(want, abs=1e-12) and 0 < got[1] < 1 and time.perf_counter() - start < 60
+
+
+def test_unreadable_markup_is_an_error_of_its_row(spark):
+    deep = "<table><tr><td>" + "<b>" * 3000 + "x</td></tr></table>"
+    df = spark.createDataFrame([(1, GT, GT), (2, GT, deep), (3, "<table><tr><td>1<![if x]><td>2</table>", GT)],
+                               "id int, gt_html string, pred_html string")
+    good, bad, odd = C.score_table_pairs(df).orderBy("id").collect()
+    assert (good.teds, good.error) == (1.0, None) and odd.error is None and odd.teds < 1.0
+    assert bad.teds is None and bad.teds_detail is None and bad.error.startswith("RecursionError: ")
+    assert value(spark, G.html_grids, "<table><tr><td>1<![if x]><td>2</table>") == [[["1", "2"]]]
+    assert value(spark, G.html_grids, "<table><tr><td>" + "<b>" * 3000 + "x<td>y</table>") == [[["x", "y"]]]
+
+
 def test_table_matching_is_one_to_one(spark):
     def grids(*tables):
         return [[list(r) for r in t] for t in tables]

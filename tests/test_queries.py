@@ -19,7 +19,7 @@ SAMPLE = (
     "word_detail", "doc_evaluation", "response_pages", "table_id_join", "compare_models_all", "tree_block_kinds",
     "tree_scan_prediction", "tree_text_layer", "tree_tables", "layout_status", "slug_collisions", "cell_diff",
     "incremental_scores", "worst_pages_per_model", "doc_table_summary", "layout_best", "char_alignment",
-    "text_layer_pages", "layout_mean_iou", "csv_round_trip", "doc_summary", "cell_issue_counts", "asset_status",
+    "text_layer_pages", "layout_mean_iou", "table_page_scores", "mixed_pages", "table_cells", "inline_tables", "csv_round_trip", "doc_summary", "cell_issue_counts", "asset_status",
 )
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables not present")

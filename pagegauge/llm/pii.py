@@ -1,10 +1,20 @@
 """Surrogates for personal data: keyed, of the same type and form, distinct and the same everywhere.
 
 Detected: e-mail addresses, telephone numbers, card and account numbers (13 to
-19 digits), IPv4 addresses, and names after a form of address.  An entity is
-its type and its canonical form (digits only, lower case), so one telephone
-number written in two ways is one entity and gets one surrogate, written in
-the form of each occurrence.
+19 digits), IPv4 addresses, and names after a form of address, with every other
+mention of those people in the same text.  An entity is its type and its
+canonical form (digits only, lower case), so one telephone number written in
+two ways is one entity and gets one surrogate, written in the form of each
+occurrence.
+
+A person of a text is the longest form of the name; a shorter form (a part of
+it, or its parts under another form of address that does not contradict) is the
+nearest such person before it, else the first after it, and gets the same parts
+of the surrogate.  Mentions without a form of address are found too: several
+parts in a row always, a single part if it has three letters or more and its
+small form is no word of the text ("Long" stays where "long" occurs).  The gender is what any
+mention in the text tells.  Across texts people are the same if their longest
+form and gender are.
 
 A surrogate is made from a keyed hash (HMAC-SHA-256) of the entity: digits
 become digits and letters become letters of the same script and case; a card
@@ -18,8 +28,12 @@ left; where a form has too few values, later attempts are longer.  Only entities
 that rewrites texts; up to ``BROADCAST_ROWS`` of them are broadcast, more are
 joined to the documents that hold them.
 
+No telephone numbers are dates, ranges of years, and amounts in groups of
+three (one or two digits first, or beside a currency).
+
 Defined results: a null text stays null, an empty text empty; overlapping
 finds keep the first in the order e-mail, address, card, telephone, name;
+the counts of kinds get a further ``_`` where the table has such a column;
 repeated rows get equal results; an empty table gives no rows; all further
 columns stay as they are.
 """
@@ -30,6 +44,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,10 +98,100 @@ _YEAR, _MONTH, _DAY = r"(?:1[89]|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[
 _DATE = re.compile(
     rf"(?<![\d+])(?<!\d[./-])(?:{_YEAR}([./-]){_MONTH}\1{_DAY}|{_DAY}([./-]){_MONTH}\2{_YEAR}|"
     rf"{_MONTH}([./-]){_DAY}\3{_YEAR})(?!\d|[./-]\d)", re.A)
+#: Amounts in groups of three and ranges of years, with no further group of digits beside them.
+_GROUPS, _CURRENCY = r"([ \u00a0.])\d{{3}}(?:\{0}\d{{3}})*(?:,\d{{1,2}})?", r"(?:[€$£¥₽%]|(?:EUR|USD|GBP|CHF|JPY|RUB|Euro|Dollar)\b)"
+_ALONE, _NO_MORE = r"(?<![\d+.,/-])(?<![\d)][ \u00a0])", r"(?!\w|[ \u00a0./-]\d)"
+_AMOUNT = re.compile(
+    rf"{_ALONE}[1-9]\d?{_GROUPS.format(1)}{_NO_MORE}|{_ALONE}[1-9]\d\d{_GROUPS.format(2)}(?=[ \u00a0]?{_CURRENCY})|"
+    rf"{_CURRENCY}[ \u00a0]?[1-9]\d\d{_GROUPS.format(3)}{_NO_MORE}|"
+    rf"{_ALONE}{_YEAR}(?:{_SEP}{{1,3}}{_YEAR})+{_NO_MORE}", re.A)
 _DIGIT = re.compile(r"\d", re.A)
+_WORD = re.compile(r"[^\W\d_]+")
+#: Signs beside a word that is part of an address.
+_IN_ADDRESS = re.compile(r"[@+/_]|\.\w")
+#: Fewest letters of a single part of a name that is found without a form of address.
+BARE_LETTERS = 3
 _HAS_TITLE = re.compile(rf"(?<!\w)(?:{_TITLE})\.?\s")
 
 
+def _parts(name: str) -> tuple[str, ...]:
+    return tuple(re.split("[ -]", name))
+
+
+def _runs(parts: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+    """All parts in a row of a name, itself included."""
+    for size in range(1, len(parts) + 1):
+        for k in range(len(parts) - size + 1):
+            yield parts[k:k + size]
+
+
+def people(text: str) -> list[tuple[int, int, str, str]]:
+    """Spans of names, each under the gender and the longest form of its person."""
+    titled = []
+    for m in PATTERNS["name"].finditer(text):
+        title = text[m.start():m.start(1)].strip().rstrip(".")
+        gender = next(g for g, titles in TITLES.items() if title in titles)
+        titled.append((m.start(1), m.end(1), gender, m[1].lower()))
+    # Mentions by the runs of parts they hold, in order of position.
+    holders: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for k, (start, _, _, name) in enumerate(titled):
+        for run in set(_runs(_parts(name))):
+            holders.setdefault(run, []).append((start, k))
+
+    def nearest(found: list[tuple[int, int]], at: int) -> int:
+        place = bisect_left(found, (at,))
+        return found[max(place - 1, 0)][1]
+
+    # Mentions that hold a shorter form, by what its gender allows.
+    longer: dict[tuple[tuple[str, ...], str], list[tuple[int, int]]] = {}
+    for run, found in holders.items():
+        more = [(at, k) for at, k in found if len(_parts(titled[k][3])) > len(run)]
+        for gender in "mfn" if more else "":
+            fitting = more if gender == "n" else [(at, k) for at, k in more if titled[k][2] in (gender, "n")]
+            if fitting:
+                longer[run, gender] = fitting
+    root = list(range(len(titled)))
+    for k in sorted(root, key=lambda k: -len(_parts(titled[k][3]))):
+        found = longer.get((_parts(titled[k][3]), titled[k][2]))
+        if found:
+            root[k] = root[nearest(found, titled[k][0])]
+    genders: dict[str, set[str]] = {}
+    for k, (_, _, gender, _) in enumerate(titled):
+        genders.setdefault(titled[root[k]][3], set()).add(gender)
+
+    def form(k: int) -> str:
+        _, _, gender, name = titled[root[k]]
+        told = genders[name] - {"n"}
+        return f"{next(iter(told)) if gender == 'n' and len(told) == 1 else gender}:{name}"
+
+    spans = [(start, end, "name", form(k)) for k, (start, end, _, _) in enumerate(titled)]
+    return spans + [(start, end, "name", form(nearest(holders[run], start))) for start, end, run in _bare(text, holders)]
+
+
+def _bare(text: str, known: dict) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """Places where parts of known names are written with capitals, the longest run at each place."""
+    single = {run[0] for run in known if len(run) == 1}
+    words, ordinary = [], set()
+    for m in _WORD.finditer(text):
+        low = m[0].lower()
+        if low in single:
+            if m[0][0].isupper():
+                words.append((m.start(), m.end(), low))
+            elif not _IN_ADDRESS.search(text, max(m.start() - 1, 0), m.end() + 2):
+                ordinary.add(low)
+    k = 0
+    while k < len(words):
+        size = 1
+        while size < 3 and k + size < len(words) and words[k + size][0] == words[k + size - 1][1] + 1 \
+                and text[words[k + size - 1][1]] in " -":
+            size += 1
+        runs = (tuple(w[2] for w in words[k:k + n]) for n in range(size, 0, -1))
+        run = next(r for r in runs if r in known)
+        if len(run) > 1 or (len(run[0]) >= BARE_LETTERS and run[0] not in ordinary):
+            yield words[k][0], words[k + len(run) - 1][1], run
+        k += len(run)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), sorted and without overlap."""
     found: list[tuple[int, int, str, str]] = []
@@ -96,23 +201,23 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if digits:
         found += [(m.start(), m.end(), "ip", ".".join(str(int(p)) for p in m[0].split(".")))
                   for m in PATTERNS["ip"].finditer(text)]
-        # Dates are no part of a number.
-        undated = _DATE.sub(lambda m: "|" * len(m[0]), text)
-        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in PATTERNS["card"].finditer(undated)]
+        # Dates, ranges of years and amounts are no part of a number.
+        plain = text
+        for pattern in (_DATE, _AMOUNT):
+            plain = pattern.sub(lambda m: "|" * len(m[0]), plain)
+        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in PATTERNS["card"].finditer(plain)]
         for pattern in PHONES:
-            found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in pattern.finditer(undated)
+            found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in pattern.finditer(plain)
                       if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
     if _HAS_TITLE.search(text):
-        for m in PATTERNS["name"].finditer(text):
-            title = text[m.start():m.start(1)].strip().rstrip(".")
-            gender = next(g for g, titles in TITLES.items() if title in titles)
-            found.append((m.start(1), m.end(1), "name", f"{gender}:{m[1].lower()}"))
+        found += people(text)
     order = {k: i for i, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str, str]] = []
     for f in sorted(found, key=lambda f: (order[f[2]], f[0], -f[1])):
-        if all(f[1] <= t[0] or f[0] >= t[1] for t in taken):
-            taken.append(f)
-    return sorted(taken)
+        k = bisect_left(taken, (f[0],))
+        if (k == 0 or taken[k - 1][1] <= f[0]) and (k == len(taken) or taken[k][0] >= f[1]):
+            taken.insert(k, f)
+    return taken
 
 
 class Surrogates:
@@ -211,14 +316,24 @@ def script_of(text: str) -> str:
     return unicodedata.name(letter, "LATIN").split(" ")[0]
 
 
-def written_like(kind: str, surrogate: str, occurrence: str) -> str:
-    """The canonical surrogate in the form of one occurrence."""
+def same_parts(form: str, surrogate: str, occurrence: str) -> str:
+    """The parts of a person's surrogate that stand where those of the occurrence stand in the person's name."""
+    whole, wanted = _parts(form.partition(":")[2]), _parts(occurrence.lower())
+    at = next(k for k in range(len(whole)) if whole[k:k + len(wanted)] == wanted)
+    made = _parts(surrogate)[at:at + len(wanted)]
+    return "".join(p for pair in zip(made, [*re.findall("[ -]", occurrence), ""], strict=True) for p in pair)
+
+
+def written_like(kind: str, surrogate: str, occurrence: str, form: str | None = None) -> str:
+    """The canonical surrogate in the form of one occurrence; ``form`` is the entity it mentions, perhaps in part."""
     if kind in ("card", "phone"):
         digits = iter(surrogate)
         return "".join([*(next(digits) if c.isdigit() else c for c in occurrence), *digits])
     if kind == "ip":
         return surrogate
     plain = surrogate.partition(":")[2] if kind == "name" else surrogate
+    if kind == "name" and form is not None:
+        plain = same_parts(form, plain, occurrence)
     if occurrence.isupper():
         return plain.upper()
     if kind == "name":
@@ -277,7 +392,7 @@ def pseudonymized(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     odd = exceptions(settled(entities(docs, text), "pii-entities"), key)
     odd = settled(odd, "pii-exceptions")
     kept = list(docs.columns)
-    counts = [f"n_{k}" for k in KINDS]
+    counts = [fresh(docs, f"n_{k}") for k in KINDS]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept),
                         *(f"`{c}` long" for c in counts)])
     known = None
@@ -313,7 +428,7 @@ def _rewritten(text: str | None, maker: Surrogates, attempts: dict) -> tuple[str
     out, at = [], 0
     for start, end, kind, form in found:
         surrogate = maker.of(kind, form, attempts.get((kind, form), 0))
-        out += [text[at:start], written_like(kind, surrogate, text[start:end])]
+        out += [text[at:start], written_like(kind, surrogate, text[start:end], form)]
         at = end
     return ("".join([*out, text[at:]]) if found else text), found
 

@@ -1,8 +1,11 @@
 """Pages cut from whole texts, and what queries that need no texts leave out."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
+from pagegauge.functions import text as X
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +30,21 @@ def test_pages_hold_the_whole_text(spark):
 def test_keys_of_predicted_pages_need_no_predicted_texts(spark):
     keys = fx.pred_pages(spark, DATA).select("model", "doc_id", "page_num").distinct()
     assert "lower(" not in plan(keys) and "lower(" in plan(fx.pred_pages(spark, DATA))
+
+
+def test_many_kept_urls_cost_one_pass(spark):
+    """Every placeholder once searched the whole text for its originals again."""
+    n = 20000
+    text = " ".join(f"https://a.b/{k} (*) word, word" for k in range(n))
+    df = spark.createDataFrame([(text,)], "t string")
+    start = time.perf_counter()
+    out = df.select(X.normalize_text(F.col("t"))).first()[0]
+    assert time.perf_counter() - start < 15
+    assert out.split() == [w for k in range(n) for w in (f"https://a.b/{k}", "(*)", "word,", "word")]
+
+
+def test_numbers_keep_marks_and_white_space_becomes_single(spark):
+    rows = [("1, 2 , 3,4,5 a,b", "1,2, 3,4,5 a, b"), ("2. 5 3.x", "2.5 3.x"), (" a\t\n b\x0bc\r\nd ", "a b c d"),
+            ("KeptAsIsNo0 https://a.b", "https://a.b https://a.b"), ("x . . . y", "x y"), ("5 % ( a )", "5% (a)")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r[0] for r in df.select(X.normalize_text(F.col("t"))).collect()] == [w for _, w in rows]

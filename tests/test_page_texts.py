@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
-from pagegauge.functions import text as X
+from pagegauge.functions import grids as G, metrics as M, text as X
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +48,29 @@ def test_numbers_keep_marks_and_white_space_becomes_single(spark):
             ("KeptAsIsNo0 https://a.b", "https://a.b https://a.b"), ("x . . . y", "x y"), ("5 % ( a )", "5% (a)")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert [r[0] for r in df.select(X.normalize_text(F.col("t"))).collect()] == [w for _, w in rows]
+
+
+def test_equal_lists_send_no_runs_of_nulls_to_python(spark):
+    """After every row Spark asks for the size of a batch, and a list column then passes over the NULLs since its last list."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100000")
+    try:
+        lists = spark.range(0, 100000, 1, 1).select(F.array(F.lit("a"), F.col("id").cast("string")).alias("r"))
+        # Equal in every row, but not told from the plan.
+        pairs = lists.select("r", F.when(F.rand(1) < 2, F.col("r")).alias("p"))
+        start = time.perf_counter()
+        out = pairs.select(
+            M.item_overlap(F.col("r"), F.col("p")).alias("n"), M.token_distance(F.col("r"), F.col("p")).alias("d"),
+            G.teds(F.array("r"), F.array("p")).alias("t")).agg(F.sum("n"), F.sum("d"), F.sum("t")).first()
+        assert tuple(out) == (200000, 0, 100000.0)
+        assert time.perf_counter() - start < 15
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_lists_that_are_null_or_empty_keep_their_scores(spark):
+    rows = [(["a"], ["a"]), (["a", "b"], ["b"]), ([], ["a"]), (["a"], []), (["a"], None), ([], [])]
+    df = spark.createDataFrame(rows, "r array<string>, p array<string>")
+    got = df.select(M.item_overlap(F.col("r"), F.col("p")), M.token_distance(F.col("r"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(1, 0), (1, 1), (0, 1), (0, 1), (1, 0), (0, 0)]

@@ -11,7 +11,7 @@ from pagegauge.catalog.registry import query
 from pagegauge.functions import metrics as M, text as X
 from pagegauge.functions.exprs import prf, ratio, settle, words
 from pagegauge.operators import evidence as E, pairs, scoring
-from pagegauge.operators.multiset import multiset_prf
+from pagegauge.operators.multiset import paired_multiset_prf
 from pagegauge.operators.pairs import PAGE
 
 PAIR = ["model", "doc_id", "page_num"]
@@ -160,10 +160,7 @@ def word_f1(spark, sf):
   GROUP BY ALL""")
 def vocabulary_prf(spark, sf):
     keys = ["model", "lang", "uc_type"]
-    both = fx.page_pairs(spark, sf)
-    ref = both.select(*keys, F.explode(X.tokens(F.col("gt_text"))).alias("item"))
-    pred = both.select(*keys, F.explode(X.tokens(F.col("pred_text"))).alias("item"))
-    return multiset_prf(ref, pred, keys, ["item"]).select(
+    return paired_multiset_prf(fx.page_pairs(spark, sf), keys, "gt_text", "pred_text", X.tokens).select(
         *keys, "overlap", "n_ref", "n_pred", F.round("precision", 6).alias("precision"),
         F.round("recall", 6).alias("recall"))
 

@@ -25,7 +25,7 @@ def score_batch(
     """
     fresh = last_per_key(pages, KEYS, F.col("received_at"))
     # Stored scores and ground truth are read for the partitions of the batch only.
-    touched = fresh.select(*results.PARTITIONS).distinct()
+    touched = pages.select(*results.PARTITIONS).distinct()
     old = None if force else results.read_scores(pages.sparkSession, scores_path)
     if old is not None:
         old = old.join(touched, results.PARTITIONS, "left_semi")

@@ -189,3 +189,69 @@ def test_characters_are_counted_without_sorting_them():
     began = time.process_time()
     np.unique(np.frombuffer("".join(left + right).encode("utf-32-le"), np.uint32), return_inverse=True)
     assert batch < 2 * (time.process_time() - began)
+
+
+def test_nested_markup_is_cut_and_refused_quickly(monkeypatch):
+    # A benchmark page: bare tags need no HTML parser, and a tree too deep to read is not read.
+    deep = "<table><tr><th>" + "<b>" * 1200 + "w</th></tr><tr><td>x</td></tr></table>"
+    monkeypatch.setattr(markup._Builder, "feed", lambda *_: pytest.fail("parsed"))
+    monkeypatch.setattr(markup, "freeze", lambda *_: pytest.fail("frozen"))
+    with pytest.raises(RecursionError):
+        markup.tree_distance(markup.read_table(deep), markup.read_table("<table><tr><td>x</td></tr></table>"))
+
+
+def test_bare_markup_is_read_as_the_parser_reads_it():
+    def dump(node):
+        return node.tag, [c if isinstance(c, str) else dump(c) for c in node.children]
+
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</TD>", "<th>", "<b>", "</b>", "<br>", "x y", "a>b", " \n", "<p>", "</p>"]
+    for _ in range(500):
+        html = "".join(R.choice(pieces) for _ in range(R.randint(0, 14)))
+        builder = markup._Builder()
+        builder.feed(html)
+        builder.close()
+        assert dump(markup.parse(html)) == dump(builder.root)
+
+
+def test_plain_rows_are_aligned_near_the_diagonal(monkeypatch):
+    def html(rows):
+        return "<table>" + "".join(f"<tr>{''.join(f'<td>{c}</td>' for c in row)}</tr>" for row in rows) + "</table>"
+
+    def whole(a, b):
+        a, b = markup._frozen_table(a), markup._frozen_table(b)
+        line = [0]
+        for child in b[2]:
+            line.append(line[-1] + child[1])
+        for child in a[2]:
+            fresh = [line[0] + child[1]]
+            for k, other in enumerate(b[2]):
+                fresh.append(min(line[k + 1] + child[1], fresh[-1] + other[1], line[k] + whole(child, other)))
+            line = fresh
+        return (a[0] != b[0]) + line[-1]
+
+    for _ in range(300):
+        a = [[R.choice(["a", "b", "", "cd"]) for _ in range(R.randint(0, 4))] for _ in range(R.randint(0, 6))]
+        b = [row for row in a if R.random() < 0.7] if R.random() < 0.5 else [[R.choice("abx")] * R.randint(0, 3) for _ in range(R.randint(0, 6))]
+        a, b = markup.read_table(html(a)), markup.read_table(html(b))
+        assert markup.tree_distance(a, b) == whole(a, b)
+
+    # Two of 300 rows are gone: a few diagonals are enough.
+    seen, change = [], markup._row_distance
+    monkeypatch.setattr(markup, "_row_distance", lambda a, b: seen.append(1) or change(a, b))
+    rows = [[f"a{k}", f"b{k}", "c", "d"] for k in range(300)]
+    copy = [[f"x{k}" if k % 20 == 0 else row[0], *row[1:]] for k, row in enumerate(rows) if k not in (110, 210)]
+    assert markup.tree_distance(markup.read_table(html(rows)), markup.read_table(html(copy))) == 10 + 15
+    assert len(seen) < 300 * 12
+
+
+def test_grids_settled_together_are_those_settled_alone(monkeypatch):
+    words = ["the", "tne", "a", "", "Alpha", "Alphb", "x" * 70, "x" * 69 + "y", "é"]
+    pairs = []
+    for k in range(400):
+        a = [[R.choice(words) for _ in range(1 + k % 3)] for _ in range(R.randint(1, 6))]
+        b = [[c.replace("th", "tn") if R.random() < 0.7 else c for c in row] for row in a if R.random() < 0.8] or a[:1]
+        pairs.append((a, b) if k % 2 else (b, a[::-1] if k % 5 == 0 else a))
+    alone = [K._settled(a, b) for a, b in pairs]
+    assert K._settled_together(pairs) == alone and None in alone and 0.0 in alone
+    monkeypatch.setattr(K, "_settled", lambda *_: pytest.fail("one by one"))
+    K.grid_distances(pairs)

@@ -95,3 +95,13 @@ def test_markup_distance_equals_the_plain_recursion():
         want = slow_distance(*[markup.freeze(markup.first_table(t)) for t in (a, b)])
         assert markup.tree_distance(markup.read_table(a), markup.read_table(b)) == want
         assert markup.tree_size(markup.read_table(a)) == markup.tree_size(markup.first_table(a))
+
+
+def test_cells_of_markup_are_counted_without_pairing_them(spark, monkeypatch):
+    html = "<table><tr><th>a</th><th>b</th></tr><tr><td>c</td><td>d</td></tr></table>"
+    pages = spark.createDataFrame([(1, html, html.replace("d<", "x<")), (2, html, "<table><tr><td>a</td></tr></table>")], "id int, g string, p string")
+    tables = pages.select("id", G.html_cells(F.col("g"), "ordinal").alias("gt_cells"), G.html_cells(F.col("p"), "ordinal").alias("pred_cells"))
+    monkeypatch.setattr(G, "paired_cells", lambda *_: F.raise_error(F.lit("paired")).cast(
+        f"array<struct<row:int,col:int,gt:{CELL[6:-1]},pred:{CELL[6:-1]}>>"))
+    found = C.paired_cell_scores(tables).orderBy("id").select("cell_accuracy", "structure_precision", "structure_recall").collect()
+    assert [tuple(r) for r in found] == [(0.75, 1.0, 1.0), (0.25, 1.0, 0.25)]

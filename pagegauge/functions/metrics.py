@@ -76,8 +76,19 @@ def aligned_words(ref: Column, pred: Column) -> Column:
     return F.when(differs, found).otherwise(same)
 
 
-def mark_counts(aligned: Column) -> Column:
-    """True/false positives and misses of every punctuation mark over aligned words."""
+def word_changes(ref: Column, pred: Column) -> Column:
+    """The word pairs of ``aligned_words`` that differ."""
+    differs = ref != pred
+    found = arrow.word_changes(list_where(differs, words(ref)), list_where(differs, words(pred)))
+    return F.when(differs, found).otherwise(F.array().cast("array<struct<kind:string,gt:string,pred:string>>"))
+
+
+def mark_counts(ref: Column, changes: Column) -> Column:
+    """True/false positives and misses of every punctuation mark over aligned words.
+
+    Words that match agree in everything, so what is missed or added is in the changes, and what is left of the marked
+    words of the reference agrees.
+    """
     def has(side: Column, mark: str) -> Column:
         return F.coalesce(F.contains(side, F.lit(mark)), F.lit(False))
 
@@ -85,17 +96,16 @@ def mark_counts(aligned: Column) -> Column:
         def count(keep) -> Column:
             return F.size(F.filter(marked, keep))
 
-        return F.struct(
-            F.lit(mark).alias("mark"),
-            count(lambda w: has(w["gt"], mark) & has(w["pred"], mark)).alias("tp"),
-            count(lambda w: ~has(w["gt"], mark) & has(w["pred"], mark)).alias("fp"),
-            count(lambda w: has(w["gt"], mark) & ~has(w["pred"], mark)).alias("fn"))
+        held = F.when(~F.contains(ref, F.lit(mark)), 0).otherwise(F.regexp_count(ref, F.lit(rf"[{mark}]\S*+")))
+        return let(count(lambda w: has(w["gt"], mark) & ~has(w["pred"], mark)), lambda missed: F.struct(
+            F.lit(mark).alias("mark"), (held - missed).alias("tp"),
+            count(lambda w: ~has(w["gt"], mark) & has(w["pred"], mark)).alias("fp"), missed.alias("fn")))
 
     def counts(marked: Column) -> Column:
         return F.array(*[one(marked, mark) for mark in P.PUNCTUATION_MARKS])
 
     any_mark = "[" + "".join(P.PUNCTUATION_MARKS) + "]"
-    return let(F.filter(aligned, lambda w: (
+    return let(F.filter(changes, lambda w: (
         F.coalesce(w["gt"].rlike(any_mark), F.lit(False))
         | F.coalesce(w["pred"].rlike(any_mark), F.lit(False)))), counts)
 
@@ -113,22 +123,16 @@ def mean_mark_iou(ious: Column) -> Column:
     return F.round(F.when(F.size(values) == 0, 1.0).otherwise(total / F.size(values)), 6)
 
 
-def capital_counts(aligned: Column) -> Column:
-    """Capitalization agreement over aligned words that carry a word character."""
+def capital_counts(ref: Column, changes: Column) -> Column:
+    """Capitalization agreement over aligned words, counted like the marks."""
     def capital(side: Column) -> Column:
-        return F.coalesce(side.rlike(r"^[\p{Lu}\p{Lt}]") & ~side.rlike(r"^\p{Lt}"), F.lit(False))
-
-    def worded(side: Column) -> Column:
-        return F.coalesce(side.rlike(P.WORD), F.lit(False))
-
-    kept = F.transform(
-        F.filter(aligned, lambda w: worded(w["gt"]) | worded(w["pred"])),
-        lambda w: F.struct(capital(w["gt"]).alias("r"), capital(w["pred"]).alias("p")))
-    return let(kept, lambda flags: F.struct(
-        F.size(F.filter(flags, lambda f: f["r"] & f["p"])).alias("tp"),
-        F.size(F.filter(flags, lambda f: ~f["r"] & f["p"])).alias("fp"),
-        F.size(F.filter(flags, lambda f: f["r"] & ~f["p"])).alias("fn"),
-    ))
+        return F.coalesce(side.rlike(r"^\p{Lu}"), F.lit(False))
+
+    flags = F.transform(changes, lambda w: F.struct(capital(w["gt"]).alias("r"), capital(w["pred"]).alias("p")))
+    held = F.regexp_count(ref, F.lit(P.CAPITAL_WORD))
+    return let(flags, lambda flags: let(F.size(F.filter(flags, lambda f: f["r"] & ~f["p"])), lambda missed: F.struct(
+        (held - missed).alias("tp"),
+        F.size(F.filter(flags, lambda f: ~f["r"] & f["p"])).alias("fp"), missed.alias("fn"))))
 
 
 def capital_iou(counts: Column, both_empty: Column) -> Column:

@@ -134,12 +134,13 @@ def score_scan(pairs: DataFrame, detail: bool = True) -> DataFrame:
 
 
 def score_punctuation(pairs: DataFrame) -> DataFrame:
-    """Punctuation and capitalization agreement (PCS) over aligned words."""
+    """Punctuation and capitalization agreement (PCS) over aligned words; only pairs that differ are looked at."""
     ref, hyp = F.col("ref"), F.col("hyp")
-    aligned = pairs if "aligned" in pairs.columns else settle(pairs, aligned=M.aligned_words(ref, hyp))
+    changes = F.filter("aligned", lambda w: w["kind"] != "match") if "aligned" in pairs.columns else M.word_changes(ref, hyp)
+    changed = settle(pairs, _changes=changes)
     counted = settle(
-        settle(aligned, _marks=M.mark_counts(F.col("aligned"))),
-        per_punct=M.mark_ious(F.col("_marks")), cap_detail=M.capital_counts(F.col("aligned"))).drop("_marks")
+        settle(changed, _marks=M.mark_counts(ref, F.col("_changes"))),
+        per_punct=M.mark_ious(F.col("_marks")), cap_detail=M.capital_counts(ref, F.col("_changes"))).drop("_marks", "_changes")
     both_empty = (F.trim(ref) == "") & (F.trim(hyp) == "")
     scored = counted.withColumns({
         "punct_miou": M.mean_mark_iou(F.col("per_punct")),

@@ -1,11 +1,15 @@
 """Pages cut from whole texts, and what queries that need no texts leave out."""
 
+import random
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from pagegauge.catalog import fixtures as fx
 from pagegauge.functions import grids as G, metrics as M, text as X
+from pagegauge.functions.exprs import settle
+from pagegauge.operators import scoring
 
 DATA = "/root/testdata/sf0.001"
 
@@ -74,3 +78,43 @@ def test_lists_that_are_null_or_empty_keep_their_scores(spark):
     df = spark.createDataFrame(rows, "r array<string>, p array<string>")
     got = df.select(M.item_overlap(F.col("r"), F.col("p")), M.token_distance(F.col("r"), F.col("p"))).collect()
     assert [tuple(r) for r in got] == [(1, 0), (1, 1), (0, 1), (0, 1), (1, 0), (0, 0)]
+
+
+def test_plain_prose_skips_the_steps_with_the_same_result(spark, monkeypatch):
+    """Prose told by one pattern has the text that all steps give."""
+    from pagegauge.functions import patterns as P
+
+    r = random.Random(4)
+    pieces = ["word", "Été", "x", "3", "12", ",", ".", " ", " ", " ", "\n", "\t", "!", "?", "'", '"', "=", "¿", "/"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 14))) for _ in range(1500)] + [
+        "a. b, c", " .a", "5, 6", "5. 6", "5,\n\n6", "a,b.c", "a ,b", "a..", "a. . .", "5,000.25", "5,a", "a,5", "a, 5", ", a", ".", "", " \n", "a,\u00a0b", "a\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quick = [row[0] for row in df.select(X.normalize_text(F.col("t"))).collect()]
+    plain = [row[0] for row in df.select(F.col("t").rlike(P.PLAIN_TEXT)).collect()]
+    monkeypatch.setattr(P, "PLAIN_TEXT", r"(?!)")
+    assert quick == [row[0] for row in df.select(X.normalize_text(F.col("t"))).collect()]
+    assert 200 < sum(plain) < len(texts) - 200
+
+
+def test_punctuation_needs_only_the_words_that_differ(spark, monkeypatch):
+    """Counts over the changes are those over all aligned words."""
+    r = random.Random(5)
+    words = ["the", "The", "a,", "b.", "A.", "Ab,c.", "x!", "?", "été", "Été", "ǅ", "_x", "Z;:"]
+    rows = [(" ".join(r.choices(words, k=r.randint(0, 9))), " ".join(r.choices(words, k=r.randint(0, 9)))) for _ in range(300)]
+    rows += [(a, a.lower().replace(",", "")) for a, _ in rows] + [(a, a) for a, _ in rows[:50]]
+    df = spark.createDataFrame(rows, "ref string, hyp string")
+    scored = settle(scoring.score_punctuation(df), aligned=M.aligned_words(F.col("ref"), F.col("hyp")))
+    marks = ",.?!;:"
+    for row in scored.collect():
+        pairs = [(w.gt or "", w.pred or "") for w in row.aligned]
+        expected = {}
+        for mark in marks:
+            tp, either = sum(mark in g and mark in p for g, p in pairs), sum(mark in g or mark in p for g, p in pairs)
+            if either:
+                expected[mark] = round(tp / either, 6)
+        assert row.per_punct == expected
+        flags = [tuple(unicodedata.category(side[:1] or " ") == "Lu" for side in pair) for pair in pairs]
+        assert tuple(row.cap_detail) == tuple(flags.count(f) for f in ((True, True), (False, True), (True, False)))
+    # Words that match are not sent back from Python.
+    long = spark.createDataFrame([("w " * 500 + "End.", "w " * 500 + "end")], "ref string, hyp string")
+    assert long.select(F.size(M.word_changes(F.col("ref"), F.col("hyp")))).first()[0] == 1

@@ -118,3 +118,16 @@ def test_punctuation_needs_only_the_words_that_differ(spark, monkeypatch):
     # Words that match are not sent back from Python.
     long = spark.createDataFrame([("w " * 500 + "End.", "w " * 500 + "end")], "ref string, hyp string")
     assert long.select(F.size(M.word_changes(F.col("ref"), F.col("hyp")))).first()[0] == 1
+
+
+def test_structure_is_read_once(spark):
+    """Paths with and without text come from one reading of the lines."""
+    page = "# A\n- b\n\n```x\n# no\n```\n> q\n1. c\n| d |\nplain\n#"
+    df = spark.createDataFrame([(page,), ("",), (None,)], "md string")
+    assert [tuple(r) for r in df.select(M.structure_paths(F.col("md")), M.structure_paths(F.col("md"), True)).collect()] == [
+        (["heading1", "list/item", "fence", "quote", "ordered/item", "table/row", "paragraph", "paragraph"],
+         ["heading1", "list/item", "fence", "quote", "ordered/item", "table/row", "paragraph", "paragraph", "heading1::TEXT::A",
+          "list/item::TEXT::b", "quote::TEXT::q", "ordered/item::TEXT::c", "table/row::TEXT::| d |", "paragraph::TEXT::plain",
+          "paragraph::TEXT::#"]), ([], []), (None, None)]
+    scored = scoring.score_markdown(df.select(F.col("md").alias("gt_text"), F.col("md").alias("pred_text")))
+    assert plan(scored, optimized=False).count("list/item") == 2
